@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from . import problems
 
-QUERIES = {n: getattr(problems, n) for n in ("p1_found", "p1_requests", "p1_timers", "p1_request_tags", "p2_found", "p2_wide", "p4_found", "p4_shares")}
+QUERIES = {n: getattr(problems, n) for n in ("p1_found", "p1_requests", "p1_timers", "p1_request_tags", "p2_found", "p2_wide", "p3_found", "p4_found", "p4_shares")}
 ORACLES: dict[str, str] = {}

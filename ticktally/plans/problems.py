@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import distinct_rows
 from ..operators.skew import fragment_aggregate, fragment_join, plan_fragments
+from ..operators.spikes import implausible
 from ..operators.wide import filled_cells, resolved_tags, stitch
 from ..session import table
 from ..sources.wire_json import request_shredder
@@ -64,6 +65,11 @@ def p2_wide(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d)[0].drop("ordinal")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Readings that can't be right for the host that sent them."""
+    return implausible(table(spark, d, "requests"))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "requests").where(F.col("server_name").isNotNull() & F.col("script_name").isNotNull())
     return distinct_rows(r, ["request_id", "server_name", "script_name", "document_size"])
