@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import distinct_rows
 from ..session import cut, table
-from . import lossy, quantile
+from . import lossy, mix, pack, quantile
 
 SUPPORT, ERROR = 0.01, 0.0005
 PCTS = (50, 90, 95, 99)
@@ -98,7 +98,75 @@ def p6_daily(spark: SparkSession, d: str) -> DataFrame:
     return quantile.percentiles(daily_sketches(spark, d), [*KEYS, "day"], PCTS)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_intervals, p6_found, p6_percentiles, p6_daily)}
+# --- 7 and 8: containers and mixes --------------------------------------------------------------
+
+PLANS = 1000  # pack plans and mix targets are small tables; more rows than this are refused
+SEED = 8
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return pack.sized(table(spark, d, "documents"), "doc_id", "source", "text")
+
+
+def _small(df: DataFrame) -> list:
+    rows = df.limit(PLANS + 1).collect()
+    if len(rows) > PLANS:
+        raise ValueError("not a small table")
+    return rows
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or piece of a text above the capacity, with its container in every plan."""
+    plans = {r["plan_id"]: (r["capacity_tokens"], r["source"]) for r in _small(table(spark, d, "pack_plans"))}
+    return pack.pack_items(_sized(spark, d), "doc_id", "n_tokens", plans, "source")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used and their fill, per plan."""
+    return pack.fill_report(p7_pack(spark, d), table(spark, d, "pack_plans"))
+
+
+def _mixes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets: dict[int, list] = {}
+    ratio = {}
+    for r in sorted(_small(table(spark, d, "mix_targets")), key=lambda r: (r["mix_id"], r["source"])):
+        targets.setdefault(r["mix_id"], []).append(mix.Target(r["source"], float(r["target_weight"]), int(r["max_repeats"])))
+        ratio[r["mix_id"]] = float(r["budget_ratio"])
+    docs = _sized(spark, d)
+    known = sorted({t.source for ts in targets.values() for t in ts})
+    docs = docs.select("doc_id", "n_tokens", F.when(F.col("source").isin(known), F.array("source")).otherwise(F.array().cast("array<string>")).alias("pattern"))
+    sums = {tuple(r["pattern"]): int(r["s"]) for r in docs.groupBy("pattern").agg(F.sum("n_tokens").alias("s")).collect()}  # one row per membership pattern
+    total = sum(sums.values())
+    patterns = {p: s for p, s in sums.items() if p and s}
+    stretches, quotas = [], []
+    for m, ts in targets.items():
+        quota, flows = mix.route(patterns, ts, round(total * ratio[m]))
+        stretches += [(m, *f) for f in flows]
+        weights = sum(t.weight for t in ts if t.weight > 0)
+        quotas += [(m, t.source, t.weight / weights if weights and t.weight > 0 else 0.0, t.max_repeats, quota[t.source], patterns.get((t.source,), 0)) for t in ts]
+    chosen = mix.select(docs.where(F.size("pattern") > 0), "doc_id", stretches, SEED)
+    return chosen, spark.createDataFrame(quotas, "mix_id int, source string, target_share double, max_repeats int, quota_tokens bigint, source_tokens bigint")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The selection of every mix: documents with the number of times they appear."""
+    return _mixes(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of every source of every mix, and whether its quota could be filled."""
+    chosen, quotas = _mixes(spark, d)
+    got = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
+    whole = got.groupBy("mix_id").agg(F.sum("tokens").alias("mix_tokens"))
+    out = quotas.join(F.broadcast(got), ["mix_id", "source"], "left").join(F.broadcast(whole), "mix_id", "left")  # both as long as the targets at most
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select(
+        "mix_id", "source", "target_share", (zero("tokens") / F.col("mix_tokens")).alias("actual_share"), "quota_tokens", zero("tokens").alias("tokens"),
+        zero("documents").alias("documents"), zero("most_repeats").alias("most_repeats"), "max_repeats", "source_tokens", (F.col("quota_tokens") <= F.col("source_tokens") * F.col("max_repeats")).alias("reachable"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_intervals, p6_found, p6_percentiles, p6_daily, p7_pack, p7_fill, p8_mix, p8_shares)}
 ORACLES = {
     "p5_found": """
         with r as (select distinct request_id, hostname, script_name from requests),
