@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import distinct_rows
 from ..session import cut, table
-from . import lossy, mix, pack, quantile
+from . import lossy, mix, pack, pii, pii_train, quantile
 
 SUPPORT, ERROR = 0.01, 0.0005
 PCTS = (50, 90, 95, 99)
@@ -166,7 +166,27 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_intervals, p6_found, p6_percentiles, p6_daily, p7_pack, p7_fill, p8_mix, p8_shares)}
+# --- 9: personal information ---------------------------------------------------------------------
+
+
+def _lexicon(spark: SparkSession, d: str) -> pii.Lexicon:
+    words = table(spark, d, "name_lexicon").select("word", "word_kind").limit(LIMITS + 1).collect()
+    if len(words) > LIMITS:
+        raise ValueError("the lexicon is not a small table")
+    return pii.Lexicon.of([tuple(w) for w in words])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct pieces of personal information of every text."""
+    return pii.find(table(spark, d, "documents"), "doc_id", "text", _lexicon(spark, d), pii_train.fitted())
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its personal information replaced by typed placeholders."""
+    return pii.redact(table(spark, d, "documents"), "doc_id", "text", _lexicon(spark, d), pii_train.fitted())
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_intervals, p6_found, p6_percentiles, p6_daily, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_redacted)}
 ORACLES = {
     "p5_found": """
         with r as (select distinct request_id, hostname, script_name from requests),
