@@ -95,3 +95,29 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d)
     totals = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("req_count"))
     return fragment_join(pairs, totals, keys, ["request_id"], plan=plan).select("request_id", *keys, "document_size", "req_count")
+
+
+ORACLES = {
+    "p4_found": """
+        select server_name, script_name, count(*) req_count, coalesce(sum(document_size), 0)::bigint traffic
+        from (select distinct request_id, server_name, script_name, document_size from requests)
+        where server_name is not null and script_name is not null group by all""",
+    "p4_shares": """
+        with r as (select distinct request_id, server_name, script_name, document_size from requests where server_name is not null and script_name is not null)
+        select request_id, server_name, script_name, document_size, count(*) over (partition by server_name, script_name) req_count from r""",
+    "p2_found": r"""
+        with t as (select distinct request_id, tag_no, tag_name, tag_value from request_tags),
+        d as (select distinct request_id, dictionary from dictionaries),
+        w as (select request_id, tag_no, case when tag_name >= 0 then dictionary[tag_name + 1] end n, case when tag_value >= 0 then dictionary[tag_value + 1] end v from t join d using (request_id)),
+        k as (select request_id, tag, value_type, arg_min(v, tag_no) v from w join tag_catalog on regexp_replace(lower(trim(n)), '[ _.-]+', '_', 'g') = tag where v is not null group by all),
+        s as (select *, trim(v, E' \t') x from k),
+        y as (select request_id, tag, case value_type
+            when 'string' then v
+            when 'bool' then case when lower(x) in ('true', 't', 'yes', 'y', 'on', '1') then 'true' when lower(x) in ('false', 'f', 'no', 'n', 'off', '0') then 'false' end
+            when 'int' then case when regexp_full_match(x, '[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+|[0-9]+(_[0-9]+)+)([.]0*)?') then cast(cast(replace(replace(x, ',', ''), '_', '') as decimal(30, 4)) as bigint)::varchar
+                 when regexp_full_match(x, '[+-]?[0-9]+e[0-9]+') then cast(cast(x as double) as bigint)::varchar end
+            when 'float' then case when regexp_full_match(x, '[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)? ?%?') then cast(round(cast(replace(regexp_replace(x, ' ?%', ''), ',', '.') as double) * case when x like '%\%' escape '\' then 10 else 1000 end) as bigint)::varchar end
+            when 'time' then strftime(case when regexp_full_match(x, '[0-9]{13}') then to_timestamp(x::bigint // 1000) when regexp_full_match(x, '[0-9]{9,11}') then to_timestamp(x::bigint)
+                 when regexp_full_match(x, '[0-9-]{10} [0-9:]{8}( UTC)?') then (left(x, 19) || '+00')::timestamptz when regexp_full_match(x, '[0-9-]{10}T[0-9:]{8}.*') then x::timestamptz end at time zone 'UTC', '%Y-%m-%d %H:%M:%S') end cell from s)
+        select request_id, tag, cell from y where cell is not null""",
+}
