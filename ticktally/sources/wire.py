@@ -271,10 +271,11 @@ def ingest(wire: DataFrame, request_id: str, ts: str) -> Source:
     ends = F.aggregate("timer_tag_count", F.array(F.lit(0).cast("bigint")), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + c)))
     tag = lambda names, values: F.zip_with(names, values, lambda a, b: F.struct(word(a).alias("name"), word(b).alias("value")))
     w = w.withColumn("__at", ends)
-    at = F.sequence(F.lit(0), F.size("timer_value") - 1)
+    at = F.sequence(F.lit(0), F.greatest(F.size("timer_value") - 1, F.lit(0)))
 
     def timer(i: Column) -> Column:
-        start, count = (F.get("__at", i) + 1).cast("int"), F.get("timer_tag_count", i).cast("int")
+        # total even on rows that are refused: the optimizer may evaluate this before the check
+        start, count = F.coalesce(F.get("__at", i) + 1, F.lit(1)).cast("int"), F.coalesce(F.get("timer_tag_count", i), F.lit(0)).cast("int")
         part = lambda c: F.slice(c, start, count)
         rest = lambda c: F.coalesce(ns(F.get(c, i)), F.lit(0).cast("bigint"))
         return F.struct(F.get("timer_hit_count", i).alias("hit_count"), ns(F.get("timer_value", i)).alias("value_ns"), rest("timer_ru_utime").alias("ru_utime_ns"), rest("timer_ru_stime").alias("ru_stime_ns"), tag(part("timer_tag_name"), part("timer_tag_value")).alias("tags"))
