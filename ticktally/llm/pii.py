@@ -47,7 +47,7 @@ TITLE = r"(?:Mr|Mrs|Ms|Miss|Messrs|Dr|Prof|Herrn?|Frau|Mme|Mlle|M|Sr|Sra|Srta|Se
 AT = rf"(?:{S}?[@＠]{S}?|{S}?[\[({{]\s?(?:at|AT|arroba|chez)\s?[\])}}]{S}?|\s+(?:at|AT)\s+(?=[\w-]+\s+(?:dot|DOT)\s))"
 DOT = r"(?:\.|．|\s?[\[({]\s?(?:dot|DOT|punto|point|punkt)\s?[\])}]\s?|\s+(?:dot|DOT)\s+)"
 EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9_](?:[\w.+%'-]*[\w+])?{AT}[A-Za-z0-9](?:[\w-]*\w)?(?:{DOT}[A-Za-z0-9][\w-]*)*{DOT}[A-Za-z]{{2,12}}(?![\w@])")
-PHONE = re.compile(r"(?<![\w.,/+@-])(?:\+|＋|00(?=\d{2}))?[(（]?\d(?:[\d ()（）./   ‐-–－-]|\r?\n(?=[\d(])){5,26}\d(?:,?\s?(?:ext|Ext|x|poste|Durchwahl|App|int|extensión)\.?\s?\d{1,5})?(?![\w@]|[.,/-]\d)")
+PHONE = re.compile(r"(?<![\w.,/+@-])(?:\+|＋|00(?=\d{2}))?[(（]?\d(?:[\d ()（）\xa0  ‐-–－-]|[./](?=\d)|\r?\n(?=[\d(])){5,26}\d(?:,?\s?(?:ext|Ext|x|poste|Durchwahl|App|int|extensión)\.?\s?\d{1,5})?(?![\w@]|[.,/-]\d)")
 IDS = re.compile(
     r"(?<![\w.,/+-])(?:"
     r"\d{3}([- \n])\d{2}\1\d{4}"  # social security number
