@@ -50,12 +50,12 @@ EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9_](?:[\w.+%'-]*[\w+])?{AT}[A-Za-z0-9
 PHONE = re.compile(r"(?<![\w.,/+@-])(?:\+|＋|00(?=\d{2}))?[(（]?\d(?:[\d ()（）\xa0  ‐-–－-]|[./](?=\d)|\r?\n(?=[\d(])){5,26}\d(?:,?\s?(?:ext|Ext|x|poste|Durchwahl|App|int|extensión)\.?\s?\d{1,5})?(?![\w@]|[.,/-]\d)")
 IDS = re.compile(
     r"(?<![\w.,/+-])(?:"
-    r"\d{3}([- \n])\d{2}\1\d{4}"  # social security number
-    r"|[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]"  # national insurance
-    r"|[12]\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{3}\s?\d{3}(?:\s?\d{2})?"  # social security, 13 or 15 digits
-    r"|\d{2}\s?\d{3}\s?\d{3}\s?\d{3}"  # tax, 11 digits
-    r"|\d{2}\.?\d{3}\.?\d{3}\s?-?\s?[A-Z]"  # identity card with letter
-    r"|[XYZ]-?\d{7}\s?-?\s?[A-Z]"  # foreigner's identity card
+    r"\d{3}(?:-\d{2}-|\s{1,2}\d{2}\s{1,2})\d{4}"  # social security number
+    r"|[A-Z]{2}\s{0,2}\d{2}\s{0,2}\d{2}\s{0,2}\d{2}\s{0,2}[A-D]"  # national insurance
+    r"|[12]\s{0,2}\d{2}\s{0,2}\d{2}\s{0,2}\d{2}\s{0,2}\d{3}\s{0,2}\d{3}(?:\s{0,2}\d{2})?"  # social security, 13 or 15 digits
+    r"|\d{2}\s{0,2}\d{3}\s{0,2}\d{3}\s{0,2}\d{3}"  # tax, 11 digits
+    r"|\d{2}\.?\d{3}\.?\d{3}\s{0,2}-?\s{0,2}[A-Z]"  # identity card with letter
+    r"|[XYZ]-?\d{7}\s{0,2}-?\s{0,2}[A-Z]"  # foreigner's identity card
     r"|[A-Z]\d{4}[A-Z]\d{4}|[A-Z]{1,2}\d{6,9}|\d{9,12}"  # identity card, passport
     r")(?![\w]|[.,/-]\d)"
 )
@@ -98,7 +98,7 @@ COMPANY_CUE = re.compile(r"(?:Applicant|Assignee|Licensee|Anmelder(?:in)?|Demand
 PHONE_CUE = re.compile(r"(?:[Tt]el(?:ef|eph|éph|éf)?\w*|TEL|[Ff]ax|FAX|[Pp]hone|[Cc]all|[Mm]obile?|Mobil|[Hh]otline|\([TFM]\)|[Tt]éléphone|[Tt]eléfono|[Ll]lamar|[Aa]nruf|Fon)\.?\s*[:(]?\s*$")
 NUMBER_TRAP = re.compile(r"(?:no|No|Nr|nº|n°|card|docket|lot|[Bb]atch|range|[Pp]riority:?|XA|to|\d|Ser|Serial|type|Drawing no|Process No)\.?\s*$")
 CARD_TRAP = re.compile(r"(?:card|docket|lot|[Bb]atch|range|[Pp]riority:?|XA\b.{0,12}|[Dd]rawing|[Ss]erial|[Pp]rocess|Filed|applica\w*|gauge|[Pp]art|[Oo]rder|[Ii]nvoice|[Cc]atalogue?|[Vv]alve|192\.0|[Cc]laims?|Anspr\w+)\s*(?:no|No|Nr|nº|n°)?\.?:?\s*$")
-ID_CUE = re.compile(r"(?:SSN|[Ss]ocial [Ss]ecurity(?: number| no\.?)?|[Dd]eclarant|\bID(?:-Nr\.?)?|Steuer-?ID(?:entifikationsnummer)?(?:-Nr\.?)?|Steuernummer|[Aa]usweis(?:-?[Nn]r\.?)?|[Pp]assport|[Rr]eisepass|[Pp]asaporte|[Pp]asseport|[Nn]ational [Ii]nsurance(?: number)?|\bNI(?:NO)?|NIR|INSEE|sécurité sociale|DNI|NIE|NIF|documento|pièce|carte d['’]identité|[Tt]ax|TIN|[Ii]dentity card|Sozialversicherungsnummer|[Ss]eguridad [Ss]ocial)\s*(?:no|No|number|Nr|nº|n°|num)?\.?\s*[:(]?\s*$")
+ID_CUE = re.compile(r"(?:SSN|[Ss]ocial [Ss]ecurity(?: number| no\.?)?|[Dd]eclarant|\bID(?:-Nr\.?)?|Steuer-?ID(?:entifikationsnummer)?(?:-Nr\.?)?|Steuernummer|(?:[Ss]teuerliche )?[Ii]dentifikationsnummer|[Aa]usweis(?:-?[Nn]r\.?)?|[Pp]assport|[Rr]eisepass|[Pp]asaporte|[Pp]asseport|[Nn]ational [Ii]nsurance(?: number)?|\bNI(?:NO)?|NIR|INSEE|sécurité sociale|DNI|NIE|NIF|documento|pièce|carte d['’]identité|[Tt]ax|TIN|[Ii]dentity card|Sozialversicherungsnummer|[Ss]eguridad [Ss]ocial)\s*(?:no|No|number|Nr|nº|n°|num)?\.?\s*[:(]?\s*$")
 ADDRESS_CUE = re.compile(r"(?:[Aa]ddress(?: for service)?|[Rr]esidence|[Rr]esiding at|Anschrift|wohnhaft|Adresse|demeurant|domicilié\w*(?: au)?|Domicilio|domicilio en|[Dd]irección|workshop at|\bof|\bat|\bin|Werkstatt|atelier(?: du| au)?|taller(?: de| en)?)\s*:?\s*$")
 #: What may stand between two segments of which the second continues the first.
 GAPS = {"name>name": re.compile(r"\s*(?:[;,/&·|]|and|und|et|y|e)\s*"), "name>email": re.compile(r"[\s<(,:]{1,4}"), "name>address": re.compile(r",?[ \t]*\r?\n\s*")}
@@ -116,7 +116,7 @@ PRIOR = {
 
 #: Capitalised words that start sentences, label fields or name things; never parts of a person's name.
 PLAIN = frozenset(
-    "the this that these those after before if when while as in on at for from to with without it its an and or of by according address airport application applicant assignee licensee attorney agent inventor inventors contact declaration claim claims abstract description fig figure table drawing batch colour correspondence copies call hotline heat earlier known measurements reference residence telephone tel fax priority filed valve trials thanks suite flat box street lane road avenue court mr mrs ms dr prof die der das ein eine einer bei wie wenn wird vorteilhaft bekannte frühere für nach mit von und erfinder vertreter anschrift ausweis erklärung ansprüche anspruch zusammenfassung beschreibung messungen ausführungsform fachmann aufgabe signal wärme klemmt tabelle herr frau le la les un une des du de si pour selon comme lorsque inventeur inventeurs mandataire adresse déclaration revendications revendication abrégé description résumé mesures chaleur el los las una uno según como cuando inventores representante domicilio declaración reivindicaciones resumen descripción calor señal para objetivo holding werke gmbh labs systems devices works company group north south east west january february march april may june july august september october november december e-mail email courriel correo personalausweis steuer national insurance social security passport process standard no old rückfragen skizze versuch courrier écrire escribir mailto signed rue calle".split()
+    "the this that these those after before if when while as in on at for from to with without it its an and or of by according address airport application applicant assignee licensee attorney agent inventor inventors contact declaration claim claims abstract description fig figure table drawing batch colour correspondence copies call hotline heat einbau ii iii iv earlier known measurements reference residence telephone tel fax priority filed valve trials thanks suite flat box street lane road avenue court mr mrs ms dr prof die der das ein eine einer bei wie wenn wird vorteilhaft bekannte frühere für nach mit von und erfinder vertreter anschrift ausweis erklärung ansprüche anspruch zusammenfassung beschreibung messungen ausführungsform fachmann aufgabe signal wärme klemmt tabelle herr frau le la les un une des du de si pour selon comme lorsque inventeur inventeurs mandataire adresse déclaration revendications revendication abrégé description résumé mesures chaleur el los las una uno según como cuando inventores representante domicilio declaración reivindicaciones resumen descripción calor señal para objetivo holding werke gmbh labs systems devices works company group north south east west january february march april may june july august september october november december e-mail email courriel correo personalausweis steuer national insurance social security passport process standard no old rückfragen skizze versuch courrier écrire escribir mailto signed rue calle".split()
 )
 
 
@@ -290,6 +290,8 @@ def segments(text: str, lex: Lexicon, kinds: int = 15) -> list[Segment]:
     for form, pattern in NAMES if kinds & 8 else ():
         for m in pattern.finditer(text):
             a, b = m.span(1)
+            if form == "titled" and text.startswith("M.", m.start()) and re.search(rf"{WORD}\s+$", text[max(0, m.start() - 30) : m.start()]):
+                continue  # a middle initial
             if (a, b) not in seen or form == "titled":
                 seen.add((a, b))
                 f = _name_features(text, a, b, form, lex)
