@@ -23,19 +23,39 @@ def _any(columns: list[Column]) -> Column:
     return reduce(or_, columns, F.lit(False))
 
 
+_OUTCOMES = ("scanned", "bloom", "tfilter", "ttags", "kept")
+
+
+def _flat_outcomes(timers: DataFrame, conf: ReportConf, wanted: list[str]) -> DataFrame:
+    """(request_id, names, counts): what became of a request's timers, without gathering them."""
+    tags = F.col("tags")
+    keyed = reduce(and_, [first_tag(tags, k.name).isNotNull() for k in conf.keys if k.kind == "ttag"], F.lit(True))
+    outcome = F.when(~all_of(tags["name"], wanted), "bloom").when(~timer_filter(conf, tags), "tfilter").when(~keyed, "ttags").otherwise("kept")
+    t = timers.select("request_id", outcome.alias("o"), *[F.array_contains(tags["name"], n).alias(f"__n{i}") for i, n in enumerate(wanted)])
+    counts = [F.count(F.lit(1)).alias("scanned"), *[F.count_if(F.col("o") == c).alias(c) for c in _OUTCOMES[1:]], *[F.max(f"__n{i}").alias(f"__n{i}") for i in range(len(wanted))]]
+    names = reduce(and_, [F.col(f"__n{i}") for i in range(len(wanted))], F.lit(True))
+    return t.groupBy("request_id").agg(*counts).select("request_id", names.alias("names"), *_OUTCOMES)
+
+
 def counters(source: Source, conf: ReportConf, time_unit: str = "s") -> DataFrame:
     """One row of counts.  Checks apply in the order bloom, filters, request tags, request fields, timers;
     "bloom" is exact here: the tag names a report needs are in the request (timer) or not."""
     wanted = timer_tag_names(conf)
-    r = source.nested() if conf.kind == "timer" else source.requests
+    r = source.requests
     no_filter = ~request_filter(conf, time_unit)
     no_rtag = _any([request_key(k).isNull() for k in conf.keys if k.kind == "rtag"])
     if conf.kind != "timer":
         r = r.select(F.when(no_filter, "filters").when(no_rtag, "rtag").alias("reason"), F.lit(0).alias("scanned"), *[F.lit(0).alias(x) for x in ("bloom", "tfilter", "ttags", "kept")])
+    elif source.timers is not None:
+        no_field = _any([F.col(k.name) == "" for k in conf.keys if k.kind == "field"])
+        per = _flat_outcomes(source.timers, conf, wanted)
+        first = F.when(~F.coalesce("names", F.lit(not wanted)), "bloom").when(no_filter, "filters").when(no_rtag, "rtag").when(no_field, "rfield")
+        r = r.join(per, "request_id", "left").select(first.alias("early"), *[F.coalesce(c, F.lit(0)).alias(c) for c in _OUTCOMES])
+        r = r.select(F.coalesce("early", F.when(F.col("kept") == 0, "timertag")).alias("reason"), *[F.when(F.col("early").isNull(), F.col(c)).otherwise(0).alias(c) for c in _OUTCOMES])
     else:
         no_field = _any([F.col(k.name) == "" for k in conf.keys if k.kind == "field"])
-        names = F.flatten(F.transform("timers", lambda t: F.transform(t["tags"], lambda x: x["name"])))
-        has = lambda t: all_of(F.transform(t["tags"], lambda x: x["name"]), wanted)
+        names = F.flatten(F.transform("timers", lambda t: t["tags"]["name"]))
+        has = lambda t: all_of(t["tags"]["name"], wanted)
         keyed = lambda t: reduce(and_, [first_tag(t["tags"], k.name).isNotNull() for k in conf.keys if k.kind == "ttag"], F.lit(True))
         outcome = F.transform("timers", lambda t: F.when(~has(t), "bloom").when(~timer_filter(conf, t["tags"]), "filters").when(~keyed(t), "tags").otherwise("kept"))
         first = F.when(~all_of(names, wanted), "bloom").when(no_filter, "filters").when(no_rtag, "rtag").when(no_field, "rfield")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.durations import to_seconds
 from ..functions.hist import ABOVE, BELOW, INSIDE, bucket
-from ..functions.tags import all_of, first_tag, keep_tags
+from ..functions.tags import all_of, first_tag
 from ..plans.conf import Histogram, ReportConf
 from .filters import key_names, request_filter, request_key, request_keys_present, timer_filter, timer_tag_names
 from .source import Source
@@ -67,15 +67,15 @@ def timer_rows(source: Source, conf: ReportConf, time_unit: str = "s", extra: tu
         return reduce(and_, [first_tag(tags, k.name).isNotNull() for k, _ in of_timer], timer_filter(conf, tags))
 
     if s.timers is not None:
-        t = s.timers.select("request_id", "hit_count", "value_ns", F.col("ru_utime_ns").alias("u"), F.col("ru_stime_ns").alias("s"), keep_tags(F.col("tags"), wanted).alias("tt")).where(counted(F.col("tt")))
-        t = t.select("request_id", "hit_count", "value_ns", "u", "s", *[first_tag(F.col("tt"), k.name).alias(n) for k, n in of_timer])
+        # the keys' values are taken out of the tags here, so that no array is shuffled
+        t = s.timers.where(counted(F.col("tags"))).select("request_id", "hit_count", "value_ns", F.col("ru_utime_ns").alias("u"), F.col("ru_stime_ns").alias("s"), *[first_tag(F.col("tags"), k.name).alias(n) for k, n in of_timer])
         j = s.requests.select("request_id", *extra, *of_request).join(t, "request_id")
         return j.select("request_id", *extra, *names, F.lit(None).cast("int").alias("req"), F.col("hit_count").alias("hit"), F.col("value_ns").alias("time"), F.col("u").alias("utime"), F.col("s").alias("stime"))
     kept = F.transform(
         F.filter("timers", lambda t: counted(t["tags"])),
         lambda t: F.struct(t["hit_count"].alias("hit"), t["value_ns"].alias("time"), t["ru_utime_ns"].alias("utime"), t["ru_stime_ns"].alias("stime"), F.array(*[first_tag(t["tags"], k.name) for k, _ in of_timer]).cast("array<string>").alias("k")),
     )
-    tag_names = F.flatten(F.transform("timers", lambda t: F.transform(t["tags"], lambda x: x["name"])))
+    tag_names = F.flatten(F.transform("timers", lambda t: t["tags"]["name"]))
     r = s.requests.where(all_of(tag_names, wanted)).select("request_id", *extra, *of_request, kept.alias("__kept")).where(F.size("__kept") > 0)
     r = r.select("request_id", *extra, *[n for k, n in zip(conf.keys, names) if k.kind != "ttag"], F.transform("__kept", lambda t: t["k"]).alias("__keys"), F.posexplode("__kept").alias("__i", "t"))
     first = (F.array_position("__keys", F.col("t.k")) == F.col("__i") + 1).cast("int")
@@ -170,9 +170,12 @@ def report(source: Source, conf: ReportConf, as_of: str | None = None, time_unit
         out = packet_report(source, conf, time_unit, quantize, compat, wanted)
     else:
         rows = request_rows(source, conf, time_unit) if conf.kind == "request" else timer_rows(source, conf, time_unit)
-        out = derived(aggregate_rows(rows, source, conf, names), conf, names)
+        out = None
+        if columns is None or any(c not in (*names, *hist_cols) for c in columns) or not wanted:
+            out = derived(aggregate_rows(rows, source, conf, names), conf, names)
         if wanted:
-            out = out.join(percentile_columns(histogram_rows(rows, conf, names, quantize, compat), conf, names, compat=compat), names, "left")
+            h = percentile_columns(histogram_rows(rows, conf, names, quantize, compat), conf, names, compat=compat)
+            out = h if out is None else out.join(h, names, "left")
     return out.select(*columns) if columns else out
 
 

@@ -49,6 +49,10 @@ def _conf(kind: str, keys: str, hist: str = "no_percentiles", filters: str = "no
     return parse_report_conf(f"v2/{kind}/{window}/{keys}/{hist}/{filters}")
 
 
+def _flat(spark: SparkSession, d: str):
+    return from_orders(spark, d, flat=True)
+
+
 def _add(name: str, conf: ReportConf, sql: str | None, source: Callable = from_orders, **kw) -> None:
     QUERIES[name] = lambda spark, d: report(source(spark, d), conf, **kw)
     if sql:
@@ -63,7 +67,9 @@ for _name, _filters, _where in (
     ("packet_filtered", "min_time=0.05,max_time=0.3,~status=200,+app=app-3", "t >= 50000000 and t < 300000000 and status = '200' and app = 'app-3'"),
     ("packet_nothing", "~host=nowhere", "host = 'nowhere'"),
 ):
-    _add(_name, _conf("packet", "no_keys", filters=_filters), f"with {REQ}, {TIM} select {_PACKET} from req where {_where}")
+    _sql = f"with {REQ}, {TIM} select {_PACKET} from req where {_where}"
+    _add(_name, _conf("packet", "no_keys", filters=_filters), _sql, _flat)
+    _add(f"{_name}_nested", _conf("packet", "no_keys", filters=_filters), _sql)
 
 # --- request ----------------------------------------------------------------------------------
 
@@ -73,7 +79,7 @@ def _request(name: str, keys: str, filters: str = "no_filters", where: str = "tr
     cols = [k.lstrip("~+") for k in keys.split(",")]
     present = " and ".join(f"{k[1:]} is not null" for k in keys.split(",") if k[0] == "+") or "true"
     rows = f"select request_id, {', '.join(cols)}, t, u, s, traffic, mem from req where ({where}) and {present}"
-    _add(name, conf, derived_sql("request", rows, cols, window, ctes=REQ))
+    _add(name, conf, derived_sql("request", rows, cols, window, ctes=REQ), _flat)
 
 
 for _f in ("host", "script", "server", "schema", "status"):
@@ -98,7 +104,7 @@ def _timer(name: str, keys: str, filters: str = "no_filters", where: str = "true
     checks = [f"{k[1:]} is not null" for k in keys.split(",") if k[0] in "+@"] + [f"{k[1:]} <> ''" for k in keys.split(",") if k[0] == "~"]
     rows = f"select req.request_id, {', '.join(cols)}, hit, tim.t, tim.u, tim.s from req join tim using (request_id) where ({where}) and {' and '.join(checks)}"
     extra = [*cols, *(c for m in _DERIVED["timer"] for c in (m[2], f"{m[3]}_per_sec", f"{m[3]}_percent"))]
-    _add(name, conf, derived_sql("timer", rows, cols, conf.window_sec, ctes=f"{REQ}, {TIM}"), (lambda s, d: from_orders(s, d, flat=True)) if flat else from_orders, columns=extra)
+    _add(name, conf, derived_sql("timer", rows, cols, conf.window_sec, ctes=f"{REQ}, {TIM}"), (_flat) if flat else from_orders, columns=extra)
 
 
 _timer("timer_by_tag", "@flag", flat=True)
@@ -155,7 +161,7 @@ _H = "p0,p50,p75,p95,p99.9,p100"
 _cols = [n for n, _ in _PCT] + ["histogram_data"]
 _add("request_percentiles", _conf("request", "~script", f"hv=0:500:5000,{_H}"), f"with {REQ}, {hist_sql('select script, t v, 1 w from req', ['script'], 0, 100000, 5000, _PCT, 'hv=0:500:5000')}", columns=["script", *_cols])
 _add("request_percentiles_narrow", _conf("request", "~host,+app", f"hv=0:200:100,{_H}"), f"with {REQ}, {hist_sql('select host, app, t v, 1 w from req where app is not null', ['host', 'app'], 0, 2000000, 100, _PCT, 'hv=0:200:100')}", columns=["host", "app", *_cols])
-_add("timer_percentiles_weighted", _conf("timer", "@flag,@state", f"hv=0:1000:100000,{_H}"), f"with {TIM}, {hist_sql('select flag, state, t // hit v, hit w from tim where flag is not null and state is not null and request_id in (select o_orderkey from orders)', ['flag', 'state'], 0, 10000, 100000, _PCT, 'hv=0:1000:100000')}", lambda s, d: from_orders(s, d, flat=True), columns=["flag", "state", *_cols])
+_add("timer_percentiles_weighted", _conf("timer", "@flag,@state", f"hv=0:1000:100000,{_H}"), f"with {TIM}, {hist_sql('select flag, state, t // hit v, hit w from tim where flag is not null and state is not null and request_id in (select o_orderkey from orders)', ['flag', 'state'], 0, 10000, 100000, _PCT, 'hv=0:1000:100000')}", _flat, columns=["flag", "state", *_cols])
 _add("packet_percentiles", _conf("packet", "no_keys", f"hv=0:500:5000,{_H}"), f"with {REQ}, {hist_sql('select t v, 1 w from req', [], 0, 100000, 5000, _PCT, 'hv=0:500:5000', True)}", columns=_cols)
 
 # --- windows ----------------------------------------------------------------------------------
@@ -191,6 +197,7 @@ _add("metrics_by_layer", _conf("timer", "@layer"), derived_sql("timer", "select
 # --- counters ---------------------------------------------------------------------------------
 
 _CR = _conf("request", "~host,+app", filters="min_time=0.1,+prio=1")
+QUERIES["active_counters_timer_nested"] = lambda spark, d: counters(from_orders(spark, d), _CT)
 QUERIES["active_counters_request"] = lambda spark, d: counters(from_orders(spark, d, flat=True), _CR)
 ORACLES["active_counters_request"] = f"""with {REQ}, r as (select case when not (t >= 100000000 and coalesce(prio = '1', false)) then 'filters' when app is null then 'rtag' end reason from req)
  select count(*) packets_received, count(*) filter (reason is null) packets_aggregated, 0::bigint packets_dropped_by_bloom, count(*) filter (reason = 'filters') packets_dropped_by_filters, 0::bigint packets_dropped_by_rfield, count(*) filter (reason = 'rtag') packets_dropped_by_rtag, 0::bigint packets_dropped_by_timertag,
@@ -204,6 +211,7 @@ ORACLES["active_counters_timer"] = f"""with {REQ}, {TIM},
  select count(*) packets_received, count(*) filter (early is null and k > 0) packets_aggregated, count(*) filter (early = 'bloom') packets_dropped_by_bloom, count(*) filter (early = 'filters') packets_dropped_by_filters, count(*) filter (early = 'rfield') packets_dropped_by_rfield,
   count(*) filter (early = 'rtag') packets_dropped_by_rtag, count(*) filter (early is null and k = 0) packets_dropped_by_timertag, coalesce(sum(n) filter (early is null), 0)::bigint timers_scanned, coalesce(sum(k) filter (early is null), 0)::bigint timers_aggregated,
   coalesce(sum(b) filter (early is null), 0)::bigint timers_skipped_by_bloom, coalesce(sum(f) filter (early is null), 0)::bigint timers_skipped_by_filters, 0::bigint timers_skipped_by_tags from e"""
+ORACLES["active_counters_timer_nested"] = ORACLES["active_counters_timer"]
 QUERIES["status_unpivot"] = lambda spark, d: counters(from_orders(spark, d, flat=True), _CR).select(*[F.col(n).cast("bigint").alias(n) for n in NAMES]).unpivot([], list(NAMES), "Variable_name", "Value")
 ORACLES["status_unpivot"] = f"unpivot ({ORACLES['active_counters_request']}) on columns(*) into name Variable_name value Value"
 

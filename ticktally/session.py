@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input comes in fewer pieces than there are cores, as a small file does.
+
+    At scale, inputs have more pieces than cores and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of tasks a shuffle should have: the larger of the configured value and two per core."""
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))

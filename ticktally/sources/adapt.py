@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.durations import to_ns
 from ..operators.dedup import distinct_rows
 from ..operators.source import TAGS, TIMERS, Source
-from ..session import table
+from ..session import spread, table
 
 
 def tag_array(*pairs: tuple[str, Column]) -> Column:
-    """Tags of the pairs whose value is not null, in order."""
-    return F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(n).alias("name"), v.alias("value"))) for n, v in pairs])).cast(TAGS)
+    """Tags of the pairs, in order; a pair whose value is null becomes a tag named ``-`` that no report asks for,
+    so that the array is a plain constructor the optimizer sees through."""
+    return F.array(*[F.struct(F.when(v.isNotNull(), F.lit(n)).otherwise("-").alias("name"), F.coalesce(v, F.lit("")).alias("value")) for n, v in pairs])
 
 
 def from_orders(spark: SparkSession, d: str, flat: bool = False) -> Source:
     """Orders as requests, line items as their timers; blank servers and absent or repeated tags included."""
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"))
     k = F.col("o_orderkey")
     r = o.select(
         k.alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("ts"),
@@ -36,7 +37,7 @@ def from_orders(spark: SparkSession, d: str, flat: bool = False) -> Source:
             ("prio", F.substring("o_orderpriority", 1, 1)),
         ).alias("tags"),
     )
-    t = table(spark, d, "lineitem").select(
+    t = spread(table(spark, d, "lineitem").drop("l_shipdate")).select(
         F.col("l_orderkey").alias("request_id"), F.col("l_quantity").cast("bigint").alias("hit_count"),
         F.round(F.col("l_extendedprice") * 10000).cast("bigint").alias("value_ns"),
         F.round(F.col("l_discount") * 1e9).cast("bigint").alias("ru_utime_ns"), F.round(F.col("l_tax") * 1e9).cast("bigint").alias("ru_stime_ns"),
@@ -51,7 +52,7 @@ def from_orders(spark: SparkSession, d: str, flat: bool = False) -> Source:
 
 def from_events(spark: SparkSession, d: str) -> Source:
     """Events as requests without timers."""
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events"))
     ns = F.round(F.coalesce("value", F.lit(0.0)) * 1e6).cast("bigint")
     r = e.select(
         F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"), F.lit("events").alias("server"), F.col("event_type").alias("script"),
