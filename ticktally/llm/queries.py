@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import distinct_rows
-from ..session import cut, table
+from ..session import cut, spread, table
 from . import lossy, mix, pack, pii, pii_train, quantile
 
 SUPPORT, ERROR = 0.01, 0.0005
@@ -105,7 +105,7 @@ SEED = 8
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    return pack.sized(table(spark, d, "documents"), "doc_id", "source", "text")
+    return pack.sized(spread(table(spark, d, "documents").select("doc_id", "source", "text")), "doc_id", "source", "text")
 
 
 def _small(df: DataFrame) -> list:
@@ -178,12 +178,12 @@ def _lexicon(spark: SparkSession, d: str) -> pii.Lexicon:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Distinct pieces of personal information of every text."""
-    return pii.find(table(spark, d, "documents"), "doc_id", "text", _lexicon(spark, d), pii_train.fitted())
+    return pii.find(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", _lexicon(spark, d), pii_train.fitted())
 
 
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every text with its personal information replaced by typed placeholders."""
-    return pii.redact(table(spark, d, "documents"), "doc_id", "text", _lexicon(spark, d), pii_train.fitted())
+    return pii.redact(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", _lexicon(spark, d), pii_train.fitted())
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_intervals, p6_found, p6_percentiles, p6_daily, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_redacted)}
