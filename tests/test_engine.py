@@ -81,3 +81,35 @@ def test_fan_out(spark, tmp_path):
 
     fan_out(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")), confs, sink, str(tmp_path / "cp")).awaitTermination(120)
     assert seen == {"a": 200, "b": 300}
+
+
+def test_udp_stream_end_to_end(spark, tmp_path):
+    """Datagrams through the stream source, decoding, validation and a report."""
+    import socket
+    import time
+
+    from pyspark.sql import functions as F
+
+    from ticktally.operators.report import report
+    from ticktally.sources import udp, wire
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    udp.register(spark)
+    got = []
+    live = spark.readStream.format("udp_metrics").option("address", "127.0.0.1").option("port", port).option("batch_timeout_ms", 300).load()
+    q = live.writeStream.foreachBatch(lambda df, n: got.extend(bytes(r.datagram) for r in df.collect())).option("checkpointLocation", str(tmp_path / "udp")).start()
+    try:
+        message = {"hostname": "h", "server_name": "s", "script_name": "x", "request_count": 1, "document_size": 7, "memory_peak": 1, "request_time": 0.5, "ru_utime": 0.0, "ru_stime": 0.0}
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+            until = time.time() + 60
+            while len(got) < 3 and time.time() < until:
+                s.sendto(wire.encode_message(message), ("127.0.0.1", port))
+                time.sleep(0.2)
+    finally:
+        q.stop()
+    assert len(got) >= 3
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(got)], "n bigint, datagram binary")
+    source = wire.ingest(wire.decode(rows, "datagram", ["n"]).withColumn("ts", F.current_timestamp()), "n", "ts")
+    assert report(source, parse_report_conf("v2/request/60/~host/no_percentiles/no_filters")).first().traffic_total == 7 * len(got)

@@ -20,12 +20,22 @@ class UdpReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
         self.size = int(options.get("batch_size", 1024))
         self.wait = int(options.get("batch_timeout_ms", 100)) / 1000
-        self.sock = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-        if hasattr(socket, "SO_REUSEPORT"):
-            self.sock.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEPORT, 1)
-        address = options.get("address", "*")
-        self.sock.bind(("" if address == "*" else address, int(options.get("port", 3002))))
-        self.sock.setblocking(False)
+        self.address, self.port = options.get("address", "*"), int(options.get("port", 3002))
+        self._sock: socket.socket | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_sock": None}  # readers are sent to the process that runs them
+
+    @property
+    def sock(self) -> socket.socket:
+        """Opened where it is first used."""
+        if self._sock is None:
+            self._sock = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+            if hasattr(socket, "SO_REUSEPORT"):
+                self._sock.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEPORT, 1)
+            self._sock.bind(("" if self.address == "*" else self.address, self.port))
+            self._sock.setblocking(False)
+        return self._sock
 
     def initialOffset(self) -> dict:
         return {"packets": 0}
