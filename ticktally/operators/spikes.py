@@ -39,11 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, parallelism
 from .dedup import distinct_rows
 from .skew import fragment_join, plan_fragments
 
 BINS = 16  # a 16th of an octave
+PIECE_ROWS = 400_000  # of a range partition, which one Python worker holds as vectors
 PEAKS = (0.9, 0.95, 0.98)  # thresholds tried; a source of several regimes only fits from a high one on
 BROADCAST_ROWS = 50_000  # of cutoffs; beyond that the join is fragmented
 
@@ -81,14 +82,16 @@ def _runs(source: np.ndarray, value: np.ndarray, valid: np.ndarray) -> tuple[np.
     return rows, number, np.bincount(number)
 
 
-def _columns(t: pa.Table, fields: tuple[str, ...]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    source = np.array(t.column("source").to_pylist(), dtype=object)
+def _columns(t: pa.Table, fields: tuple[str, ...]) -> tuple[np.ndarray, pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
+    """Codes of the sources (-1 for null), the names they stand for, and values and validity of each field."""
+    named = t.column("source").combine_chunks().dictionary_encode()
+    source = np.asarray(named.indices.fill_null(-1), dtype=np.int64)
     out = []
     for f in fields:
         c = t.column(f).combine_chunks()
-        valid = np.asarray(c.is_valid()) & np.array([s is not None for s in source], bool)
+        valid = np.asarray(c.is_valid()) & (source >= 0)
         out.append((np.asarray(c.fill_null(0.0), dtype=np.float64), valid))
-    return source, out
+    return source, named.dictionary, out
 
 
 def _stitch(edges: list, fields: tuple[str, ...]) -> dict[tuple[int, str], tuple[int, int]]:
@@ -133,14 +136,14 @@ def stuck_flags(ordered: DataFrame, rules: SpikeRules) -> DataFrame:
         for b in batches:  # batch by batch: only the edge runs are kept
             if not b.num_rows:
                 continue
-            source, cols = _columns(pa.Table.from_batches([b]), fields)
+            source, names, cols = _columns(pa.Table.from_batches([b]), fields)
             for f, (v, ok) in zip(fields, cols):
                 rows, number, n = _runs(source, v, ok)
                 if not len(rows):
                     continue
                 starts = np.searchsorted(number, np.arange(len(n)))
                 for k in ([0, len(n) - 1] if len(n) > 1 else [0]):
-                    run = [source[rows[starts[k]]], float(v[rows[starts[k]]]), int(n[k])]
+                    run = [names[int(source[rows[starts[k]]])].as_py(), float(v[rows[starts[k]]]), int(n[k])]
                     st = state.setdefault(f, [])
                     if st and k == 0 and st[-1][0] == run[0] and st[-1][1] == run[1]:
                         st[-1][2] += run[2]
@@ -161,7 +164,7 @@ def stuck_flags(ordered: DataFrame, rules: SpikeRules) -> DataFrame:
         t = _whole(batches)
         if t is None:
             return
-        source, cols = _columns(t, fields)
+        source, _, cols = _columns(t, fields)
         for f, (v, ok) in zip(fields, cols):
             rows, number, n = _runs(source, v, ok)
             flags = np.zeros(t.num_rows, bool)
@@ -294,7 +297,8 @@ def implausible(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     r = rules
     rows = distinct_rows(df, [r.record, r.time, r.source, *r.fields])
     rows = rows.select(F.col(r.record).alias("record"), F.col(r.source).alias("source"), F.col(r.time).alias("time"), *[F.col(f).cast("double").alias(f) for f in r.fields])
-    ordered = cut(rows.repartitionByRange("source", "time", "record").sortWithinPartitions("source", "time", "record"))
+    pieces = max(parallelism(df.sparkSession), -(-df.count() // PIECE_ROWS))
+    ordered = cut(rows.repartitionByRange(pieces, "source", "time", "record").sortWithinPartitions("source", "time", "record"))
     flagged = stuck_flags(ordered, r)
     flagged = cut(flagged)
     limits = cut(source_limits(flagged, r).withColumn("has_limits", F.lit(True)))
