@@ -1,3 +1,5 @@
+import re
+
 import pyarrow as pa
 import pytest
 
@@ -87,3 +89,24 @@ def test_redaction_keeps_the_rest():
             assert s.start >= last
             rest, last = rest + text[last : s.start] + text[s.start : s.end], s.end
         assert rest + text[last:] == text
+
+
+def whole(text):
+    return sorted((s.kind, text[s.start : s.end]) for s in pii.decode(text, LEX, W))
+
+
+@pytest.mark.parametrize("text, want", [
+    ("The pump (12) turns. National Insurance no. QQ  77 90 92 C.", "QQ  77 90 92 C"),
+    ("The pump (12) turns. NIE X-1234567  -  B, and so on.", "X-1234567  -  B"),
+    ("The pump (12) turns. con DNI 99.996.609  -W y 3.", "99.996.609  -W"),
+    ("The pump (12) turns. SSN ６６６-８５-４３３０.", "６６６-８５-４３３０"),
+])
+def test_number_gate_loses_nothing(text, want):
+    assert found(text) == whole(text) == [("id_number", want)]
+
+
+def test_number_gate_with_wide_gaps():
+    for text, _ in pii_train.sample(300, 11):
+        for wide in ("  ", " - ", " "):
+            t = re.sub(r"(?<=[A-Z\d])[ -](?=[A-Z\d])", wide, text)
+            assert [x for x in found(t) if x[0] in ("id_number", "phone")] == [x for x in whole(t) if x[0] in ("id_number", "phone")], t

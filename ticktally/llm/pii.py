@@ -373,6 +373,36 @@ _BREAK = "\x01"
 
 
 EMAILS, NUMBERS, ADDRESSES, PERSONS = 1, 2, 4, 8
+#: What the classes of Python's expressions mean, inside of brackets, to Arrow's, which know ASCII only.
+CLASSES = {r"\d": r"\p{Nd}", r"\s": r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}", r"\w": r"\p{L}\p{N}_"}
+
+
+def linear(pattern: str) -> str:
+    """A linear-time expression that is found in every text in which a segment pattern is found: the
+    pattern without its conditions on what stands around it."""
+    out, i, bracket = [], 0, False
+    while i < len(pattern):
+        if not bracket and (m := re.compile(r"\(\?<?[=!]").match(pattern, i)):
+            i, depth, inside = m.end(), 1, False
+            while depth:
+                c = pattern[i]
+                if c == "\\":
+                    i += 1
+                elif inside:
+                    inside = c != "]"
+                else:
+                    inside, depth = c == "[", depth + (c == "(") - (c == ")")
+                i += 1
+        elif pattern[i] == "\\":
+            two = pattern[i : i + 2]
+            out.append(two if two not in CLASSES else CLASSES[two] if bracket else f"[{CLASSES[two]}]")
+            i += 2
+        else:
+            c = pattern[i]
+            bracket = c != "]" if bracket else c == "["
+            out.append(c)
+            i += 1
+    return "".join(out)
 
 
 def gates(lex: Lexicon) -> dict[int, str]:
@@ -382,8 +412,7 @@ def gates(lex: Lexicon) -> dict[int, str]:
     lexicon = "|".join(re.escape(x) for x in sorted(cased))
     return {
         EMAILS: r"\w\s?[@＠]\s?[A-Za-z0-9-]+\s?[.．\[({]|[\[({]\s?(?:at|AT|arroba|chez)\s?[\])}]|\b(?:at|AT)\s\S+\s(?:dot|DOT)\b",
-        NUMBERS: r"(?:\p{Nd}[\s()（）./\-‐-–－\x{00a0}\x{2009}\x{202f}]{0,3}){9}|[+＋]\p{Nd}|(?:[Tt]el|TEL|[Ff]ax|FAX|[Pp]hone|[Cc]all|Mobil|[Hh]otline|\([TFM]\)|Fon|[Tt]él)\S{0,9}\s*[:(]?\s*[+(]?\p{Nd}"
-        r"|\b[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b|\b[A-Z]{1,2}-?\d{6,9}\b|\b\d{2}\.?\d{3}\.?\d{3}\s?-?\s?[A-Z]\b|\b[A-Z]\d{4}[A-Z]\d{4}",
+        NUMBERS: f"{linear(PHONE.pattern)}|{linear(IDS.pattern)}",
         ADDRESSES: r"\b(?:Box|BOX|Postfach|POSTFACH|Apartado|Apdo|B\.?P\.?|Boîte postale)\s|(?:\d|bis|ter|quater|[A-D]),?\s+(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|cours|RUE|AVENUE|BOULEVARD|PLACE)\s|C/|(?:Calle|CALLE|Avda|Avenida|AVENIDA|Plaza|PLAZA|Paseo|Pza|Camino|Ronda)\b"
         rf"|\d[a-zA-Z]?,?\s+(?:\S+\s+){{1,3}}{STREETS}(?:[\s,]|$)|[a-zß.]\s+\d{{1,4}}\s?[a-z]?,?\s+(?:[A-Z]{{1,2}}-)?\d{{4,5}}\s+[A-Z]|\b(?:Am|An der|Im|Zum|Zur|Auf dem|In der|Unter den)\s+[A-ZÀ-Þ]\S+\s+\d",
         PERSONS: r"(?:[Ii]nvent(?:or|eur|rice)|INVENTOR|Erfinder|Attorney|[Aa]gent:|Vertreter|Mandataire|Representante|Anwalt|[Dd]eclara[tc]i[oó]n|Erklärung|[Dd]éclaration|witness|supervised by|wurde von|suivie? par|dirigido por|sketch by|stammt von|croquis|that day|due to|thanks to|signed|gez\.|[Ff]irmado|[Ff]do\.|[Ss]igné|\(72\)|c/o|erklärt|testigo|témoin|Zeuge|[Aa]ttn|Hd\.)"
