@@ -170,6 +170,24 @@ def test_spikes(spark):
     assert spikes.implausible(_stream(spark, rows).limit(0)).count() == 0
 
 
+def test_spikes_at_every_share(spark):
+    r = random.Random(4)
+    spike = {"n20": (20, [3.0, 5.5, 40.0]), "n40": (40, [4.0, 9.0, 30.0, 250.0]), "n60": (60, [5.0, 6.0, 7.0]), "n100": (100, [3.5, 9.0, 11.0, 45.0, 160.0, 900.0]),
+             "n240": (240, [4.0, 6.5, 15.0, 33.0, 80.0, 200.0, 450.0, 1200.0]), "n240b": (240, [8.0, 9.0, 11.0, 13.0, 17.0, 21.0, 26.0, 31.0, 37.0, 44.0]), "n400": (400, [9.0, 12.0, 15.0, 21.0, 30.0, 41.0, 55.0, 70.0])}
+    rows, want = [], set()
+    for h, (n, high) in spike.items():
+        at = dict(zip(r.sample(range(n), len(high)), high))
+        for i in range(n):
+            if i in at:
+                want.add((len(rows), "request_time"))
+            rows.append((len(rows), T0 + timedelta(minutes=17 * i), h, at.get(i, r.uniform(0.1, 0.6)), None, None))
+    for i in range(100):  # a shift for good
+        rows.append((len(rows), T0 + timedelta(minutes=17 * i), "shifted", r.uniform(0.1, 0.3) if i < 75 else r.uniform(6, 14), None, None))
+    for i in range(200):  # now and then a slow request
+        rows.append((len(rows), T0 + timedelta(minutes=17 * i), "slow", r.uniform(1.5, 4) if i % 33 == 5 else r.uniform(0.1, 0.5), None, None))
+    assert {tuple(x) for x in spikes.implausible(_stream(spark, rows)).collect()} == want
+
+
 def test_stuck_runs_over_partitions(spark):
     r = random.Random(7)
     rows = []

@@ -12,12 +12,19 @@ Zero means "not sent".  How spikes are told from a source's normal tail:  readin
 per source, field, hour of day and 1/16 octave, with each bin's exact least and greatest value
 (a summary of bounded size, combined on the map side).  Hourly means of the logarithm, shrunk
 towards the source's own mean, give the season; the residuals above a threshold (of the 90th,
-95th and 98th percentile the one with the least cutoff) are the peaks.  For every place in the outer ``rare`` share of a tail where neighbouring readings lie
-more than ``factor`` apart, a generalised Pareto law is fitted by probability-weighted moments
-to the peaks inside of it, and its cutoff at the fixed risk of ``risk`` expected readings per
-source is taken; the innermost place whose outer readings are all beyond the cutoff divides
-normal from spike.  A large, narrow outer group is another regime of the source, not a set of
-spikes.  The exact factor holds by construction, as the dividing gap is measured on values.
+95th and 98th percentile of the inner readings the one with the least cutoff, and lower ones in
+small sources) are the peaks.  For every place where neighbouring readings lie more than ``factor``
+apart and less than the share ``minority`` of the readings is outside, a generalised Pareto law is
+fitted by probability-weighted moments to the peaks inside of it, and its cutoff at the fixed risk
+of ``risk`` expected readings per source is taken; the innermost place whose outer readings are all
+beyond the cutoff divides normal from spike.  Neither the number nor the share of the spikes counts,
+but what lies between two such places may be another regime of the source, and spikes lie beyond
+all regimes.  A regime is dense (``regime_density`` readings an octave, within ``regime_octaves``,
+not all equal) and either near (less than ``regime_gap`` octaves from the normal readings before it,
+with ``regime_size`` readings, ``regime_share`` of the source and ``regime_part`` of all that is
+outside) or large (``far_size`` readings and ``far_share`` of the source).  Where a source has few
+readings, a few slow ones of a regime can't be told from spikes.  The exact factor holds by
+construction, as the dividing gap is measured on values.
 
 Stuck runs need the global order of each source.  Rows are range-partitioned by source, time
 and record, which splits a hot source over many tasks; runs are found within partitions, and
@@ -46,6 +53,7 @@ from .skew import fragment_join, plan_fragments
 BINS = 16  # a 16th of an octave
 PIECE_ROWS = 400_000  # of a range partition, which one Python worker holds as vectors
 PEAKS = (0.9, 0.95, 0.98)  # thresholds tried; a source of several regimes only fits from a high one on
+FEW_PEAKS = (0.75, 0.5)  # tried in this order where the others leave too few peaks
 BROADCAST_ROWS = 50_000  # of cutoffs; beyond that the join is fragmented
 
 
@@ -60,11 +68,16 @@ class SpikeRules:
     least: int = 20
     factor: float = 2.0
     stuck: int = 8
-    rare: float = 0.03
     risk: float = 1.0
-    regime_size: int = 8
+    minority: float = 0.5
+    regime_octaves: float = 4.0
+    regime_density: float = 2.5
+    regime_gap: float = 3.0
+    regime_size: int = 3
     regime_share: float = 0.015
-    regime_octaves: float = 3.0
+    regime_part: float = 0.3
+    far_size: int = 8
+    far_share: float = 0.1
 
 
 # --- stuck runs -------------------------------------------------------------------------------
@@ -212,22 +225,28 @@ def tail_limit(low: np.ndarray, high: np.ndarray, residual: np.ndarray, count: n
     top = np.maximum.accumulate(high)
     outer = total - np.cumsum(count)  # readings after each entry
     gap = low[1:] - top[:-1]
-    most = max(2.0, rules.rare * total)
-    places = np.flatnonzero((gap > np.log2(rules.factor)) & (outer[:-1] <= most))
-    by_res = np.argsort(residual, kind="stable")
-    rank = np.cumsum(count[by_res]) / total
-    thresholds = [residual[by_res][min(len(rank) - 1, int(np.searchsorted(rank, q)))] for q in PEAKS]
-    for k in places:  # innermost first
-        inside = slice(0, k + 1)
-        n_out, spread = outer[k], high[k + 1 :].max() - low[k + 1]
-        if n_out >= max(rules.regime_size, rules.regime_share * total) and spread < rules.regime_octaves:
-            continue
-        limits = []
-        for threshold in thresholds:
-            peaks = residual[inside] > threshold
-            if count[inside][peaks].sum() >= 5:
-                limits.append(threshold + _pareto_cutoff(residual[inside][peaks] - threshold, count[inside][peaks].astype(float), rules.risk))
-        if residual[k + 1 :].min() > min(limits, default=thresholds[0]):
+    wide = gap > np.log2(rules.factor)
+    places = np.flatnonzero(wide & (outer[:-1] < rules.minority * total))
+    first = 0  # of the places that lie beyond all regimes
+    for i, k in enumerate(places):  # the group between this gap and the next
+        end = places[i + 1] if i + 1 < len(places) else len(low) - 1
+        size, spread = outer[k] - outer[end], high[k + 1 : end + 1].max() - low[k + 1]
+        near = low[k + 1] - top[places[first]] < rules.regime_gap and size >= max(rules.regime_size, rules.regime_share * total, rules.regime_part * outer[k])
+        if 0 < spread < min(rules.regime_octaves, (size - 1) / rules.regime_density) and (near or size >= max(rules.far_size, rules.far_share * total)):
+            first = i + 1
+    for k in places[first:]:  # innermost first
+        inner, n_in = residual[: k + 1], count[: k + 1]
+        by_res = np.argsort(inner, kind="stable")
+        rank = np.cumsum(n_in[by_res]) / n_in.sum()
+        limits: list[float] = []
+        for q in PEAKS + FEW_PEAKS:
+            if q in FEW_PEAKS and limits:
+                break
+            threshold = inner[by_res][min(len(rank) - 1, int(np.searchsorted(rank, q)))]
+            peaks = inner > threshold
+            if n_in[peaks].sum() >= 5:
+                limits.append(threshold + _pareto_cutoff(inner[peaks] - threshold, n_in[peaks].astype(float), rules.risk))
+        if residual[k + 1 :].min() > min(limits, default=inner.max()):
             return float(low[k + 1])
     return None
 
