@@ -110,3 +110,25 @@ def test_number_gate_with_wide_gaps():
         for wide in ("  ", " - ", " "):
             t = re.sub(r"(?<=[A-Z\d])[ -](?=[A-Z\d])", wide, text)
             assert [x for x in found(t) if x[0] in ("id_number", "phone")] == [x for x in whole(t) if x[0] in ("id_number", "phone")], t
+
+
+@pytest.mark.parametrize("text, want", [
+    ("The pump (12) turns. " * 9 + t + " The pump (12) turns." * 9, [("name" if k is None else k, w) for k, w in w])
+    for t, w in (
+        ("Contact: Mirek Tolvane, room 4.", [(None, "Mirek Tolvane")]),
+        ("Nombre: Mirek Tolvane, sala 4.", [(None, "Mirek Tolvane")]),
+        ("It was drawn by Mirek Tolvane here.", [(None, "Mirek Tolvane")]),
+        ("Dessin par Mirek Tolvane ici.", [(None, "Mirek Tolvane")]),
+        ("REED ZELLENBRAND states that it turns.", [(None, "REED ZELLENBRAND")]),
+        ("then J. Tolvane noted it.", [(None, "J. Tolvane")]),
+        ("So Messrs Tolvane saw it.", [(None, "Tolvane")]),
+        ("See M Tolvane about it.", [(None, "Tolvane")]),
+        ("Here Mirek Tolvane; Jorel Banvik; Odra Felkin; Tasso Gruvin; Pavo Lindrek met.", [(None, x) for x in ("Jorel Banvik", "Mirek Tolvane", "Odra Felkin", "Pavo Lindrek", "Tasso Gruvin")]),
+        ("demeurant 12, av. Verte, 25233 Valmont.", [("address", "12, av. Verte, 25233 Valmont")]),
+        ("wohnhaft Tannenstraße 124, 35527 Überlingen.", [("address", "Tannenstraße 124, 35527 Überlingen")]),
+        ("Apdo. 154, 25233 Osuna.", [("address", "Apdo. 154, 25233 Osuna")]),
+        ("Write to kelm  @example.org now.", [("email", "kelm  @example.org")]),
+    )
+])
+def test_gates_lose_nothing(text, want):
+    assert found(text) == whole(text) == want

@@ -14,8 +14,10 @@ sentences), starting from a prior; nothing of the corpus is used.
 
 To be fast on long texts, texts are cut into sentences in Arrow and a linear-time expression
 keeps those that can hold any segment at all (an at sign, a run of digits, a street or box word,
-a cue, a lexicon word); kept sentences are read together with their neighbours.  The expression
-is a superset of what segments need, so no segment is lost by it.
+a cue, a lexicon word); kept sentences are read together with their neighbours.  The expressions
+are made of the segments' own patterns, cues and titles, up to where the cut into sentences may
+have taken a blank, so no segment is lost by them.  A name without lexicon word, cue, title or
+neighbour in a list scores below 0.
 
 Cases: null and empty texts have no findings; a finding repeated in a text is reported once;
 very long texts are read whole; the text is otherwise unchanged by ``redact``.
@@ -407,16 +409,31 @@ def linear(pattern: str) -> str:
 
 def gates(lex: Lexicon) -> dict[int, str]:
     """Linear-time expressions, each true of every sentence in which a segment of its kinds can start."""
-    words = sorted({w for k in (lex.given, lex.family) for w in k})
-    cased = {x for w in words for x in (w.title(), w.upper(), w[:1].upper() + w[1:], " ".join(p[:1].upper() + p[1:] for p in w.split(" ")))}
-    lexicon = "|".join(re.escape(x) for x in sorted(cased))
+    words = sorted({w.split(" ")[-1] for k in (lex.given, lex.family) for w in k})
+    lexicon = "|".join(re.escape(w[0].upper()) + f"(?i:{re.escape(w[1:]).replace('ss', '(?:ss|ß|ẞ)')})" for w in words if w)
+    family = rf"(?:{PARTICLE}\s+)?[{UP}]"
+    starts = rf"(?:{WORD},?{S}{family}|{PARTICLE}{S}{WORD},|{INITIAL})"  # of a name without a title
+    listed = rf"(?:{WORD},?{S}{FAMILY}|{INITIAL}{S}?{FAMILY}|{WORD},{S}{INITIAL}){GAPS['name>name'].pattern}{starts}"
+    cue = PERSON_CUE.pattern.removesuffix("$")
+    way = r"(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|cours|RUE|AVENUE|BOULEVARD|PLACE)"
     return {
-        EMAILS: r"\w\s?[@＠]\s?[A-Za-z0-9-]+\s?[.．\[({]|[\[({]\s?(?:at|AT|arroba|chez)\s?[\])}]|\b(?:at|AT)\s\S+\s(?:dot|DOT)\b",
+        EMAILS: linear(EMAIL.pattern),
         NUMBERS: f"{linear(PHONE.pattern)}|{linear(IDS.pattern)}",
-        ADDRESSES: r"\b(?:Box|BOX|Postfach|POSTFACH|Apartado|Apdo|B\.?P\.?|Boîte postale)\s|(?:\d|bis|ter|quater|[A-D]),?\s+(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|cours|RUE|AVENUE|BOULEVARD|PLACE)\s|C/|(?:Calle|CALLE|Avda|Avenida|AVENIDA|Plaza|PLAZA|Paseo|Pza|Camino|Ronda)\b"
-        rf"|\d[a-zA-Z]?,?\s+(?:\S+\s+){{1,3}}{STREETS}(?:[\s,]|$)|[a-zß.]\s+\d{{1,4}}\s?[a-z]?,?\s+(?:[A-Z]{{1,2}}-)?\d{{4,5}}\s+[A-Z]|\b(?:Am|An der|Im|Zum|Zur|Auf dem|In der|Unter den)\s+[A-ZÀ-Þ]\S+\s+\d",
-        PERSONS: r"(?:[Ii]nvent(?:or|eur|rice)|INVENTOR|Erfinder|Attorney|[Aa]gent:|Vertreter|Mandataire|Representante|Anwalt|[Dd]eclara[tc]i[oó]n|Erklärung|[Dd]éclaration|witness|supervised by|wurde von|suivie? par|dirigido por|sketch by|stammt von|croquis|that day|due to|thanks to|signed|gez\.|[Ff]irmado|[Ff]do\.|[Ss]igné|\(72\)|c/o|erklärt|testigo|témoin|Zeuge|[Aa]ttn|Hd\.)"
-        + r"|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|Sra?|Srta|Señora?|Don|Doña|Ing)\b\.?(?:\s|$)|\bM\.(?:\s[A-ZÀ-Þ]|$)" + (f"|{lexicon}" if lexicon else ""),
+        # up to where a sentence may end within an address
+        ADDRESSES: linear(
+            rf"\d[a-zA-Z]?,?{S}(?:{WORD}{S}){{1,3}}{STREETS}"
+            rf"|(?:[Bb]ox|BOX|Postfach|POSTFACH|Apartado(?: de Correos)?|Apdo\.?|B\.?P\.?|Boîte postale){S}(?:n[º°o]\.?\s?\d|n[º°o]\.$|\d)|(?:Apdo|B\.?P)\.$"
+            rf"|[a-zß]{S}\d{{1,4}}\s?[a-z]?,?{S}?{CODE}{S}[{UP}]"
+            rf"|(?:Am|An der|Im|Zum|Zur|Auf dem|In der|Unter den){S}{WORD}{S}\d"
+            rf"|\d(?:{S}(?:bis|ter|quater)|\s?[A-D])?,?{S}{way}(?:{S}|$)"
+            r"|C/|Calle|CALLE|Avda|Avenida|AVENIDA|Plaza|PLAZA|Paseo|Pza|Camino|Ronda"
+        ),
+        # an initial or an abbreviated title or cue may end a piece
+        PERSONS: linear(
+            rf"{cue}(?:{starts}|$)|{WORD}{AFTER_PERSON.pattern}|{listed}|(?:^|[^\w]){INITIAL}$"
+            rf"|(?:^|[^\w]){TITLE}\.?(?:\s+(?:{TITLE}\.|{family})|\s*$)"
+        )
+        + (f"|{lexicon}" if lexicon else ""),
     }
 
 
