@@ -74,7 +74,7 @@ class SpikeRules:
     regime_density: float = 2.5
     regime_gap: float = 3.0
     regime_size: int = 3
-    regime_share: float = 0.015
+    regime_share: float = 0.02
     regime_part: float = 0.3
     far_size: int = 8
     far_share: float = 0.1
