@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticktally.operators import skew, spikes, wide
-from ticktally.operators.nested import Child, Element, plan_relations
+from ticktally.operators.nested import Child, Element, plan_relations, read_json, write_json
 from ticktally.plans import problems
 from ticktally.sources.wire_json import GRAPH, request_shredder
 
@@ -52,10 +52,45 @@ def test_nested_to_any_depth():
     v = dict(LEAF, dictionary=["a", "b"])
     for _ in range(300):
         v = {"hostname": "o", "requests": [v]}
-    rows = request_shredder().rows_of(json.dumps(v))
+    rows = list(request_shredder().rows_of(json.dumps(v)))
     assert len(rows) == 301 and rows[-1][0].count(".") == 300 and rows[-1][2]["timers"][0]["tags"][0]["tag_name"] == "a"
 
 
+def test_nested_beyond_the_stack():
+    v = dict(LEAF, dictionary=["a", "b"])
+    for _ in range(30_000):
+        v = {"hostname": "o", "requests": [v]}
+    n = 0
+    for path, _, row in request_shredder().rows_of(write_json(v)):
+        n += 1
+    assert n == 30_001 and len(path) == 60_001 and row["timers"][0]["tags"][0]["tag_value"] == "b"
+    text = "[" * 100_000 + '{"a": [1, 2.5, "x\\n", null, true, {}, []], "b": 12}' + "]" * 100_000
+    assert write_json(read_json(text)) == text
+    for broken in (text[:-1], text + "]", text.replace(" 12", ""), text.replace("null", "nul"), text.replace("}]", "},]")):
+        assert read_json(broken) is None
+
+
+def test_envelopes_and_numbers_without_bound():
+    v = LEAF | {"dictionary": ["a", "b"]}
+    for i in range(50):
+        v = {"msg": v, "v": 1} if i % 9 else {"payload": json.dumps(v)} if i < 12 else {"body": v}
+    (row,) = request_shredder().rows_of(json.dumps(v))
+    assert row[2]["hostname"] == "h" and len(row[2]["timers"]) == 1
+    (row,) = request_shredder().rows_of('{"hostname": "h", "status": ' + "9" * 5000 + ', "document_size": "' + "8" * 5000 + '", "memory_peak": "\u00b2"}')
+    assert row[2]["hostname"] == "h" and row[2]["status"] is None and row[2]["document_size"] is None and row[2]["memory_peak"] is None
+
+
+def test_whole_copies(spark, monkeypatch):
+    deep = json.dumps(LEAF | {"dictionary": ["a", "b"]})
+    for _ in range(600):
+        deep = '{"hostname": "o", "requests": [' + deep + "]}"
+    long = json.dumps({"hostname": "x" * 21_000_000})
+    rows = [(1, 0, deep[:-3]), (1, 1, deep), (2, 0, long[:-1]), (2, 1, long), (3, 0, "{"), (3, 1, "[1"), *[(4, 5, json.dumps({"hostname": f"h{i}"})) for i in range(50)], (4, 3, '{"hostname": "first"}'), (None, 0, "{}")]
+    df = spark.createDataFrame([(k, T0 + timedelta(seconds=s), p) for k, s, p in rows], "packet_id bigint, received_at timestamp, payload string")
+    got = {r.packet_id: r.document for r in request_shredder().whole_copies(df, "packet_id", "payload", "received_at").collect()}
+    assert set(got) == {1, 2, 4, None} and got[1] == deep and got[2] == long and got[4] == '{"hostname": "first"}'
+
+
 VALUES = [
     ("int", "1,455", 1455), ("int", "31.00", 31), ("int", "88e3", 88000), ("int", "+50", 50), ("int", " 28\t", 28), ("int", "00000003", 3), ("int", "794_392", 794392), ("int", "-1", -1), ("int", "12a4", None), ("int", "2.5", None), ("int", "", None), ("int", "1,45", None), ("int", "NaN", None),
     ("float", "0,602", 602), ("float", "50961e-3", 50961), (("float"), ".383", 383), ("float", "41.3%", 413), ("float", "58.3 %", 583), ("float", "9393E-03", 9393), ("float", "-1.5", -1500), ("float", "null", None), ("float", "NaN", None),

@@ -13,21 +13,29 @@ shuffle.  The recursive element comes out as one row per object; relations that
 travel in that row as arrays of structs, so the flat tables are plain ``explode``s of it and a
 join along a foreign key needs no shuffle (``leaves``).
 
+Documents are read to any depth: where the C reader runs out of stack, a reader without recursion
+takes over.  A path is as long as its object is deep, so a chain of n objects has n * n characters of
+paths; rows leave in batches bounded in bytes.
+
 Cases: a null, empty or unreadable document gives no row; absent, null and empty children are
-the same; ties of copies are settled by the earliest delivery; extra columns of the input are
-ignored, so that their names can't clash.
+the same; of several copies of a document the earliest one that the reader can read whole counts,
+ties are settled by the text's hash; extra columns of the input are ignored, so that their names
+can't clash.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8_000_000  # of paths in a batch of rows
+
 
 @dataclass(frozen=True)
 class Child:
@@ -90,10 +98,11 @@ _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "doubl
 
 class NestedShredder:
     """``decode`` turns one raw document into a list of logical root records (nested dicts named as in
-    the graph), or None if the document can't be read whole."""
+    the graph), or None if the document can't be read whole; ``whole`` tells that for less work."""
 
-    def __init__(self, elements: dict[str, Element], root: str, spine: str, decode: Callable[[str], list[dict] | None]):
+    def __init__(self, elements: dict[str, Element], root: str, spine: str, decode: Callable[[str], list[dict] | None], whole: Callable[[str], bool] | None = None):
         self.elements, self.root, self.spine, self.decode = elements, root, spine, decode
+        self.whole = whole or (lambda document: decode(document) is not None)
         self.relations = plan_relations(elements, root)
         if "recursive" not in self.relations[spine].reasons and spine != root:
             raise ValueError("the spine is the root or the recursive element")
@@ -135,14 +144,13 @@ class NestedShredder:
             row[col] = [{"ordinal": i} | self._row(child, v) for i, v in enumerate(found)]
         return row
 
-    def rows_of(self, document: str | None) -> list[tuple[str, str, dict]]:
+    def rows_of(self, document: str | None) -> Iterator[tuple[str, str, dict]]:
         """(path, parent path, row) of every spine object of a document, any depth, without recursion on it."""
         tops = self.decode(document) if document else None
-        out = []
         stack = [(str(i), "", t) for i, t in enumerate(tops or []) if t is not None][::-1]
         while stack:
             path, parent, value = stack.pop()
-            out.append((path, parent, self._row(self.spine, value)))
+            yield path, parent, self._row(self.spine, value)
             kids: list = []
             for names in self.self_paths:
                 at = value
@@ -151,34 +159,46 @@ class NestedShredder:
                 found = (at or {}).get(names[-1])
                 kids += [] if found is None else found if isinstance(found, list) else [found]
             stack += [(f"{path}.{i}", path, k) for i, k in enumerate(kids) if k is not None][::-1]
-        return out
 
-    def shred(self, df: DataFrame, key: str, payload: str, delivered: str) -> DataFrame:
-        """One row per spine object: key, path, parent_path, columns, arrays of hanging relations.
+    def whole_copies(self, df: DataFrame, key: str, payload: str, delivered: str) -> DataFrame:
+        """(key, document): of several copies of a key the earliest that can be read whole.
 
-        Of several copies of a key the earliest whole one counts.  They are combined by an
-        aggregate with map-side combine before anything is parsed in Python; a copy's being
-        whole is tested in the JVM.
+        The reader itself decides what is whole.  Every task keeps one copy of a key before the
+        shuffle (the limit on the row number is pushed below it), so copies never pile up.
         """
-        whole = F.when(F.get_json_object(payload, "$").isNotNull(), 0).otherwise(1)
-        order = F.struct(whole.alias("w"), F.col(delivered).alias("d"), F.length(payload).alias("n"), F.col(payload).alias("p"))
-        one = df.where(F.col(payload).isNotNull()).groupBy(key).agg(F.min_by(F.col(payload), order).alias("document"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                bad = [not self.whole(d.as_py()) for d in b.column(2)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bad, pa.bool_())], names=["k", "d", "p", "bad"])
+
+        rows = df.where(F.col(payload) != "").select(F.col(key).cast("bigint").alias("k"), F.col(delivered).alias("d"), F.col(payload).alias("p"))
+        kind = rows.schema["d"].dataType.simpleString()
+        rows = rows.mapInArrow(run, f"k bigint, d {kind}, p string, bad boolean").where("not bad")
+        first = Window.partitionBy("k").orderBy(F.col("d").asc_nulls_last(), F.xxhash64("p"), "p")
+        return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("k").alias(key), F.col("p").alias("document"))
+
+    def shred(self, df: DataFrame, key: str, payload: str, delivered: str) -> DataFrame:
+        """One row per spine object: key, path, parent_path, columns, arrays of hanging relations."""
         cols = [("doc_key", pa.int64()), ("path", pa.string()), ("parent_path", pa.string()), *self._arrow(self.spine)]
         schema = pa.schema(cols)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows: list[dict] = []
+            size = 0
             for b in batches:
-                keys, docs = b.column(0).to_pylist(), b.column(1)
-                rows: list[dict] = []
-                for k, d in zip(keys, docs):
-                    rows += [{"doc_key": k, "path": p, "parent_path": q} | r for p, q, r in self.rows_of(d.as_py())]
-                    if len(rows) >= 5000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-        return one.select(F.col(key).cast("bigint"), "document").mapInArrow(run, f"doc_key bigint, path string, parent_path string, {self._ddl(self.spine)}").withColumnRenamed("doc_key", key)
+                for k, d in zip(b.column(0).to_pylist(), b.column(1)):
+                    for path, parent, row in self.rows_of(d.as_py()):
+                        rows.append({"doc_key": k, "path": path, "parent_path": parent} | row)
+                        size += 2 * len(path)
+                        if len(rows) >= 5000 or size >= BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+        one = self.whole_copies(df, key, payload, delivered)
+        return one.mapInArrow(run, f"doc_key bigint, path string, parent_path string, {self._ddl(self.spine)}").withColumnRenamed("doc_key", key)
 
     def flat(self, shredded: DataFrame, key: str) -> dict[str, DataFrame]:
         """The flat tables: the spine and, per relation and place it hangs at, its rows with the foreign key."""
@@ -195,9 +215,99 @@ class NestedShredder:
         return out
 
 
+def _long_int(digits: str) -> int | float:
+    """An integer of more digits than Python reads at once is far beyond any type here."""
+    return int(digits) if len(digits) < 400 else float(digits)
+
+
+_MARK = re.compile(r'[ \t\r\n]*([\[\]{},:"]|[^ \t\r\n\[\]{},:"]+)')
+
+
+def _read_deep(text: str):
+    """The value of a JSON text of any depth; raises ValueError if it isn't one."""
+    atom = json.JSONDecoder(parse_int=_long_int).decode
+    open_: list = []  # containers around the place of reading, and the key a value is for
+    value: list = []  # the finished value, once there is one
+    at, key, want = 0, None, "value"  # what may come: value, value] (first of a list), key, key} (first of an object), colon, after
+    end = len(text.rstrip(" \t\r\n"))
+    while at < end:
+        m = _MARK.match(text, at)
+        mark = m[1]
+        at = m.end()
+        if mark == '"':
+            mark, at = json.decoder.scanstring(text, at)
+            if want in ("key", "key}"):
+                key, want = mark, "colon"
+                continue
+            got = mark
+        elif mark in "[{" and want in ("value", "value]"):
+            open_.append(([] if mark == "[" else {}, key))
+            want = "value]" if mark == "[" else "key}"
+            continue
+        elif mark == ":" and want == "colon":
+            want = "value"
+            continue
+        elif mark == "," and want == "after" and open_:
+            want = "value" if isinstance(open_[-1][0], list) else "key"
+            continue
+        elif mark in "]}" and open_ and want in ("after", "value]" if mark == "]" else "key}") and isinstance(open_[-1][0], list if mark == "]" else dict):
+            got, key = open_.pop()
+            want = "value"
+        elif mark not in '[]{},:"':
+            got = atom(mark)
+        else:
+            raise ValueError("not JSON")
+        if want not in ("value", "value]"):
+            raise ValueError("not JSON")
+        if not open_:
+            value.append(got)
+        elif isinstance(open_[-1][0], list):
+            open_[-1][0].append(got)
+        else:
+            open_[-1][0][key] = got
+        want = "after"
+    if len(value) != 1 or open_:
+        raise ValueError("not JSON")
+    return value[0]
+
+
 def read_json(text: str):
     """The value of a JSON text, or None if it isn't one (cut off, empty, garbage)."""
     try:
         return json.loads(text)
-    except (ValueError, RecursionError):
+    except json.JSONDecodeError:
         return None
+    except (ValueError, RecursionError):  # numbers or nesting beyond the fast reader's limits
+        try:
+            return _read_deep(text)
+        except ValueError:
+            return None
+
+
+def write_json(value) -> str:
+    """JSON text of a value of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    work: list = [(value,)]  # values in tuples, text as it is
+    while work:
+        x = work.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        (v,) = x
+        if isinstance(v, list):
+            parts: list = ["["]
+            for i, e in enumerate(v):
+                parts += [", ", (e,)] if i else [(e,)]
+            work += [*parts, "]"][::-1]
+        elif isinstance(v, dict):
+            parts = ["{"]
+            for i, (k, e) in enumerate(v.items()):
+                parts += [", "] * bool(i) + [json.dumps(k, ensure_ascii=False) + ": ", (e,)]
+            work += [*parts, "}"][::-1]
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)

@@ -8,10 +8,10 @@ record, with the flat timer lists regrouped into timers and dictionary offsets r
 
 from __future__ import annotations
 
-import json
 import math
+import re
 
-from ..operators.nested import Child, Element, NestedShredder, read_json
+from ..operators.nested import Child, Element, NestedShredder, read_json, write_json
 
 _SCALARS = (
     ("hostname", "string"), ("server_name", "string"), ("script_name", "string"), ("schema", "string"),
@@ -48,7 +48,7 @@ def _number(v) -> float | None:
 def _whole(v) -> int | None:
     if isinstance(v, int) and not isinstance(v, bool):
         return v
-    if isinstance(v, str) and v.strip().lstrip("+-").isdigit():
+    if isinstance(v, str) and re.fullmatch(r"\s*[+-]?\d{1,400}\s*", v):
         return int(v)
     n = _number(v)
     return int(n) if n is not None and math.isfinite(n) and n == int(n) else None
@@ -66,7 +66,7 @@ def _list(v, words: bool = False) -> list:
     if isinstance(v, str) and v.lstrip()[:1] in ("[", "{") and (inner := read_json(v)) is not None:
         v = inner
     if isinstance(v, dict):
-        if all(k.isdigit() for k in v):
+        if all(re.fullmatch(r"\d{1,18}", k) for k in v):
             return [v[k] for k in sorted(v, key=int)]
         return [v]
     if isinstance(v, list):
@@ -75,7 +75,7 @@ def _list(v, words: bool = False) -> list:
 
 
 def _text(v) -> str | None:
-    return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    return v if v is None or isinstance(v, str) else write_json(v)
 
 
 def _fields(o: dict) -> dict:
@@ -111,10 +111,10 @@ def _timers(f: dict, words: list[str] | None) -> list[dict] | None:
     return out
 
 
-def decode_requests(text: str) -> list[dict | None] | None:
-    """The logical records of a payload; None if it isn't whole JSON or holds no message."""
+def _message(text: str) -> dict | list | None:
+    """What the envelopes of a payload hold; None if it isn't whole JSON or holds no message."""
     v = read_json(text)
-    for _ in range(8):  # envelopes in envelopes
+    while True:  # ends: every step goes one deeper into a finite text
         if isinstance(v, str):
             v = read_json(v)
         if not isinstance(v, dict) or len(_fields(v)) > 1:
@@ -123,7 +123,13 @@ def decode_requests(text: str) -> list[dict | None] | None:
         if not inner:
             break
         v = inner[0]
-    if not isinstance(v, (dict, list)):
+    return v if isinstance(v, (dict, list)) else None
+
+
+def decode_requests(text: str) -> list[dict | None] | None:
+    """The logical records of a payload; None if it isn't whole JSON or holds no message."""
+    v = _message(text)
+    if v is None:
         return None
     tops: list = [None if o is None else {"__raw": o, "__words": None} for o in _objects(v)]
     work = [t for t in tops if t is not None]
@@ -145,4 +151,4 @@ def decode_requests(text: str) -> list[dict | None] | None:
 
 
 def request_shredder() -> NestedShredder:
-    return NestedShredder(GRAPH, "envelope", "request", decode_requests)
+    return NestedShredder(GRAPH, "envelope", "request", decode_requests, lambda text: _message(text) is not None)
