@@ -1,524 +1,152 @@
 """Personal information in free text: a semi-Markov conditional random field over whole spans.
 
-A segmentation of a text scores the sum of its segments' scores; what lies outside of segments
-scores 0.  A segment is a span with a type, and its features look at the whole span: its shape,
-its digits, the cues before and after it, membership of its words in a lexicon.  Transitions
-reward a span that continues a list of the same type.  Viterbi over segments (bounded-entity
-dynamic programming: no segment is longer than its type's bound) chooses boundaries and types
-jointly, so that a name inside an address, or the digits of an identity number inside a phone
-number, compete as wholes.
-
-Weights are fitted by the averaged structured perceptron on sentences made from the templates
-and invented words in ``pii_train`` (a fixed seed and a bounded, documented number of
-sentences), starting from a prior; nothing of the corpus is used.
-
-To be fast on long texts, texts are cut into sentences in Arrow and a linear-time expression
-keeps those that can hold any segment at all (an at sign, a run of digits, a street or box word,
-a cue, a lexicon word); kept sentences are read together with their neighbours.  The expressions
-are made of the segments' own patterns, cues and titles, up to where the cut into sentences may
-have taken a blank, so no segment is lost by them.  A name without lexicon word, cue, title or
-neighbour in a list scores below 0.
+A segmentation of a text scores the sum of its segments' scores and of the transitions between
+neighbours; what lies outside of segments scores 0.  Every span of ``pii_spans.candidates`` is a
+possible segment, with features of the whole span.  The weights are those of greatest likelihood
+(``pii_train``: forward and backward sums over all segmentations) on generated labelled sentences;
+they start from 0, and nothing of the corpus is used.  Viterbi over segments (bounded-entity
+dynamic programming, as no segment is longer than its type's bound) chooses boundaries and types
+jointly: a name inside an address, or the digits of an identity number inside a phone number,
+compete as wholes.
+
+Every text is read from end to end by one pass over all of its tokens; there is no filter before it.
+A segment has at most as many tokens as its type's bound in ``pii_spans``; longer ones are not found.
 
 Cases: null and empty texts have no findings; a finding repeated in a text is reported once;
-very long texts are read whole; the text is otherwise unchanged by ``redact``.
+very long texts are read whole; the text is otherwise unchanged by ``redact``; ties between
+segmentations go to the earlier one.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-KINDS = ("email", "phone", "id_number", "address", "name")
-LONGEST = {"email": 120, "phone": 45, "id_number": 40, "address": 130, "name": 70}
-
-# --- shapes: fixed word lists --------------------------------------------------------------------
-
-S = r"(?:[ \t   ]*\r?\n[ \t]*|[ \t   ]+)"  # white space, at most one line break
-UP, LOW = "A-ZÀ-ÖØ-ÞŒŠŽ", "a-zß-öø-ÿœšž"
-WORD = rf"(?:[{UP}]['’])?[{UP}][{UP}{LOW}]+(?:[-‐][{UP}][{UP}{LOW}]+)*"
-PARTICLE = r"(?:van(?:\s+de[rn]?)?|von(?:\s+der)?|zu|de(?:\s+la)?|del|della|di|du|da|le|la|ter|ten|VAN|VON|DE|DEL|DI|DU|DA|ZU)"
-FAMILY = rf"(?:{PARTICLE}{S})?{WORD}"
-INITIAL = rf"[{UP}]\."
-TITLE = r"(?:Mr|Mrs|Ms|Miss|Messrs|Dr|Prof|Herrn?|Frau|Mme|Mlle|M|Sr|Sra|Srta|Señora?|Don|Doña|Ing|Dipl\.-Ing)"
-AT = rf"(?:{S}?[@＠]{S}?|{S}?[\[({{]\s?(?:at|AT|arroba|chez)\s?[\])}}]{S}?|\s+(?:at|AT)\s+(?=[\w-]+\s+(?:dot|DOT)\s))"
-DOT = r"(?:\.|．|\s?[\[({]\s?(?:dot|DOT|punto|point|punkt)\s?[\])}]\s?|\s+(?:dot|DOT)\s+)"
-EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9_](?:[\w.+%'-]*[\w+])?{AT}[A-Za-z0-9](?:[\w-]*\w)?(?:{DOT}[A-Za-z0-9][\w-]*)*{DOT}[A-Za-z]{{2,12}}(?![\w@])")
-PHONE = re.compile(r"(?<![\w.,/+@-])(?:\+|＋|00(?=\d{2}))?[(（]?\d(?:[\d ()（）\xa0  ‐-–－-]|[./](?=\d)|\r?\n(?=[\d(])){5,26}\d(?:,?\s?(?:ext|Ext|x|poste|Durchwahl|App|int|extensión)\.?\s?\d{1,5})?(?![\w@]|[.,/-]\d)")
-IDS = re.compile(
-    r"(?<![\w.,/+-])(?:"
-    r"\d{3}(?:-\d{2}-|\s{1,2}\d{2}\s{1,2})\d{4}"  # social security number
-    r"|[A-Z]{2}\s{0,2}\d{2}\s{0,2}\d{2}\s{0,2}\d{2}\s{0,2}[A-D]"  # national insurance
-    r"|[12]\s{0,2}\d{2}\s{0,2}\d{2}\s{0,2}\d{2}\s{0,2}\d{3}\s{0,2}\d{3}(?:\s{0,2}\d{2})?"  # social security, 13 or 15 digits
-    r"|\d{2}\s{0,2}\d{3}\s{0,2}\d{3}\s{0,2}\d{3}"  # tax, 11 digits
-    r"|\d{2}\.?\d{3}\.?\d{3}\s{0,2}-?\s{0,2}[A-Z]"  # identity card with letter
-    r"|[XYZ]-?\d{7}\s{0,2}-?\s{0,2}[A-Z]"  # foreigner's identity card
-    r"|[A-Z]\d{4}[A-Z]\d{4}|[A-Z]{1,2}\d{6,9}|\d{9,12}"  # identity card, passport
-    r")(?![\w]|[.,/-]\d)"
-)
-STREETS = r"(?:Street|St\.?|Lane|Ln\.?|Road|Rd\.?|Avenue|Ave\.?|Court|Ct\.?|Drive|Close|Square|Place|Row|Way|Terrace|Crescent|Boulevard|Blvd\.?|STREET|ST\.?|LANE|ROAD|AVENUE|COURT|DRIVE|CLOSE|SQUARE|PLACE|WAY)"
-PLACE = rf"{WORD}(?:{S}{WORD}){{0,2}}"
-CODE = rf"(?:[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{S}\d[A-Z]{{2}}|(?:[A-Z]{{1,2}}-)?\d{{4,5}}(?:-\d{{4}})?)"
-C = rf"(?:,{S}?|{S})"
-TAIL = rf"(?:{C}{CODE}{S}{PLACE}|{C}{PLACE}{C}{CODE}|{C}{PLACE})"
-UNIT = r"(?:Flat|Apt\.?|Apartment|Suite|Unit|Room|FLAT|SUITE|UNIT)"
-ADDRESS = [
-    re.compile(p)
-    for p in (
-        rf"(?<![\w/.-])(?:{UNIT}{S}\w{{1,4}},{S}?)?\d{{1,4}}[a-zA-Z]?(?:\s?[-–/]\s?\d{{1,4}})?,?{S}(?:{WORD}{S}){{1,3}}{STREETS}(?:,?{S}{UNIT}{S}\w{{1,4}})?{TAIL}(?!\w)",
-        rf"(?<!\w)(?:P\.?\s?O\.?{S}?[Bb]ox|PO BOX|P\.O\. BOX|Postfach|POSTFACH|Apartado(?: de Correos)?|Apdo\.?|B\.?P\.?|Boîte postale){S}(?:n[º°o]\.?\s?)?\d{{1,6}}(?:{S}\d{{2,3}})?{TAIL}(?!\w)",
-        rf"(?<!\w)(?:(?:Am|An der|Im|Zum|Zur|Auf dem|In der|Unter den){S}{WORD}|{WORD}(?: {WORD})?)(?<=[a-zß.]){S}\d{{1,4}}\s?[a-z]?,?{S}?{CODE}{S}{PLACE}(?!\w)",
-        rf"(?<!\w)(?:Am|An der|Im|Zum|Zur|Auf dem|In der|Unter den){S}{WORD}{S}\d{{1,4}}\s?[a-z]?(?![\w])",
-        rf"(?<![\w/.-])\d{{1,4}}(?:{S}(?:bis|ter|quater)|\s?[A-D])?,?{S}(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|cours|RUE|AVENUE|BOULEVARD|PLACE)(?:{S}(?:des|de la|de|du|la|le|les)|{S}(?:de{S})?l['’])?{S}{PLACE}{C}{CODE}{S}{PLACE}(?!\w)",
-        rf"(?<!\w)(?:C/|Calle|Avda\.?|Avenida|Plaza|Paseo|Pza\.?|Camino|Ronda|CALLE|AVENIDA|PLAZA)(?:{S}(?:de las|de los|de la|del|de))?{S}?{PLACE},?{S}(?:n[º°]\.?\s?)?\d{{1,4}}(?:,{S}?\d{{1,2}}[º°ªo]\.?{S}?\w{{0,4}})*{C}{CODE}{S}{PLACE}(?!\w)",
-    )
-]
-NAMES = [
-    ("given_family", re.compile(rf"(?<![\w'’-])(?=({WORD}(?:{S}{INITIAL}){{0,2}}{S}{FAMILY})(?![\w]))")),
-    ("family_given", re.compile(rf"(?<![\w'’-])(?=({FAMILY},{S}{WORD}(?:{S}{INITIAL}){{0,2}})(?![\w]))")),
-    ("initials", re.compile(rf"(?<![\w'’.-])(?=({INITIAL}(?:{S}?{INITIAL}){{0,2}}{S}{FAMILY})(?![\w]))")),
-    ("family_initials", re.compile(rf"(?<![\w'’.-])(?=({FAMILY},{S}{INITIAL}(?:{S}?{INITIAL})?)(?![\w]))")),
-    ("titled", re.compile(rf"(?<![\w'’.-]){TITLE}\.?{S}(?:{TITLE}\.{S}){{0,2}}({FAMILY})(?![\w])")),
-]
-
-# --- cues --------------------------------------------------------------------------------------
-
-PERSON_CUE = re.compile(
-    r"(?:(?:[Ii]nventor(?:\(s\)|s|es|as?|in)?|INVENTORS?|Erfinder(?:in|innen)?|[Ii]nventeur(?:\(s\)|s)?|Inventrice|Attorney(?: or agent)?|[Aa]gent|Vertreter(?:in)?|Mandataire|Representante|Anwalt|Signatory|Contact|Name|Nom|Nombre)\s*:"
-    r"|(?:[Dd]eclaration of|[Ee]rklärung von|[Dd]éclaration de|[Dd]eclaración de|by|wurde von|von|suivie? par|par|dirigido por|por|stammt von|dû à|es de|(?:log of )?that day|(?:due|thanks) to|witness,|witnessed:|signed[,:]?|gez\.|[Ff]irmado[,:]?|[Ff]do\.:?|[Ss]igné[,:]?|\(72\)|c/o|erklärt|[Zz]\. ?Hd\.|[Aa]ttn\.?:?|testigo[,:]?|témoin[,:]?|Zeuge[,:]?|día,?|jour,?|Tages))\s*$"
-)
-STRONG_CUE = re.compile(r"(?::|\(72\)|c/o|signed[,:]?|gez\.|witness,|of|von|de|by|par|por|to|à|erklärt|day)\s*$")
-AFTER_PERSON = re.compile(r"(?:\s*<[^>\n]{3,60}>|\s*\((?:ID|Ausweis|pièce|documento|DNI)|,?\s+(?:noted|confirmed|states?\b|hereby|repeated|objected|in the second week|for the drawings|and was never|begleitet|und blieb|notierte|bestätigte|anotó|confirmó|declara|n['’]a pas|a (?:noté|confirmé|déclaré)|y no se)|,\s+(?:dass|confirm))")
-AFTER_PAIR = re.compile(r"\s*(?:,?\s*\n\s*)(?:\d|P\.|Flat|Tel|C/|Calle|[^\n]{3,40}\d)")
-COMPANY_AFTER = re.compile(r"\s*(?:&|Holdings?\b|Werke\b|GmbH|Labs?\b|Laboratories|Systems?\b|Devices\b|Works\b|Ltd|Limited|Inc\b|Corp|AG\b|SE\b|S\.?A\.?|SARL|Co\.|Company|Group\b|Partners|Process\b|Standard\b|gauge|Street|Industries|Instruments|method|test\b)|[ \t]+\d")
-COMPANY_CUE = re.compile(r"(?:Applicant|Assignee|Licensee|Anmelder(?:in)?|Demandeur|Solicitante|Titular|Titulaire|Inhaber)\s*:\s*$")
-PHONE_CUE = re.compile(r"(?:[Tt]el(?:ef|eph|éph|éf)?\w*|TEL|[Ff]ax|FAX|[Pp]hone|[Cc]all|[Mm]obile?|Mobil|[Hh]otline|\([TFM]\)|[Tt]éléphone|[Tt]eléfono|[Ll]lamar|[Aa]nruf|Fon)\.?\s*[:(]?\s*$")
-NUMBER_TRAP = re.compile(r"(?:no|No|Nr|nº|n°|card|docket|lot|[Bb]atch|range|[Pp]riority:?|XA|to|\d|Ser|Serial|type|Drawing no|Process No)\.?\s*$")
-CARD_TRAP = re.compile(r"(?:card|docket|lot|[Bb]atch|range|[Pp]riority:?|XA\b.{0,12}|[Dd]rawing|[Ss]erial|[Pp]rocess|Filed|applica\w*|gauge|[Pp]art|[Oo]rder|[Ii]nvoice|[Cc]atalogue?|[Vv]alve|192\.0|[Cc]laims?|Anspr\w+)\s*(?:no|No|Nr|nº|n°)?\.?:?\s*$")
-ID_CUE = re.compile(r"(?:SSN|[Ss]ocial [Ss]ecurity(?: number| no\.?)?|[Dd]eclarant|\bID(?:-Nr\.?)?|Steuer-?ID(?:entifikationsnummer)?(?:-Nr\.?)?|Steuernummer|(?:[Ss]teuerliche )?[Ii]dentifikationsnummer|[Aa]usweis(?:-?[Nn]r\.?)?|[Pp]assport|[Rr]eisepass|[Pp]asaporte|[Pp]asseport|[Nn]ational [Ii]nsurance(?: number)?|\bNI(?:NO)?|NIR|INSEE|sécurité sociale|DNI|NIE|NIF|documento|pièce|carte d['’]identité|[Tt]ax|TIN|[Ii]dentity card|Sozialversicherungsnummer|[Ss]eguridad [Ss]ocial)\s*(?:no|No|number|Nr|nº|n°|num)?\.?\s*[:(]?\s*$")
-ADDRESS_CUE = re.compile(r"(?:[Aa]ddress(?: for service)?|[Rr]esidence|[Rr]esiding at|Anschrift|wohnhaft|Adresse|demeurant|domicilié\w*(?: au)?|Domicilio|domicilio en|[Dd]irección|workshop at|\bof|\bat|\bin|Werkstatt|atelier(?: du| au)?|taller(?: de| en)?)\s*:?\s*$")
-#: What may stand between two segments of which the second continues the first.
-GAPS = {"name>name": re.compile(r"\s*(?:[;,/&·|]|and|und|et|y|e)\s*"), "name>email": re.compile(r"[\s<(,:]{1,4}"), "name>address": re.compile(r",?[ \t]*\r?\n\s*")}
-
-#: Prior weights; ``pii_train`` starts from them.
-PRIOR = {
-    "email": 2.0, "email:spelled": -0.2, "email:cue": 1.0,
-    "phone": -2.0, "phone:cue": 3.0, "phone:plus": 3.0, "phone:bracket": 2.0, "phone:trunk": 1.8, "phone:groups": 0.6, "phone:trap": -3.5, "phone:digits": -4.0, "phone:plan": 2.6, "phone:date": -5.0, "phone:id_cue": -4.0, "phone:ext": 1.5,
-    "id_number": -2.0, "id_number:cue": 4.5, "id_number:trap": -3.0, "id_number:phone_cue": -3.5, "id_number:shape": 0.8, "id_number:lettered": 1.5, "id_number:cap2": 1.0,
-    "address": 1.0, "address:cue": 1.5, "address:street": 0.7, "address:town": 0.8, "address:code": 0.8, "address:short": -1.2, "address:trap": -4.0, "address:break": -3.0, "address:long": 0.4,
-    "name": -2.6, "name:cue": 3.6, "name:after": 2.8, "name:given": 1.7, "name:family": 1.7, "name:initial": 0.5, "name:company": -6.0, "name:company_cue": -6.0, "name:place": -2.5, "name:title": 1.2,
-    "name:titled": 4.2, "name:family_given": -0.3, "name:initials": -0.2, "name:caps": 0.2, "name:heading": -2.5, "name:label": -5.0, "name:block": 1.0, "name:order": 0.6,
-    "name>name": 2.6, "name>email": 0.3, "name>address": 2.4,
-}
-
-#: Capitalised words that start sentences, label fields or name things; never parts of a person's name.
-PLAIN = frozenset(
-    "the this that these those after before if when while as in on at for from to with without it its an and or of by according address airport application applicant assignee licensee attorney agent inventor inventors contact declaration claim claims abstract description fig figure table drawing batch colour correspondence copies call hotline heat einbau ii iii iv earlier known measurements reference residence telephone tel fax priority filed valve trials thanks suite flat box street lane road avenue court mr mrs ms dr prof die der das ein eine einer bei wie wenn wird vorteilhaft bekannte frühere für nach mit von und erfinder vertreter anschrift ausweis erklärung ansprüche anspruch zusammenfassung beschreibung messungen ausführungsform fachmann aufgabe signal wärme klemmt tabelle herr frau le la les un une des du de si pour selon comme lorsque inventeur inventeurs mandataire adresse déclaration revendications revendication abrégé description résumé mesures chaleur el los las una uno según como cuando inventores representante domicilio declaración reivindicaciones resumen descripción calor señal para objetivo holding werke gmbh labs systems devices works company group north south east west january february march april may june july august september october november december e-mail email courriel correo personalausweis steuer national insurance social security passport process standard no old rückfragen skizze versuch courrier écrire escribir mailto signed rue calle".split()
-)
-
-
-@dataclass
-class Lexicon:
-    given: frozenset = frozenset()
-    family: frozenset = frozenset()
-    street: frozenset = frozenset()
-    town: frozenset = frozenset()
-
-    @classmethod
-    def of(cls, rows) -> Lexicon:
-        kinds: dict[str, set] = {"given": set(), "family": set(), "street": set(), "town": set()}
-        for word, kind in rows:
-            if word and kind in kinds:
-                kinds[kind].add(word.casefold())
-        return cls(*(frozenset(kinds[k]) for k in ("given", "family", "street", "town")))
-
-
-@dataclass
-class Segment:
-    start: int
-    end: int
-    kind: str
-    features: tuple[str, ...] = ()
-    score: float = field(default=0.0)
-
-
-_SPACES = re.compile(r"\s+")
-
-
-def _norm(s: str) -> str:
-    return _SPACES.sub(" ", s).strip().casefold()
-
-
-def _name_features(text: str, a: int, b: int, form: str, lex: Lexicon) -> list[str] | None:
-    """None for a span with a word that is never part of a name."""
-    left, right, span = text[max(0, a - 48) : a], text[b : b + 48], text[a:b]
-    f = ["name"]
-    if form == "titled":
-        if _norm(span).split(" ")[-1] in PLAIN:
-            return None
-        f.append("name:titled")
-        if _norm(span) in lex.family:
-            f.append("name:family")
-    else:
-        if form.startswith("family"):
-            fam, giv = (_norm(x) for x in span.split(",", 1))
-            f.append("name:family_given")
-        else:
-            words = _norm(span).split(" ")
-            n = next((i for i, w in enumerate(words[1:], 1) if w not in ("",) and not w.endswith(".")), 1)
-            giv, fam = words[0], " ".join(words[n:])
-            if form == "initials":
-                f.append("name:initials")
-        giv = giv.split(" ")[0]
-        if giv in lex.given:
-            f.append("name:given")
-        if fam in lex.family:
-            f.append("name:family")
-        if giv in lex.family and fam in lex.given:
-            f.append("name:label")
-        if re.search(rf"(?<!\w){INITIAL}", span):
-            f.append("name:initial")
-        if any(w.strip(".,") in PLAIN for w in (*giv.split(" "), *fam.split(" ")[-1:])) or (fam.split(" ")[0] in PLAIN and " " not in fam):
-            return None
-        if re.search(rf"(?<!\w){TITLE}\.?\s+$", left):
-            f.append("name:title")
-    if PERSON_CUE.search(left):
-        f.append("name:cue")
-    if AFTER_PERSON.match(right):
-        f.append("name:after")
-    elif AFTER_PAIR.match(right) and (not left.strip(" \t") or left.rstrip(" \t")[-1] in "\n\r.;:)>0123456789"):
-        f.append("name:block")
-    if COMPANY_AFTER.match(right):
-        f.append("name:company")
-    if COMPANY_CUE.search(left):
-        f.append("name:company_cue")
-    if _norm(span) in lex.town or _norm(span) in lex.street or any(w in lex.town for w in re.split(r"[ ,]+", _norm(span))):
-        f.append("name:place")
-    if "\n" in span and not ("name:given" in f and "name:family" in f or "name:cue" in f or "name:titled" in f):
-        f.append("name:heading")
-    return f
-
-
-def segments(text: str, lex: Lexicon, kinds: int = 15) -> list[Segment]:
-    """Every candidate segment of a text, of the kinds that its gates allow, with its features."""
-    out: list[Segment] = []
-    if kinds & 1:
-        for m in EMAIL.finditer(text):
-            f = ["email"]
-            if "@" not in m[0]:
-                f.append("email:spelled")
-            if re.search(r"(?:mailto:|<|[Mm]ail\w*|Courriel|Correo|\(E\)|:|/)\s*$", text[max(0, m.start() - 14) : m.start()]):
-                f.append("email:cue")
-            out.append(Segment(m.start(), m.end(), "email", tuple(f)))
-    for m in PHONE.finditer(text) if kinds & 2 else ():
-        a, b, span = m.start(), m.end(), m[0]
-        if span[0] in "(（" and not re.search("[)）]", span):  # a bracket around the number is not part of it
-            a += 1
-            span = span[1:]
-        head = span.split("\n", 1)[0].rstrip()
-        if len(re.sub(r"\D", "", head)) >= 9:  # a number that is whole before a line break ends there
-            b, span = a + len(head), head
-        digits = re.sub(r"\D", "", re.sub(r"(?:ext|Ext|x|poste|Durchwahl|App|int|extensión)\.?\s?\d+$", "", span))
-        left = text[max(0, a - 34) : a]
-        f = ["phone"]
-        if span[0] in "+＋":
-            f.append("phone:plus")
-        if re.search(r"[(（]\d+[)）]", span):
-            f.append("phone:bracket")
-        if digits[0] == "0":
-            f.append("phone:trunk")
-        if PHONE_CUE.search(left):
-            f.append("phone:cue")
-        if CARD_TRAP.search(left):
-            f.append("phone:trap")
-        if ID_CUE.search(left):
-            f.append("phone:id_cue")
-        if not 8 <= len(digits) <= 15:
-            f.append("phone:digits")
-        if re.fullmatch(r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}", span) or re.fullmatch(r"(?:\d{1,3}\.){3}\d{1,3}", span):
-            f.append("phone:date")
-        d = "".join(str(int(c)) for c in digits)
-        if re.fullmatch(r"1?\d{3}555\d{4}|500555\d{3}|5005\d{5}", d) or (d[0] == "0" and 9 <= len(d) <= 12):
-            f.append("phone:plan")
-        if re.search(r"[a-zA-Zó]\.?\s?\d+$", span):
-            f.append("phone:ext")
-        if len(re.findall(r"\d+", span)) >= 3:
-            f.append("phone:groups")
-        out.append(Segment(a, b, "phone", tuple(f)))
-    for m in IDS.finditer(text) if kinds & 2 else ():
-        left = text[max(0, m.start() - 40) : m.start()]
-        f = ["id_number"]
-        if ID_CUE.search(left):
-            f.append("id_number:cue")
-        if CARD_TRAP.search(left):
-            f.append("id_number:trap")
-        if PHONE_CUE.search(left):
-            f.append("id_number:phone_cue")
-        if re.search("[A-Z]", m[0]):
-            f.append("id_number:lettered")
-        if re.match(r"X[A-Z]\d{7}", m[0]):
-            f.append("id_number:trap")
-        out.append(Segment(m.start(), m.end(), "id_number", tuple(f)))
-    for pattern in ADDRESS if kinds & 4 else ():
-        for m in pattern.finditer(text):
-            for a, b in _address_ends(m, lex):
-                span = _norm(text[a:b])
-                f = ["address"]
-                if ADDRESS_CUE.search(text[max(0, a - 30) : a]):
-                    f.append("address:cue")
-                if any(s in span for s in lex.street):
-                    f.append("address:street")
-                if any(t in span for t in lex.town):
-                    f.append("address:town")
-                if re.search(rf"{CODE}", text[a:b][4:]):
-                    f.append("address:code")
-                else:
-                    f.append("address:short")
-                if re.search(r"gauge|setting|(?:Process|PROCESS) No|Standard", text[a : b + 10]) or COMPANY_AFTER.match(text[b : b + 12]) and not re.match(r"\s*\d", text[b : b + 4]):
-                    f.append("address:trap")
-                if re.search(rf"[^\W\d]\s*\n\s*{PLACE}$", text[a:b]) and not re.search(rf"{STREETS}\s*\n\s*{PLACE}$", text[a:b]) and not any(span.endswith(t) for t in lex.town):
-                    f.append("address:break")
-                elif text[a:b].split()[-1].casefold() in PLAIN:
-                    f.append("address:break")
-                elif (a, b) == m.span():
-                    f.append("address:long")
-                out.append(Segment(a, b, "address", tuple(f)))
-    seen = set()
-    for form, pattern in NAMES if kinds & 8 else ():
-        for m in pattern.finditer(text):
-            a, b = m.span(1)
-            if form == "titled" and text.startswith("M.", m.start()) and re.search(rf"{WORD}\s+$", text[max(0, m.start() - 30) : m.start()]):
-                continue  # a middle initial
-            if (a, b) not in seen or form == "titled":
-                seen.add((a, b))
-                f = _name_features(text, a, b, form, lex)
-                if f:
-                    out.append(Segment(a, b, "name", tuple(f)))
-    return [s for s in out if s.end - s.start <= LONGEST[s.kind]]
-
-
-def _address_ends(m: re.Match, lex: Lexicon) -> list[tuple[int, int]]:
-    """The match itself and, where its town is followed by more capitalised words, the shorter readings."""
-    a, b = m.span()
-    out = [(a, b)]
-    span = m[0]
-    for k in (1, 2):
-        cut = re.search(rf"^(.*[^\W\d]){S}{WORD}$", span, re.S)
-        if not cut or not re.search(rf"{WORD}$", cut[1]) or re.search(rf"(?:{STREETS}|,)$", cut[1]):
-            break
-        span = cut[1]
-        tail = _norm(m[0][len(span) :])
-        if any(t.endswith(tail) for t in lex.town):
-            break
-        out.append((a, a + len(span)))
-    return out
-
-
-def viterbi(found: list[Segment], text: str, weights: dict[str, float]) -> list[Segment]:
-    """The best set of segments that don't overlap; see the module's text."""
-    for s in found:
-        s.score = sum(weights.get(f, 0.0) for f in s.features)
-    order = sorted(found, key=lambda s: (s.end, s.start))
-    best: list[float] = []  # of segmentations that end with segment i
-    back: list[int] = []
-    for i, s in enumerate(order):
-        top, at = 0.0, -1
-        for j in range(i):
-            p = order[j]
-            if p.end <= s.start:
-                gain = best[j]
-                key = f"{p.kind}>{s.kind}"
-                if key in GAPS and s.start - p.end <= 8 and (GAPS[key].fullmatch(text, p.end, s.start)):
-                    gain += weights.get(key, 0.0)
-                if gain > top:
-                    top, at = gain, j
-        best.append(top + s.score)
-        back.append(at)
-    if not best or max(best) <= 0:
+from .pii_spans import KINDS, OUTSIDE, Lexicon, Span, Tokens, candidates, tokens
+
+__all__ = ["KINDS", "Lexicon", "Span", "decode", "find", "redact"]
+
+REACH = 6  # characters between two segments that a transition may span
+_SPACES = re.compile(r"[^\S\n]*\n\s*|\s+")
+
+
+def transition(text: str, a: Span, b: Span) -> str:
+    """Name of the transition's feature: the two types and what stands between."""
+    between = _SPACES.sub(lambda m: "|" if "\n" in m[0] else "_", text[a.end : b.start]).lower()
+    return f"{a.kind}>{b.kind}:{between}"
+
+
+def viterbi(spans: list[Span], text: str, weights: dict[str, float]) -> list[Span]:
+    """The best set of spans that don't overlap; ``spans`` in order of their starts, linear in their number."""
+    best, back = [0.0] * len(spans), [-1] * len(spans)
+    open_: list[tuple[int, int]] = []  # (end, span) of spans that are not yet behind
+    top, at = 0.0, -1  # the best segmentation of what is behind
+    recent: list[tuple[int, int]] = []
+    for i, s in enumerate(spans):
+        while open_ and open_[0][0] <= s.start:
+            end, j = heapq.heappop(open_)
+            recent.append((end, j))
+            if best[j] > top + 1e-12:
+                top, at = best[j], j
+        value, previous = top, at
+        if recent:
+            recent = [x for x in recent if x[0] >= s.start - REACH]
+            for _, j in recent:
+                w = weights.get(transition(text, spans[j], s))
+                if w is not None and best[j] + w > value:
+                    value, previous = best[j] + w, j
+        best[i], back[i] = value + s.score, previous
+        heapq.heappush(open_, (s.end, i))
+    if not spans:
         return []
-    i, out = int(np.argmax(best)), []
+    i = int(np.argmax(best))
+    if best[i] <= 0:
+        return []
+    out = []
     while i >= 0:
-        out.append(order[i])
+        out.append(spans[i])
         i = back[i]
     return out[::-1]
 
 
-def _groups(found: list[Segment]) -> Iterator[list[Segment]]:
-    """Runs of segments that can interact; the field falls apart between them."""
-    group: list[Segment] = []
-    end = 0
-    for s in sorted(found, key=lambda s: s.start):
-        if group and s.start > end + 8:
-            yield group
-            group = []
-        group.append(s)
-        end = max(end, s.end) if len(group) > 1 else s.end
-    if group:
-        yield group
-
-
-def decode(text: str, lex: Lexicon, weights: dict[str, float], kinds: int = 15) -> list[Segment]:
-    out: list[Segment] = []
-    for g in _groups(segments(text, lex, kinds)):
-        out += viterbi(g, text, weights)
+def segments(t: Tokens, weights: dict[str, float]) -> list[Span]:
+    """The best segmentation of a batch of texts laid end to end."""
+    spans = candidates(t)
+    get = weights.get
+    for s in spans:
+        s.score = sum([get(f, 0.0) for f in s.features])
+    return viterbi(spans, t.text, weights)
+
+
+def decode(texts: list[str | None], lex: Lexicon, weights: dict[str, float]) -> list[list[Span]]:
+    """Segments of every text."""
+    out: list[list[Span]] = [[] for _ in texts]
+    batch: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        t, offsets = tokens([texts[i] for i in batch], lex)
+        starts = offsets.tolist()
+        for s in segments(t, weights):
+            k = bisect.bisect_right(starts, s.start) - 1
+            s.start, s.end = s.start - starts[k], s.end - starts[k]
+            out[batch[k]].append(s)
+
+    for i, text in enumerate(texts):
+        if text:
+            if batch and size + len(text) > OUTSIDE:
+                flush()
+                batch, size = [], 0
+            batch.append(i)
+            size += len(text)
+    if batch:
+        flush()
     return out
 
 
-# --- whole texts -------------------------------------------------------------------------------
-
-_BREAK = "\x01"
-
-
-EMAILS, NUMBERS, ADDRESSES, PERSONS = 1, 2, 4, 8
-#: What the classes of Python's expressions mean, inside of brackets, to Arrow's, which know ASCII only.
-CLASSES = {r"\d": r"\p{Nd}", r"\s": r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}", r"\w": r"\p{L}\p{N}_"}
-
-
-def linear(pattern: str) -> str:
-    """A linear-time expression that is found in every text in which a segment pattern is found: the
-    pattern without its conditions on what stands around it."""
-    out, i, bracket = [], 0, False
-    while i < len(pattern):
-        if not bracket and (m := re.compile(r"\(\?<?[=!]").match(pattern, i)):
-            i, depth, inside = m.end(), 1, False
-            while depth:
-                c = pattern[i]
-                if c == "\\":
-                    i += 1
-                elif inside:
-                    inside = c != "]"
-                else:
-                    inside, depth = c == "[", depth + (c == "(") - (c == ")")
-                i += 1
-        elif pattern[i] == "\\":
-            two = pattern[i : i + 2]
-            out.append(two if two not in CLASSES else CLASSES[two] if bracket else f"[{CLASSES[two]}]")
-            i += 2
-        else:
-            c = pattern[i]
-            bracket = c != "]" if bracket else c == "["
-            out.append(c)
-            i += 1
-    return "".join(out)
-
-
-def gates(lex: Lexicon) -> dict[int, str]:
-    """Linear-time expressions, each true of every sentence in which a segment of its kinds can start."""
-    words = sorted({w.split(" ")[-1] for k in (lex.given, lex.family) for w in k})
-    lexicon = "|".join(re.escape(w[0].upper()) + f"(?i:{re.escape(w[1:]).replace('ss', '(?:ss|ß|ẞ)')})" for w in words if w)
-    family = rf"(?:{PARTICLE}\s+)?[{UP}]"
-    starts = rf"(?:{WORD},?{S}{family}|{PARTICLE}{S}{WORD},|{INITIAL})"  # of a name without a title
-    listed = rf"(?:{WORD},?{S}{FAMILY}|{INITIAL}{S}?{FAMILY}|{WORD},{S}{INITIAL}){GAPS['name>name'].pattern}{starts}"
-    cue = PERSON_CUE.pattern.removesuffix("$")
-    way = r"(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|cours|RUE|AVENUE|BOULEVARD|PLACE)"
-    return {
-        EMAILS: linear(EMAIL.pattern),
-        NUMBERS: f"{linear(PHONE.pattern)}|{linear(IDS.pattern)}",
-        # up to where a sentence may end within an address
-        ADDRESSES: linear(
-            rf"\d[a-zA-Z]?,?{S}(?:{WORD}{S}){{1,3}}{STREETS}"
-            rf"|(?:[Bb]ox|BOX|Postfach|POSTFACH|Apartado(?: de Correos)?|Apdo\.?|B\.?P\.?|Boîte postale){S}(?:n[º°o]\.?\s?\d|n[º°o]\.$|\d)|(?:Apdo|B\.?P)\.$"
-            rf"|[a-zß]{S}\d{{1,4}}\s?[a-z]?,?{S}?{CODE}{S}[{UP}]"
-            rf"|(?:Am|An der|Im|Zum|Zur|Auf dem|In der|Unter den){S}{WORD}{S}\d"
-            rf"|\d(?:{S}(?:bis|ter|quater)|\s?[A-D])?,?{S}{way}(?:{S}|$)"
-            r"|C/|Calle|CALLE|Avda|Avenida|AVENIDA|Plaza|PLAZA|Paseo|Pza|Camino|Ronda"
-        ),
-        # an initial or an abbreviated title or cue may end a piece
-        PERSONS: linear(
-            rf"{cue}(?:{starts}|$)|{WORD}{AFTER_PERSON.pattern}|{listed}|(?:^|[^\w]){INITIAL}$"
-            rf"|(?:^|[^\w]){TITLE}\.?(?:\s+(?:{TITLE}\.|{family})|\s*$)"
-        )
-        + (f"|{lexicon}" if lexicon else ""),
-    }
-
-
-def _windows(hits: np.ndarray, flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
-    """Ranges of text around the flagged sentences, and what was flagged in them."""
-    out: list[list[int]] = []
-    for i, f in zip(hits.tolist(), flags.tolist()):
-        a, b = int(starts[i]) - 100, int(ends[i]) + 140
-        if out and a <= out[-1][1]:
-            out[-1][1], out[-1][2] = max(out[-1][1], b), out[-1][2] | f
-        else:
-            out.append([max(0, a), b, f])
-    return [(a, b, f) for a, b, f in out]
-
-
-def found_in(texts: pa.Array, lex: Lexicon, weights: dict[str, float], patterns: dict[int, str]) -> list[list[Segment]]:
-    """Segments of every text of an Arrow array."""
-    marked = texts
-    for stop in (". ", ".\n"):
-        marked = pc.replace_substring(marked, stop, "." + _BREAK)
-    lists = pc.split_pattern(pc.fill_null(marked, ""), _BREAK)
-    flat, offsets = lists.flatten(), np.asarray(lists.offsets)
-    flagged = np.zeros(len(flat), np.int8)
-    for bit, pattern in patterns.items():
-        flagged |= np.asarray(pc.match_substring_regex(flat, pattern)).astype(np.int8) * np.int8(bit)
-    length = np.asarray(pc.utf8_length(flat)) + 1
-    out: list[list[Segment]] = []
-    for i in range(len(texts)):
-        lo, hi = offsets[i] - offsets[0], offsets[i + 1] - offsets[0]
-        own = flagged[lo:hi]
-        hits = np.flatnonzero(own)
-        got: list[Segment] = []
-        if len(hits):
-            text = texts[i].as_py()
-            ends = np.cumsum(length[lo:hi])
-            for a, b, kinds in _windows(hits, own[hits], ends - length[lo:hi], np.minimum(ends, len(text))):
-                # a cut must not fall into a word or number
-                while a and (text[a - 1].isalnum() or text[a - 1] in "+-./@_"):
-                    a -= 1
-                if kinds & (EMAILS | ADDRESSES):  # a name may go before them
-                    kinds |= PERSONS
-                for s in decode(text[a:b], lex, weights, kinds):
-                    got.append(Segment(s.start + a, s.end + a, s.kind))
-        out.append(got)
-    return out
+# --- tables ------------------------------------------------------------------------------------
 
 
 def find(docs: DataFrame, key: str, text: str, lex: Lexicon, weights: dict[str, float]) -> DataFrame:
     """(key, kind, found): one row per distinct finding of a text."""
-    patterns = gates(lex)
-    schema = pa.schema([(key, pa.int64()), ("kind", pa.string()), ("found", pa.string())])
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            schema = pa.schema([(key, b.schema.field(0).type), ("kind", pa.string()), ("found", pa.string())])
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                keys, texts = part.column(0).to_pylist(), part.column(1)
-                rows = set()
-                for i, segs in enumerate(found_in(texts, lex, weights, patterns)):
-                    if segs:
-                        t = texts[i].as_py()
-                        rows |= {(keys[i], s.kind, t[s.start : s.end]) for s in segs}
+                keys, texts = part.column(0), part.column(1).to_pylist()
+                rows = [(i, *x) for i, segs in enumerate(decode(texts, lex, weights)) for x in sorted({(s.kind, texts[i][s.start : s.end]) for s in segs})]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sorted(rows)), schema)], schema=schema)
+                    own, kinds, found = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(own)), pa.array(kinds), pa.array(found)], schema=schema)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` bigint, kind string, found string")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, kind string, found string")
 
 
 def redact(docs: DataFrame, key: str, text: str, lex: Lexicon, weights: dict[str, float]) -> DataFrame:
     """(key, text, replaced): findings replaced by ``[EMAIL]``, ``[PHONE]`` and so on, all else unchanged."""
-    patterns = gates(lex)
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                texts, out, n = part.column(1), [], []
-                for i, segs in enumerate(found_in(texts, lex, weights, patterns)):
-                    t, last, pieces = texts[i].as_py(), 0, []
-                    for s in sorted(segs, key=lambda s: s.start):
-                        if s.start >= last:
-                            pieces += [t[last : s.start], f"[{s.kind.upper()}]"]
-                            last = s.end
+                texts, out, n = part.column(1).to_pylist(), [], []
+                for t, segs in zip(texts, decode(texts, lex, weights)):
+                    last, pieces = 0, []
+                    for s in segs:
+                        pieces += [t[last : s.start], f"[{s.kind.upper()}]"]
+                        last = s.end
                     out.append(t if t is None else "".join(pieces) + t[last:])
-                    n.append(len(pieces) // 2)
+                    n.append(len(segs))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), pa.array(n, pa.int32())], names=[key, text, "replaced"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` bigint, `{text}` string, replaced int")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{text}` string, replaced int")
