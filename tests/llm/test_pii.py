@@ -142,8 +142,8 @@ def test_long_texts_are_read_in_linear_time():
         ("National Insurance no. QQ  77 90 92 C.", [("id_number", "QQ  77 90 92 C")]),
         ("SSN ６６６-８５-４３３０.", [("id_number", "６６６-８５-４３３０")]),
         ("Author: Mirek Tolvane, room 4.", [(None, "Mirek Tolvane")]),
-        ("It was drawn by Mirek Tolvane here.", [(None, "Mirek Tolvane")]),
-        ("Dessin par Mirek Tolvane ici.", [(None, "Mirek Tolvane")]),
+        ("It was drawn by Mirek Kelmander here.", [(None, "Mirek Kelmander")]),
+        ("Dessin par Orlen Tolvane ici.", [(None, "Orlen Tolvane")]),
         ("See Mme Tolvane about it.", [(None, "Tolvane")]),
         ("Authors: Mirek Tolvane; Jorel Banvik; Odra Felkin; Tasso Gruvin; Pavo Lindrek met.", [(None, x) for x in ("Jorel Banvik", "Mirek Tolvane", "Odra Felkin", "Pavo Lindrek", "Tasso Gruvin")]),
         ("demeurant 12, av. Verte, 25233 Valmont.", [("address", "12, av. Verte, 25233 Valmont")]),

@@ -53,9 +53,10 @@ _LISTS = {
     "c_phone": "tel tél telephone telefon téléphone teléfono phone fax telefax fon mobile mobil móvil cell call ring dial hotline anruf llamar appeler portable handy",
     "c_mail": "mail email e-mail courriel correo mailto mails",
     "c_id": "ssn social security insurance ni nino passport passnummer reisepass pasaporte passeport ausweis personalausweis identity id dni nie nif cif nir insee sécurité sociale seguridad steuer steuerid steuernummer identifikationsnummer identification tax tin taxpayer pièce identité documento declarant declarante sozialversicherungsnummer license licence carte cédula",
-    "c_person": "inventor inventors erfinder erfinderin erfinderinnen inventeur inventeurs inventrice inventora inventores author authors autor autora auteur name nom nombre signed signature witness witnessed zeuge zeugin témoin testigo agent attorney representative vertreter vertreterin mandataire representante declaration erklärung déclaration declaración by von par por of gez firmado fdo signé attn contact led dear sincerely regards made conducted supervised erklärt erklärte thanks dank remercie gracias dirigido suivi",
+    "c_person": "inventor inventors erfinder erfinderin erfinderinnen inventeur inventeurs inventrice inventora inventores author authors autor autora auteur name nom nombre signed signature witness witnessed zeuge zeugin témoin testigo agent attorney representative vertreter vertreterin mandataire representante declaration erklärung déclaration declaración gez firmado fdo signé attn contact led dear sincerely regards made conducted supervised erklärt erklärte thanks dank remercie gracias dirigido suivi",
+    "c_by": "by von par por of de durch vom",
     "c_addr": "address adresse anschrift dirección residence residing resides resident wohnhaft wohnt demeurant domicilié domicile domicilio residente located at lives live headquarters sitz premises workshop werkstatt atelier taller office büro bureau oficina site",
-    "c_ref": "serial ser part order invoice batch lot docket ref reference model type figure fig table claim claims page version standard process patent application priority drawing card catalogue catalog filed art item iso din en rev clause section file case ticket sample code anspruch ansprüche revendication reivindicación lfd bestell rechnung commande facture pedido factura modèle modelo typ teil pièces port ip v ver release entry volume vol pp isbn issn doi tolerance zeichnung dessin dibujo norm",
+    "c_ref": "serial ser part order invoice batch lot docket ref reference model type figure fig table claim claims page version standard process patent application priority drawing card catalogue catalog filed art item iso din en rev clause section file case ticket sample code anspruch ansprüche revendication reivindicación lfd bestell rechnung commande facture pedido factura modèle modelo typ teil pièces port ip v ver release entry volume vol pp isbn issn doi tolerance zeichnung dessin dibujo norm ii iii iv vi vii viii ix xi xii",
     "c_owner": "applicant applicants assignee assignees licensee licensor owner proprietor anmelder anmelderin inhaber inhaberin demandeur titulaire solicitante titular opponent manufacturer hersteller fabricant fabricante firm firma société empresa supplier",
     "verb": "said says states stated noted notes confirmed confirms declares declared repeated objected explained writes wrote lives works joined reported argued claims led replied signed bestätigte bestätigt notierte erklärte erklärt sagt sagte schreibt widersprach wohnt arbeitet begleitet declara declaró confirmó anotó dijo escribe vive trabaja objetó confirme déclare dit écrit habite travaille noté confirmé déclaré contesté hereby kindly herself himself repitió wiederholte répété",
     "number": "no nr nos number numbers num numéro número nummer n",
@@ -65,7 +66,7 @@ _LISTS = {
     "common_given": "john mary james anna maria peter paul david michael robert william thomas sarah laura emma julia martin daniel george susan karen lisa nancy linda mark steven kevin brian alice helen rachel hans klaus jürgen wolfgang heinz karl fritz ursula monika petra sabine andrea stefan thomas andreas jean pierre marie claude françois michel jacques philippe nathalie sophie camille luc juan josé carlos luis miguel pedro carmen ana lucía elena sofía javier pablo diego lars sven erik nina eva ivan olga marco giulia luca",
 }
 BIT = {name: 1 << i for i, name in enumerate((*_LISTS, "given", "family", "way", "town"))}
-CUES = ("c_phone", "c_mail", "c_id", "c_person", "c_addr", "c_ref", "c_owner")
+CUES = ("c_phone", "c_mail", "c_id", "c_person", "c_by", "c_addr", "c_ref", "c_owner")
 AFTER = ("verb", "company", "street")
 NEUTRAL = BIT["func"] | BIT["number"]  # not counted in the distance of a cue
 #: Codes before fields of bibliographic data (WIPO ST.9): inventors and attorneys; applicants and owners.
@@ -107,6 +108,19 @@ _POWER = np.cumprod(np.full(64, 1099511628211, np.uint64))
 W_LOW, W_CAP, W_ALL, W_ONE, NUMBER, SIGN = range(6)
 
 
+JOIN, COMMA, DOT, DIGITS, PLACE, AT = (1 << i for i in range(6))
+_SIGNS = ((JOIN, "-‐'’"), (COMMA, ","), (DOT, "."), (DIGITS, "+＋-‐–－./()（）"), (PLACE, ",.-‐–/'’º°ª#"), (AT, "@＠"))
+
+
+@cache
+def _sign_table() -> np.ndarray:
+    out = np.zeros(65536, np.uint8)
+    for bit, signs in _SIGNS:
+        for c in signs:
+            out[ord(c)] |= bit
+    return out
+
+
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Class (0 sign, 1 small letter, 2 capital, 3 digit, 4 blank, 5 line break) and small form of every code point of the basic plane."""
@@ -141,7 +155,7 @@ class Tokens:
     kind: list[int]
     gap: list[int]  # before the token: 0 nothing, 1 blanks, 2 a line break, 3 an empty line or the start of a text
     bits: list[int]
-    arrays: tuple[np.ndarray, ...]  # kind, gap, bits, length, of all tokens
+    arrays: tuple[np.ndarray, ...]  # kind, gap, bits, length and class of sign, of all tokens
     borders: np.ndarray  # first token of each text, and the number of tokens
 
 
@@ -179,7 +193,7 @@ def tokens(texts: list[str], lex: Lexicon) -> tuple[Tokens, np.ndarray]:
             h = np.add.reduceat(value, start)[keep]
         at = np.minimum(np.searchsorted(lex.hashes, h), len(lex.hashes) - 1)
         bits = np.where((gk == 1) & (lex.hashes[at] == h), lex.bits[at], 0)
-    return Tokens(text, start_k.tolist(), (start_k + length_k).tolist(), kind.tolist(), before.tolist(), bits.tolist(), (kind, before, bits, length_k), np.r_[first, len(keep)]), offsets
+    return Tokens(text, start_k.tolist(), (start_k + length_k).tolist(), kind.tolist(), before.tolist(), bits.tolist(), (kind, before, bits, length_k, np.where(kind == SIGN, _sign_table()[code[start_k]], 0)), np.r_[first, len(keep)]), offsets
 
 
 # --- candidates --------------------------------------------------------------------------------
@@ -194,10 +208,6 @@ class Span:
     score: float = 0.0
 
 
-_DIGIT_JOIN = set("+＋-‐–－./()（）")
-_AT = set("@＠")
-
-
 def _symbol(t: Tokens, i: int) -> str:
     """Class of a token in signatures."""
     k, b = t.kind[i], t.bits[i]
@@ -245,6 +255,8 @@ def _context(t: Tokens, i: int, j: int, kind: str) -> list[str]:
         k -= 1
     if i > 2 and not words and not t.gap[i - 1] and not t.gap[i - 2] and t.gap[i] < 3 and t.kind[i - 2] == NUMBER and t.text[t.start[i - 1]] == ")" and t.text[t.start[i - 3]] == "(" and (code := CODES.get(t.text[t.start[i - 2] : t.end[i - 2]])):
         near |= BIT[code]
+    elif i > 2 and t.kind[i - 1] < NUMBER and t.text[t.start[i - 3] : t.end[i - 1]].lower() == "c/o":
+        near |= BIT["c_person"]
     if near & CUE_MASK:
         out += [f"{kind}:near_{c}" for c in CUES if near & BIT[c]]
     else:
@@ -267,15 +279,20 @@ def _signature(t: Tokens, i: int, j: int) -> str:
     return "".join(out)
 
 
-def _runs(ok: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int]]:
+def _runs(ok: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretches [a, b) of allowed tokens without an empty line in them."""
-    if not ok.any():
-        return
-    edge = np.flatnonzero(np.diff(np.r_[False, ok, False].astype(np.int8)))
-    hard = np.flatnonzero(ok & (gap == 3))
-    cuts = np.union1d(edge[0::2], hard)
-    ends = np.minimum(edge[1::2][np.searchsorted(edge[1::2], cuts, "right")], np.r_[cuts[1:], len(ok)])
-    yield from zip(cuts.tolist(), ends.tolist())
+    on = np.r_[ok, False]
+    apart = np.r_[gap, 3] == 3
+    before = np.r_[False, ok]
+    starts = np.flatnonzero(on & (~before | apart))
+    ends = np.flatnonzero(before & (~on | apart))
+    return starts, ends
+
+
+def _within(counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of counts over [a, b)."""
+    total = np.r_[0, np.cumsum(counts)]
+    return total[b] - total[a]
 
 
 def _split(t: Tokens, i: int) -> bool:
@@ -288,14 +305,13 @@ def _split(t: Tokens, i: int) -> bool:
 
 
 def _emails(t: Tokens) -> Iterator[Span]:
-    kind, gap, bits, _ = t.arrays
+    kind, gap, bits, _, signs = t.arrays
     n = len(kind)
     inside = set("._+-%'‐")
-    for at in np.flatnonzero((kind == SIGN) | (bits & BIT["at_word"] != 0)).tolist():
+    for at in np.flatnonzero((signs & AT != 0) | (bits & BIT["at_word"] != 0)).tolist():
         a = b = at  # the at sign with its brackets
         if t.kind[at] == SIGN:
-            if t.text[t.start[at]] not in _AT:
-                continue
+            pass
         elif 0 < at < n - 1 and t.text[t.start[at - 1]] in "[({<" and t.text[t.start[at + 1]] in "])}>":
             a, b = at - 1, at + 1
         elif at + 3 >= n or not any(t.bits[k] & BIT["dot_word"] for k in range(at + 2, min(n, at + 5))):
@@ -345,20 +361,14 @@ def _emails(t: Tokens) -> Iterator[Span]:
 
 def _numbers(t: Tokens) -> Iterator[Span]:
     """Candidates for phone and identity numbers."""
-    kind, gap, bits, length = t.arrays
+    kind, gap, bits, length, signs = t.arrays
     text, n = t.text, len(kind)
-    ok = kind == NUMBER
-    sign = np.flatnonzero(kind == SIGN)
-    ok[sign[[text[t.start[k]] in _DIGIT_JOIN for k in sign.tolist()]] if len(sign) else sign] = True
-    if len(sign):
-        nxt = np.minimum(sign + 1, n - 1)
-        ok[sign[np.array([text[t.start[k]] in ",." for k in sign.tolist()]) & (bits[nxt] & BIT["ext"] != 0)]] = True
-    ok |= (kind != SIGN) & (kind != NUMBER) & (length <= 2) & (kind != W_LOW) | (bits & BIT["ext"] != 0) & (kind < NUMBER)
-    digits = np.where(kind == NUMBER, length, 0)
-    total = np.r_[0, np.cumsum(digits)]
-    for a, b in _runs(ok, gap):
-        if total[b] - total[a] < 6:
-            continue
+    ext_word = (bits & BIT["ext"] != 0) & (kind < NUMBER)
+    ok = (kind == NUMBER) | (signs & DIGITS != 0) | (signs & (COMMA | DOT) != 0) & np.r_[ext_word[1:], False]
+    ok |= (kind != SIGN) & (kind != NUMBER) & (length <= 2) & (kind != W_LOW) | ext_word
+    starts, ends = _runs(ok, gap)
+    enough = _within(np.where(kind == NUMBER, length, 0), starts, ends) >= 6
+    for a, b in zip(starts[enough].tolist(), ends[enough].tolist()):
         for i in range(a, b):
             if t.kind[i] == SIGN and text[t.start[i]] not in "+＋(（" or _split(t, i) and t.kind[i - 1] != SIGN:
                 continue
@@ -486,29 +496,24 @@ def _titled(t: Tokens, i: int) -> bool:
 
 
 def _names(t: Tokens) -> Iterator[Span]:
-    kind, gap, bits, length = t.arrays
+    kind, gap, bits, length, signs = t.arrays
     text, n = t.text, len(kind)
-    tail = np.zeros(n, bool)  # single capitals before a full stop or an apostrophe, whatever words they may be elsewhere
-    ones = np.flatnonzero((kind[:-1] == W_ONE) & (kind[1:] == SIGN) & (gap[1:] == 0))
-    tail[ones[[text[t.start[k + 1]] in ".'’" for k in ones.tolist()]] if len(ones) else ones] = True
-    capital = ((kind == W_CAP) | (kind == W_ALL)) & ((bits & NO_NAME) == 0) | tail
+    nextsign, nextgap = np.r_[signs[1:], 0], np.r_[gap[1:], 3]
+    # single capitals before a full stop or an apostrophe, whatever words they may be elsewhere
+    initial = (kind == W_ONE) & (nextgap == 0) & (nextsign & (DOT | JOIN) != 0)
+    capital = ((kind == W_CAP) | (kind == W_ALL)) & ((bits & NO_NAME) == 0) | initial
     ok = capital | ((bits & PART) != 0) & ((kind == W_LOW) | (kind == W_ALL) | (kind == W_CAP) & ((bits & BIT["lead"]) == 0) & (length < 4) & (bits & BIT["der"] == 0))
-    sign = np.flatnonzero(kind == SIGN)
-    if len(sign):
-        s = np.array([{"-": 1, "‐": 1, "'": 1, "’": 1, ",": 2, ".": 3}.get(text[t.start[k]], 0) for k in sign.tolist()])
-        nxt = np.minimum(sign + 1, n - 1)
-        prev = np.maximum(sign - 1, 0)
-        joined = (s == 1) & (gap[sign] == 0) & (gap[nxt] == 0) & ok[prev] & ok[nxt]
-        comma = (s == 2) & (gap[sign] == 0) & (gap[nxt] < 3) & ok[prev] & ok[nxt]
-        dot = (s == 3) & (gap[sign] == 0) & (kind[prev] == W_ONE) & ok[prev]
-        ok[sign[joined | comma | dot]] = True
-    caps = np.r_[0, np.cumsum(capital)]
-    words = (kind < NUMBER).astype(np.int32)
+    between = np.r_[False, ok[:-1]] & np.r_[ok[1:], False] & (gap == 0)
+    ok = ok | (signs & JOIN != 0) & between & (nextgap == 0) | (signs & COMMA != 0) & between & (nextgap < 3) | (signs & DOT != 0) & (gap == 0) & np.r_[False, (kind == W_ONE)[:-1] & ok[:-1]]
     upper = np.r_[0, np.cumsum((kind == W_CAP) | (kind == W_ALL))]
-    word = np.r_[0, np.cumsum(words)]
-    for a, b in _runs(ok, gap):
+    word = np.r_[0, np.cumsum(kind < NUMBER)]
+    starts, ends = _runs(ok, gap)
+    title = (bits & TITLE != 0) | (kind == W_ONE) & (nextsign & DOT != 0)
+    some = _within(capital, starts, ends)
+    enough = (some >= 2) | (some >= 1) & (_within(title, np.maximum(starts - 4, 0), ends) > 0)
+    for a, b in zip(starts[enough].tolist(), ends[enough].tolist()):
         titles = {k - back for k in range(a, b) if capital[k] and _titled(t, k) for back in range(_particles(t, k) + 1)}
-        if caps[b] - caps[a] < 2 and not titles:
+        if not titles and sum(capital[a:b].tolist()) < 2:
             continue
         own = int(np.searchsorted(t.borders, a, "right"))
         lo, hi = max(t.borders[own - 1], a - 40), min(t.borders[own], b + 40)
@@ -556,7 +561,7 @@ def _name(t: Tokens, i: int, j: int, titled: bool, rare: str) -> list[str] | Non
             items.append("a" if kind == W_ALL and t.end[k] - t.start[k] == 2 else {W_CAP: "C", W_ALL: "A", W_ONE: "I"}[kind])
         heads.append(b)
         k = last + 1
-    if items[-1] in "pP" or items[0] == "," or items[0] == "p" and not titled and "," not in items:
+    if t.kind[j] != SIGN and t.bits[j] & PART and t.bits[j] & FUNC or items[-1] in "pP" or items[0] == "," or items[0] == "p" and not titled and "," not in items:
         return None  # a particle is not the end of a name, and its start only in a family name
     words = [x for x in items if x in "CAIa"]
     if len([x for x in words if x != "I"]) < 1 or items.count(",") > 1 or len(words) < 2 and not titled or breaks > 1:
@@ -613,14 +618,11 @@ def _name(t: Tokens, i: int, j: int, titled: bool, rare: str) -> list[str] | Non
 
 
 def _addresses(t: Tokens) -> Iterator[Span]:
-    kind, gap, bits, length = t.arrays
+    kind, gap, bits, length, signs = t.arrays
     text, n = t.text, len(kind)
     short = (kind == W_ONE) | (kind == W_ALL) & (length == 2)
     ok = (kind != W_LOW) & (kind != SIGN) & (short | ((bits & (FUNC | BIT["c_phone"] | BIT["c_mail"] | BIT["c_id"] | BIT["c_owner"])) == 0)) | ((bits & (LINK | STREET | LEAD | UNIT)) != 0) | (bits & BOX != 0)
-    ok |= (kind == W_LOW) & (length == 1)
-    sign = np.flatnonzero(kind == SIGN)
-    if len(sign):
-        ok[sign[[text[t.start[k]] in ",.-‐–/'’º°ª#" for k in sign.tolist()]]] = True
+    ok |= (kind == W_LOW) & (length == 1) | (signs & PLACE != 0)
     number = kind == NUMBER
     anchor = (bits & STREET != 0) & ((kind != W_LOW) | np.r_[False, number[:-1] | (kind[:-1] == SIGN)] | np.r_[False, False, number[:-2]] | np.r_[False, bits[:-1] & LINK != 0]) | (bits & BOX != 0) & (kind != W_LOW) & (length > 1) | (bits & BOX != 0) & (length > 2)
     apart = np.r_[gap[1:], 3, 3] == 3
@@ -638,13 +640,11 @@ def _addresses(t: Tokens) -> Iterator[Span]:
     for k in np.flatnonzero((kind == W_ONE) & (bits & BOX != 0)).tolist():
         if text[t.start[k] : t.start[k] + 4] in ("B.P.", "P.O."):
             anchor[k] = True
-    has_number = np.r_[0, np.cumsum(number)]
-    for a, b in _runs(ok, gap):
-        if has_number[b] == has_number[a]:
-            continue
+    has_number = np.r_[0, np.cumsum(number)].tolist()
+    starts, ends = _runs(ok, gap)
+    enough = (_within(number, starts, ends) > 0) & (_within(anchor, starts, ends) > 0)
+    for a, b in zip(starts[enough].tolist(), ends[enough].tolist()):
         marks = [k for k in range(a, b) if anchor[k]]
-        if not marks:
-            continue
         done: set[tuple[int, int]] = set()
         for m in marks:
             for i in range(m, max(a, m - 16) - 1, -1):

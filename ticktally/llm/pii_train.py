@@ -1,8 +1,8 @@
 """Training of the span field: generated labelled texts and weights of greatest likelihood.
 
 The sample is bounded: ``SENTENCES`` texts of a few sentences from a fixed seed, made of the templates
-below in four languages, of invented names, places and addresses (half of them in the lexicon that
-training sees, half not), of numbers in national formats, and of things that look alike but are no
+below in four languages, of invented names, places and addresses (two in five of them in the lexicon
+that training sees), of numbers in national formats, and of things that look alike but are no
 personal information.  Curly fields mark spans and their kinds; fields in square brackets are filled
 but not marked.  Templates, names and words were made up for training, none is taken from a corpus.
 
@@ -25,7 +25,7 @@ import numpy as np
 from .pii import REACH, decode, transition
 from .pii_spans import Lexicon, Span, candidates, tokens
 
-SENTENCES, EPOCHS, SEED, RATE, PENALTY, BATCH = 6500, 45, 20, 0.05, 3e-5, 60_000
+SENTENCES, EPOCHS, SEED, RATE, PENALTY, BATCH = 11000, 40, 20, 0.05, 3e-5, 60_000
 
 # --- invented words ------------------------------------------------------------------------------
 
@@ -42,7 +42,7 @@ def _made(r: random.Random, ends: list[str]) -> str:
 
 
 class World:
-    """Invented names and places; ``lexicon`` knows half of them."""
+    """Invented names and places; ``lexicon`` knows two in five of them."""
 
     def __init__(self, seed: int, n: int = 60):
         r = random.Random(seed)
@@ -61,7 +61,7 @@ class World:
             self.town[i + 1] = r.choice(["Saint", "Sankt", "Sainte"]) + "-" + self.town[i + 1]
             self.way[i] = r.choice(["Old", "Hollow", "High", "Upper", "Green"]) + " " + self.way[i]
         self.company = many(_FAMILY_ENDS)
-        self.lexicon = Lexicon([(w, k) for k, ws in (("given", self.given), ("family", self.family), ("street", self.way), ("town", self.town)) for w in ws[::2]])
+        self.lexicon = Lexicon([(w, k) for k, ws in (("given", self.given), ("family", self.family), ("street", self.way), ("town", self.town)) for i, w in enumerate(ws) if i % 5 < 2])
         self.r = r
 
 
@@ -170,7 +170,7 @@ TEMPLATES = (
     "La mesure fut faite par {name} lundi. ", "Le témoin {name} a confirmé ce point. ", "Merci à {name} pour les photos. ", "L'idée vient de {name}, sans suite. ", "Je soussigné {name} déclare que tout est vrai. ", "signé {name}\n", "{name} habite près du fleuve. ", "Selon {name}, le réservoir fuyait. ", "Le montage fut surveillé par {name}. ",
     "La medida fue hecha por {name} el lunes. ", "El testigo {name} lo confirmó. ", "Gracias a {name} por las fotos. ", "La idea es de {name}, sin más. ", "Yo, {name}, declaro que es cierto. ", "firmado: {name}\n", "fdo. {name}\n", "{name} vive cerca del río. ", "Según {name}, no había fugas. ", "La prueba la dirigió {name} en abril. ",
     "Mr {title} opened the valve. ", "Ms. {title} left early. ", "Dr. {title} checked the scale again. ", "Prof. {title} gave a talk. ", "Mrs {title} objected to that. ", "Herr {title} war dabei. ", "Frau {title} verneinte das. ", "Herrn Dr. {title} ist das neu. ", "M. {title} a quitté la salle. ", "M. {title} conteste ce point. ", "M. {title} a répondu que non. ", "Selon M. {title}, c'est faux. ", "M. {title} n'a rien vu. ", "Mme {title} a refusé. ", "Sr. {title} salió antes. ", "La Sra. {title} no lo vio. ", "Señor {title} llegó tarde. ", "Dr. {name} was there. ", "Herr {name} kam später. ", "Prof. Dr. {title} sprach zuerst. ", "Mme {name} est arrivée. ",
-    "Dear {name},\n", "Regards,\n{name}\n", "{name}\n{address}\n", "{name}\n{address}\nTel. {phone}\n", "{name}\n{anschrift}\nTel. {phone}\n", "{name}\n{adresse}\nTél. {phone}\n", "{name}\n{direccion}\nTel. {phone}\n", "{name}, {anschrift}. ", "{name}\n{address}\n{email}\n", "{name} <{email}>\n", "{name} <{email}> ", "{name} ({email}) ", "Statement of {name} (ID {id}). ", "Aussage von {name} (Ausweis {id}). ", "Attestation de {name} (pièce {id}). ", "Testimonio de {name} (documento {id}). ", "{name}, DNI {id}, ", "Present: {name}, {name}, {name}.\n", "{name}; {name}; {name}.\n", "Team: {name} & {name}\n", "{name}, {name}, {name}\n", "Inventors: {name}, {name}, {name}. ", "Erfinder: {name}, {name}, {name}, {name}\n", "{name} <{email}>\n", "by {name} <{email}>; ", "suivi par {name}. ", "fait par {name}\n", "hecho por {name}\n", "{name} <{email}>", "(72) {name}. ", "(72) {name}\n", "(72) {name}; {name}\n", "{name}\n[heading]\n", "Inventor(s): {name}\n[heading]\nThe pump turns. ", "Erfinder: {name}\n[heading]\n", "by {name}\n[heading]\n", "Inventeur : {name} \n[heading]\n", "(74) {name}, [town]. ", "(71) [company] Ltd (72) {name} ", "Erklärung von {name}, ", "Declaración de {name}. ", "Une note de {name} existe. ", "un plano de {name} que nadie vio. ", "gez. {name}. ", "signed {name}; ", "(inventor: {name}) ",
+    "Dear {name},\n", "Regards,\n{name}\n", "{name}\n{address}\n", "{name}\n{address}\nTel. {phone}\n", "{name}\n{anschrift}\nTel. {phone}\n", "{name}\n{adresse}\nTél. {phone}\n", "{name}\n{direccion}\nTel. {phone}\n", "{name}, {anschrift}. ", "{name}\n{address}\n{email}\n", "{name} <{email}>\n", "{name} <{email}> ", "{name} ({email}) ", "Statement of {name} (ID {id}). ", "Aussage von {name} (Ausweis {id}). ", "Attestation de {name} (pièce {id}). ", "Testimonio de {name} (documento {id}). ", "{name}, DNI {id}, ", "Present: {name}, {name}, {name}.\n", "{name}; {name}; {name}.\n", "Team: {name} & {name}\n", "{name}; {name}; {name}. The pump works. ", "Present were {name}, {name}, {name}. ", "Anwesend: {name}; {name}; {name}. Die Pumpe lief. ", "{name}, {name}, {name}. El tanque es viejo. ", "Étaient là {name} ; {name} ; {name}. ", "drawn by {name} and kept. ", "a drawing by {name} that was lost. ", "gezeichnet von {name} und verwahrt. ", "dessiné par {name} et perdu. ", "{name}\n{address}\n", "{name}\n{anschrift}\n", "{name} states that it holds. ", "{name} says it moved. ", "{name}, {name}, {name}\n", "Inventors: {name}, {name}, {name}. ", "Erfinder: {name}, {name}, {name}, {name}\n", "{name} <{email}>\n", "by {name} <{email}>; ", "suivi par {name}. ", "fait par {name}\n", "hecho por {name}\n", "{name} <{email}>", "(72) {name}. ", "(72) {name}\n", "(72) {name}; {name}\n", "{name}\n[heading]\n", "Inventor(s): {name}\n[heading]\nThe pump turns. ", "Erfinder: {name}\n[heading]\n", "by {name}\n[heading]\n", "Inventeur : {name} \n[heading]\n", "(74) {name}, [town]. ", "(71) [company] Ltd (72) {name} ", "Erklärung von {name}, ", "Declaración de {name}. ", "Une note de {name} existe. ", "un plano de {name} que nadie vio. ", "gez. {name}. ", "signed {name}; ", "(inventor: {name}) ",
     "The paper by {name} is short. ", "Talk with {name}, later. ", "Notes of {name} and {name}\n", "the team of {name} won. ", "so said {name}, who left. ", "as {name} wrote, it holds. ", "{name} paid. ", "Then {name} came back with tea. ", "Here {name} stopped. ", "see {name} about this. ", "{name}: yes, it moved. ", "ask {name} or {name}. ", "Mein Kollege {name} kam. ", "Die Prüferin {name} fand nichts. ", "Gutachter {name} lehnte ab. ", "Bericht: {name}\n", "Chef de projet : {name}\n", "le docteur {name} a vu la cuve. ", "La profesora {name} habló. ", "el técnico {name} midió. ", "from {name} to {name}, in haste. ", "editor: {name}; printer: {name}. ", "Written by {name}.\n", "Best wishes,\n{name}\n", "Head: {name}\n", "with {name} at the wheel. ",
     # numbers within sentences and without a cue
     "at {phone} until six. ", "under the number {phone}. ", "my new number, {phone}, works. ", "Nummer {phone}. ", "numéro {phone}. ", "número {phone}. ", "on {phone} in the evening. ", "{phone}\n", "({phone})\n", "Write or phone: {phone}, {email}. ", "kontakt: {phone}, {email}\n", "the passport {id} was shown. ", "whose social security number was {id}, ", "with SSN {id} on file. ", "mit Ausweis {id} vorgelegt. ", "avec passeport {id} valable. ", "con DNI {id} vigente. ", "insurance number is {id} now. ", "holder of passport {id} of 2020. ", "her identity card, {id}, is lost. ", "in {adresse} seit Mai. ", "in {direccion} desde mayo. ", "in the shop at {address} they sell it. ", "(see {address}) ", "goods for {address}, please. ", "unter {anschrift} zu finden. ", "se encuentra en {direccion}. ", "situé {adresse}. ",
@@ -392,7 +392,7 @@ def scores(data: list, lex: Lexicon, weights: dict[str, float]) -> dict[str, tup
 
 
 def held_out(n: int = 600, seed: int = 99, known: bool = True) -> tuple[list, Lexicon]:
-    """Texts of other wording, names and places; the lexicon knows half of those, or nothing."""
+    """Texts of other wording, names and places; the lexicon knows two in five of those, or nothing."""
     world = World(seed + 1)
     return sample(n, seed, world, HELD_OUT), world.lexicon if known else Lexicon()
 
