@@ -3,6 +3,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from golden import nested
 
+from ticktally.operators.counters import NAMES
+from ticktally.operators.report import report
 from ticktally.operators.source import SCHEMA, Source
 from ticktally.operators.ticks import merged, tick_table
 from ticktally.plans.conf import TEMPLATES, ConfError, parse_report_conf
@@ -32,6 +34,12 @@ def test_registry(spark):
     assert e.status().where("Variable_name like '%control_requests'").first().Value == "2"
     e.create_report("active", "v2/active")
     assert spark.table("active").count() == 2
+    e.create_report("third", "v2/request/60/~host/no_percentiles/no_filters")
+    assert spark.table("active").count() == 3  # system tables follow the registry
+    e.drop_report("third")
+    assert spark.table("active").count() == 2
+    for name in ("scripts", "by_group"):
+        assert e.active().where(f"table_name = '{name}'").select(*NAMES).first() == e.state(name).select(*NAMES).first()
     e.drop_report("scripts")
     with pytest.raises(ConfError):
         e.dataframe("scripts")
@@ -70,17 +78,47 @@ def test_stream_equals_batch_on_closed_ticks(spark, tmp_path, text):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) != []
 
 
-def test_fan_out(spark, tmp_path):
+def test_views_hold_their_window(spark):
+    """Requests at seconds 0 to 199; a window of 60 seconds in ticks of 10."""
+    e = Engine(spark, Source(spark.createDataFrame(_requests(), SCHEMA)))
+    e.create_report("windowed", "v2/request/60,10/~script/no_percentiles/no_filters")
+    got = {r.script: (r.req_count, r.req_per_sec) for r in spark.table("windowed").collect()}
+    assert got == {"x0": (30, 0.5), "x1": (30, 0.5)}  # seconds 140 to 199
+    at = e.dataframe("windowed", as_of="2030-01-01 00:01:05").collect()
+    assert sum(r.req_count for r in at) == 60
+    assert Engine(spark, e.source, clock="now").create_report("stale", "v2/request/60/~script/no_percentiles/no_filters") and spark.table("stale").count() == 0
+
+
+@pytest.mark.parametrize("text", ["v2/request/60,10/~script/hv=0:1000:1000,p50,p99/no_filters", "v2/timer/60,10/@group/hv=0:1000:100000,p50,p99/no_filters"])
+def test_live_percentiles(spark, tmp_path, text):
+    """Percentiles and histograms of a report that a stream feeds equal those of the batch over the same ticks."""
     batch = spark.createDataFrame(_requests(), SCHEMA)
-    batch.write.parquet(str(tmp_path / "in"))
-    confs = {"a": parse_report_conf("v2/request/60,10/~host/no_percentiles/no_filters"), "b": parse_report_conf("v2/timer/60,10/@group/no_percentiles/no_filters")}
-    seen = {"a": 0, "b": 0}
+    batch.repartition(1).write.parquet(str(tmp_path / "in"))
+    e = Engine(spark, Source(batch))
+    e.create_report("live_one", text)
+    live = Source(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")))
+    assert e.feed("live_one", live, str(tmp_path / "live")).query.awaitTermination(120)
+    e.refresh("live_one")
+    got = sorted(map(tuple, spark.table("live_one").collect()))
+    want = sorted(map(tuple, report(Source(batch), parse_report_conf(text), as_of="2030-01-01 00:03:10").collect()))  # the last slice is open
+    assert got == want != []
+    assert e.active().first().approx_row_count == 2
+    e.drop_report("live_one")
+    with pytest.raises(ConfError):
+        e.dataframe("live_one")
 
-    def sink(name, ticks, batch_id):
-        seen[name] += ticks.agg({"req": "sum"}).first()[0]
 
-    fan_out(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")), confs, sink, str(tmp_path / "cp")).awaitTermination(120)
-    assert seen == {"a": 200, "b": 300}
+def test_fan_out(spark, tmp_path):
+    """Two reports from one stream; a batch that is repeated counts once."""
+    batch = spark.createDataFrame(_requests(), SCHEMA)
+    batch.repartition(3).write.parquet(str(tmp_path / "in"))
+    confs = {"a": parse_report_conf("v2/request/60,10/~host/no_percentiles/no_filters"), "b": parse_report_conf("v2/timer/60,10/@group/hv=0:1000:1000,p50/no_filters")}
+    live = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for again in range(2):  # with a new checkpoint all batches come again under the same numbers
+        fan_out(live, confs, str(tmp_path / "out"), str(tmp_path / f"cp{again}")).awaitTermination(120)
+    for name, conf in confs.items():
+        got = sorted(map(tuple, report_of(spark, str(tmp_path / "out" / name), conf, "2030-01-01 00:02:00").collect()))
+        assert got == sorted(map(tuple, report(Source(batch), conf, as_of="2030-01-01 00:02:00").collect())) != []
 
 
 def test_udp_stream_end_to_end(spark, tmp_path):

@@ -63,10 +63,45 @@ def counters(source: Source, conf: ReportConf, time_unit: str = "s") -> DataFram
         n = lambda what: F.when(F.col("early").isNull(), F.size(F.filter("o", lambda x: x == what))).otherwise(0)
         r = r.select("early", F.when(F.col("early").isNull(), F.size("o")).otherwise(0).alias("scanned"), n("bloom").alias("bloom"), n("filters").alias("tfilter"), n("tags").alias("ttags"), n("kept").alias("kept"))
         r = r.withColumn("reason", F.coalesce("early", F.when(F.col("kept") == 0, "timertag"))).drop("early")
-    lost = lambda what: F.count_if(F.col("reason") == what)
-    s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    return r.agg(
-        F.count(F.lit(1)).alias("packets_received"), F.count_if(F.col("reason").isNull()).alias("packets_aggregated"),
-        lost("bloom").alias("packets_dropped_by_bloom"), lost("filters").alias("packets_dropped_by_filters"), lost("rfield").alias("packets_dropped_by_rfield"), lost("rtag").alias("packets_dropped_by_rtag"), lost("timertag").alias("packets_dropped_by_timertag"),
-        s("scanned").alias("timers_scanned"), s("kept").alias("timers_aggregated"), s("bloom").alias("timers_skipped_by_bloom"), s("tfilter").alias("timers_skipped_by_filters"), s("ttags").alias("timers_skipped_by_tags"),
+    return r.agg(*_sums({c: F.col(c) for c in ("reason", *_OUTCOMES)}))
+
+
+def _sums(x) -> list[Column]:
+    """The counters of rows with a reason and counts of timers."""
+    lost = lambda what: F.count_if(x["reason"] == what)
+    s = lambda c: F.coalesce(F.sum(x[c]), F.lit(0)).cast("bigint")
+    columns = (
+        F.count(F.lit(1)), F.count_if(x["reason"].isNull()), *[lost(w) for w in ("bloom", "filters", "rfield", "rtag", "timertag")],
+        s("scanned"), s("kept"), s("bloom"), s("tfilter"), s("ttags"),
     )
+    return [c.alias(n) for c, n in zip(columns, NAMES)]
+
+
+def counters_of(source: Source, confs: dict[str, ReportConf], time_unit: str = "s") -> DataFrame:
+    """(name, counts): the counters of many reports from one pass over the requests."""
+    names = list(confs)
+    if not names:
+        raise ValueError("no reports")
+    timed = any(c.kind == "timer" for c in confs.values())
+    r = source.nested() if timed else source.requests
+    r = r.select(*[_outcome(c, time_unit).alias(f"__c{i}") for i, c in enumerate(confs.values())])
+    sums = r.agg(*[F.struct(*_sums(F.col(f"__c{i}"))).alias(f"__c{i}") for i in range(len(names))])
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"__c{i}").alias("c")) for i, n in enumerate(names)]))
+    return sums.select(rows.alias("x")).select("x.name", "x.c.*")
+
+
+def _outcome(conf: ReportConf, time_unit: str) -> Column:
+    """struct(reason, counts of timers) of a request with its timers inside."""
+    zero = F.lit(0)
+    no_filter, no_rtag = ~request_filter(conf, time_unit), _any([request_key(k).isNull() for k in conf.keys if k.kind == "rtag"])
+    if conf.kind != "timer":
+        return F.struct(F.when(no_filter, "filters").when(no_rtag, "rtag").alias("reason"), *[zero.alias(x) for x in _OUTCOMES])
+    wanted = timer_tag_names(conf)
+    no_field = _any([F.col(k.name) == "" for k in conf.keys if k.kind == "field"])
+    tag_names = F.flatten(F.transform("timers", lambda t: t["tags"]["name"]))
+    keyed = lambda t: reduce(and_, [first_tag(t["tags"], k.name).isNotNull() for k in conf.keys if k.kind == "ttag"], F.lit(True))
+    each = F.transform("timers", lambda t: F.when(~all_of(t["tags"]["name"], wanted), "bloom").when(~timer_filter(conf, t["tags"]), "tfilter").when(~keyed(t), "ttags").otherwise("kept"))
+    early = F.when(~all_of(tag_names, wanted), "bloom").when(no_filter, "filters").when(no_rtag, "rtag").when(no_field, "rfield")
+    n = {what: F.when(early.isNull(), F.size(F.filter(each, lambda x: x == what))).otherwise(zero) for what in _OUTCOMES[1:]}
+    scanned = F.when(early.isNull(), F.size("timers")).otherwise(zero)
+    return F.struct(F.coalesce(early, F.when(n["kept"] == 0, "timertag")).alias("reason"), scanned.alias("scanned"), *[c.alias(x) for x, c in n.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
@@ -51,12 +52,24 @@ def request_keys_present(conf: ReportConf) -> Column:
     return reduce(and_, out)
 
 
+#: Names of columns that reports use inside or show beside their keys.
+_STEMS = ("req", "req_time", "ru_utime", "ru_stime", "traffic", "memory", "hit", "time")
+RESERVED = frozenset(
+    {f"{stem}_{end}" for stem in _STEMS for end in ("count", "total", "per_sec", "percent")}
+    | set("req hit hits time utime stime traffic mem request_id ts tick slice day batch cls id cnt tags timers hit_count value_ns memory_footprint timer_count histogram_data".split())
+    | set("mem_used request_time_ns ru_utime_ns ru_stime_ns".split())
+)
+
+
 def key_names(conf: ReportConf) -> list[str]:
-    """Column names of keys: the key's own name, numbered where it repeats or is a measure's."""
+    """Column names of keys: the key's own name, numbered where it repeats or stands for something else in a
+    report (``RESERVED``, percentiles, names with two leading underscores); letters' case does not tell names apart."""
     out: list[str] = []
     for k in conf.keys:
+        taken = {x.lower() for x in out}
+        free = lambda x: x.lower() not in taken and x.lower() not in RESERVED and not x.startswith("__") and not re.fullmatch(r"[pP]\d+(_\d+)?", x)  # noqa: B023, E731
         name, n = k.name, 2
-        while name in out:
-            name, n = f"{k.name}_{n}", n + 1
+        while not free(name):
+            name, n = f"{k.name.lstrip('_')}_{n}", n + 1
         out.append(name)
     return out

@@ -32,12 +32,17 @@ _TOTAL = {"req": "req_count", "hit": "hit_count", "memory": "memory_footprint"}
 
 
 def in_window(source: Source, conf: ReportConf, as_of: str | None) -> Source:
-    """Requests of the completed ticks of the window that ends at ``as_of`` (UTC); all if it is None."""
+    """Requests of the completed ticks of the window that ends at ``as_of``: a time (UTC), ``now``, or ``latest``, the
+    end of the tick with the source's newest request (a table at rest has no open tick); all requests if it is None."""
     if as_of is None:
         return source
-    tick = conf.tick_sec
-    end = F.floor(F.unix_timestamp(F.lit(as_of).cast("timestamp")) / tick) * tick
-    at = F.unix_seconds(F.col("ts"))
+    at, tick = F.unix_seconds(F.col("ts")), conf.tick_sec
+    whole = lambda c: F.floor(c / tick) * tick
+    if as_of == "latest":
+        last = source.requests.agg((whole(F.unix_seconds(F.max("ts"))) + tick).alias("__end"))  # one row
+        r = source.requests.crossJoin(F.broadcast(last))
+        return Source(r.where((at < F.col("__end")) & (at >= F.col("__end") - conf.window_sec)).drop("__end"), source.timers)
+    end = whole(F.unix_timestamp(F.current_timestamp() if as_of == "now" else F.lit(as_of).cast("timestamp")))
     return source.where((at < end) & (at >= end - conf.window_sec))
 
 
@@ -68,19 +73,19 @@ def timer_rows(source: Source, conf: ReportConf, time_unit: str = "s", extra: tu
 
     if s.timers is not None:
         # the keys' values are taken out of the tags here, so that no array is shuffled
-        t = s.timers.where(counted(F.col("tags"))).select("request_id", "hit_count", "value_ns", F.col("ru_utime_ns").alias("u"), F.col("ru_stime_ns").alias("s"), *[first_tag(F.col("tags"), k.name).alias(n) for k, n in of_timer])
+        t = s.timers.where(counted(F.col("tags"))).select("request_id", "hit_count", "value_ns", F.col("ru_utime_ns").alias("__u"), F.col("ru_stime_ns").alias("__s"), *[first_tag(F.col("tags"), k.name).alias(n) for k, n in of_timer])
         j = s.requests.select("request_id", *extra, *of_request).join(t, "request_id")
-        return j.select("request_id", *extra, *names, F.lit(None).cast("int").alias("req"), F.col("hit_count").alias("hit"), F.col("value_ns").alias("time"), F.col("u").alias("utime"), F.col("s").alias("stime"))
+        return j.select("request_id", *extra, *names, F.lit(None).cast("int").alias("req"), F.col("hit_count").alias("hit"), F.col("value_ns").alias("time"), F.col("__u").alias("utime"), F.col("__s").alias("stime"))
     kept = F.transform(
         F.filter("timers", lambda t: counted(t["tags"])),
         lambda t: F.struct(t["hit_count"].alias("hit"), t["value_ns"].alias("time"), t["ru_utime_ns"].alias("utime"), t["ru_stime_ns"].alias("stime"), F.array(*[first_tag(t["tags"], k.name) for k, _ in of_timer]).cast("array<string>").alias("k")),
     )
     tag_names = F.flatten(F.transform("timers", lambda t: t["tags"]["name"]))
     r = s.requests.where(all_of(tag_names, wanted)).select("request_id", *extra, *of_request, kept.alias("__kept")).where(F.size("__kept") > 0)
-    r = r.select("request_id", *extra, *[n for k, n in zip(conf.keys, names) if k.kind != "ttag"], F.transform("__kept", lambda t: t["k"]).alias("__keys"), F.posexplode("__kept").alias("__i", "t"))
-    first = (F.array_position("__keys", F.col("t.k")) == F.col("__i") + 1).cast("int")
-    keyed = {n: F.get(F.col("t.k"), F.lit(i)) for i, (_, n) in enumerate(of_timer)}
-    return r.select("request_id", *extra, *[keyed.get(n, F.col(n)).alias(n) for n in names], first.alias("req"), "t.hit", "t.time", "t.utime", "t.stime")
+    r = r.select("request_id", *extra, *[n for k, n in zip(conf.keys, names) if k.kind != "ttag"], F.transform("__kept", lambda t: t["k"]).alias("__keys"), F.posexplode("__kept").alias("__i", "__t"))
+    first = (F.array_position("__keys", F.col("__t.k")) == F.col("__i") + 1).cast("int")
+    keyed = {n: F.get(F.col("__t.k"), F.lit(i)) for i, (_, n) in enumerate(of_timer)}
+    return r.select("request_id", *extra, *[keyed.get(n, F.col(n)).alias(n) for n in names], first.alias("req"), "__t.hit", "__t.time", "__t.utime", "__t.stime")
 
 
 def histogram_rows(rows: DataFrame, conf: ReportConf, by: list[str], quantize: bool = True, compat: str = "fixed") -> DataFrame:
@@ -90,8 +95,8 @@ def histogram_rows(rows: DataFrame, conf: ReportConf, by: list[str], quantize: b
         rows = rows.where(F.col("hit") > 0)
     else:
         value, weight = F.col("time"), F.lit(1)
-    b = rows.select(*by, bucket(value, conf.histogram, quantize, compat).alias("b"), weight.alias("w"))
-    return b.groupBy(*by, F.col("b.cls").alias("cls"), F.col("b.id").alias("id")).agg(F.sum("w").cast("bigint").alias("cnt"))
+    b = rows.select(*by, bucket(value, conf.histogram, quantize, compat).alias("__b"), weight.alias("__w"))
+    return b.groupBy(*by, F.col("__b.cls").alias("cls"), F.col("__b.id").alias("id")).agg(F.sum("__w").cast("bigint").alias("cnt"))
 
 
 def percentile_columns(hist: DataFrame, conf: ReportConf, by: list[str], packet_text: bool = False, compat: str = "fixed") -> DataFrame:
@@ -102,12 +107,12 @@ def percentile_columns(hist: DataFrame, conf: ReportConf, by: list[str], packet_
     h = conf.histogram
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     run = whole.orderBy("cls", "id").rowsBetween(Window.unboundedPreceding, 0)
-    x = hist.withColumn("n", F.sum("cnt").over(whole)).withColumn("cum", F.sum("cnt").over(run))
+    x = hist.withColumn("__n", F.sum("cnt").over(whole)).withColumn("__cum", F.sum("cnt").over(run))
     base = F.lit(h.low_ns)
-    rank = {p: F.least(F.ceil(F.col("n").cast("double") * F.lit(float(v)) / F.lit(100.0)).cast("bigint"), F.col("n")) for p, v in conf.percentiles}
-    at = {p: F.min(F.when((F.col("cum") >= rank[p]), F.struct("cls", "id", "cnt", "cum"))) for p, _ in conf.percentiles}
+    rank = {p: F.least(F.ceil(F.col("__n").cast("double") * F.lit(float(v)) / F.lit(100.0)).cast("bigint"), F.col("__n")) for p, v in conf.percentiles}
+    at = {p: F.min(F.when((F.col("__cum") >= rank[p]), F.struct("cls", "id", "cnt", F.col("__cum").alias("cum")))) for p, _ in conf.percentiles}
     entry = F.struct("id", "cnt")
-    cols = [F.first("n").alias("n"), *[at[p].alias(f"__{p}") for p, _ in conf.percentiles]]
+    cols = [F.first("__n").alias("__n"), *[at[p].alias(f"__{p}") for p, _ in conf.percentiles]]
     cols += [
         F.sort_array(F.collect_list(F.when(F.col("cls") == INSIDE, entry))).alias("__in"),
         F.coalesce(F.sum(F.when(F.col("cls") == BELOW, F.col("cnt"))), F.lit(0)).alias("__below"), F.coalesce(F.sum(F.when(F.col("cls") == ABOVE, F.col("cnt"))), F.lit(0)).alias("__above"),

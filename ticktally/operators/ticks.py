@@ -44,7 +44,7 @@ def merged(ticks: DataFrame, conf: ReportConf, histograms: DataFrame | None = No
     out = derived(agg, conf, names)
     if histograms is not None:
         h = histograms.groupBy(*names, "cls", "id").agg(F.sum("cnt").alias("cnt"))
-        out = out.join(percentile_columns(h, conf, names), names, "left")
+        out = out.join(percentile_columns(h, conf, names), names, "left")  # on the same partitioning
     return out
 
 

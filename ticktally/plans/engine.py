@@ -10,10 +10,14 @@ from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.counters import NAMES, counters
+from ..operators.counters import NAMES, counters, counters_of
 from ..operators.report import report
 from ..operators.source import Source
+from ..operators.ticks import approx_rows
+from ..streaming.ticks import read_ticks, report_of, stream_ticks, write_ticks
+from ..operators.filters import key_names
 from .conf import ConfError, ReportConf, parse_report_conf
 
 log = logging.getLogger("ticktally")
@@ -72,15 +76,22 @@ class Report:
     internal: str
     conf: ReportConf
     definition: str
-    active_since: float | None = None
+    active_since: float
     merge_sec: float | None = None
+    ticks: str | None = None  # folder of its slices, if a stream feeds it
+    query: StreamingQuery | None = None
 
 
 class Engine:
-    """Reports over one source.  Names are views; a report is activated by its first use."""
+    """Reports over one source.  Names are views.
 
-    def __init__(self, spark: SparkSession, source: Source, config: EngineConfig = EngineConfig()):
-        self.spark, self.source, self.config = spark, source, config
+    A view holds the completed ticks of its report's window.  The window ends where ``clock`` says:
+    ``latest``, after the tick with the newest request (tables at rest), or ``now`` (live sources).  A
+    report counts as active from its creation on, since a view has no moment of first use.
+    """
+
+    def __init__(self, spark: SparkSession, source: Source, config: EngineConfig = EngineConfig(), clock: str = "latest"):
+        self.spark, self.source, self.config, self.clock = spark, source, config, clock
         self.started = time.time()
         self._reports: dict[str, Report] = {}
         self._ids = 0
@@ -104,10 +115,27 @@ class Engine:
             log.warning("%s: %s", name, w)
         self._ids += 1
         self._control += 1
-        self._reports[name] = Report(self._ids, name, name, conf, definition)
-        self.dataframe(name).createOrReplaceTempView(name)
+        self._reports[name] = Report(self._ids, name, name, conf, definition, time.time())
+        self._show(name)
         return self._reports[name]
 
+    def _show(self, *names: str) -> None:
+        """(Re)make views; those of the system tables follow every change."""
+        system = [r.name for r in self._reports.values() if r.conf.kind in ("active", "stats")]
+        for n in dict.fromkeys((*names, *system)):
+            self.dataframe(n).createOrReplaceTempView(n)
+
+    def feed(self, name: str, live: Source, folder: str, late: str = "0 seconds", trigger: dict | None = None) -> Report:
+        """Let a stream of requests keep the report's slices in ``folder``; the view then reads them."""
+        r = self._get(name)
+        ticks = stream_ticks(live, r.conf, late, self.config.time_filter_unit)
+        r.ticks, r.query = f"{folder}/ticks", write_ticks(ticks, f"{folder}/ticks", f"{folder}/checkpoint", trigger)
+        return r
+
+    def refresh(self, name: str) -> None:
+        """Show what a stream has written so far."""
+        self._show(name)
+
     def rename_report(self, old: str, new: str) -> None:
         """RENAME TABLE: the internal name stays."""
         if new in self._reports:
@@ -117,13 +145,17 @@ class Engine:
         r.name = new
         self._reports[new] = r
         self.spark.catalog.dropTempView(old)
-        self.dataframe(new).createOrReplaceTempView(new)
+        self._show(new)
 
     def drop_report(self, name: str) -> None:
-        self._get(name)
+        """DROP TABLE: the stream that feeds the report is stopped."""
+        r = self._get(name)
+        if r.query is not None:
+            r.query.stop()
         del self._reports[name]
         self._control += 1
         self.spark.catalog.dropTempView(name)
+        self._show()
 
     def alter_report(self, name: str, *_: object) -> None:
         raise ConfError("reports can't be altered; drop and create them")
@@ -146,12 +178,13 @@ class Engine:
             return self.active()
         if r.conf.kind == "stats":
             return self.stats()
-        return report(self.source, r.conf, as_of, self.config.time_filter_unit, columns=columns)
+        if r.ticks:
+            return report_of(self.spark, r.ticks, r.conf, as_of or self.clock)
+        return report(self.source, r.conf, as_of or self.clock, self.config.time_filter_unit, columns=columns)
 
     def snapshot(self, name: str, as_of: str | None = None) -> DataFrame:
-        """Activate the report and return what it holds at a time, cached for repeated reads."""
+        """What the report holds at a time, cached for repeated reads."""
         r = self._get(name)
-        r.active_since = r.active_since or time.time()
         began = time.time()
         df = self.dataframe(name, as_of).cache()
         r.merge_sec = time.time() - began
@@ -162,29 +195,38 @@ class Engine:
         return counters(self.source, self._get(name).conf, self.config.time_filter_unit)
 
     def active(self) -> DataFrame:
-        """One row per report: identity, window, counters."""
-        out = None
-        for r in self.reports():
-            if r.conf.kind in ("active", "stats"):
-                continue
-            known = {
-                "id": F.lit(r.id), "table_name": F.lit(r.name), "internal_name": F.lit(r.internal), "kind": F.lit(r.conf.kind), "uptime": F.lit(time.time() - r.active_since if r.active_since else 0.0), "time_window_sec": F.lit(r.conf.window_sec), "tick_count": F.lit(r.conf.tick_count),
-                "batches_sent": F.lit(0), "batches_received": F.lit(0), "packets_lost": F.lit(0), "last_snapshot_merge_duration": F.lit(r.merge_sec), **{n: F.col(n) for n in NAMES},
-            }
-            row = self.state(r.name).select(*[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in ACTIVE)])
-            out = row if out is None else out.unionByName(row)
-        return out if out is not None else self.spark.createDataFrame([], ", ".join(ACTIVE))
+        """One row per report: identity, window, counters; all reports are counted in one pass over the source."""
+        own = {r.name: r for r in self.reports() if r.conf.kind not in ("active", "stats")}
+        if not own:
+            return self.spark.createDataFrame([], ", ".join(ACTIVE))
+        known = [(r.name, r.id, r.internal, r.conf.kind, r.active_since, r.conf.window_sec, r.conf.tick_count, r.merge_sec) for r in own.values()]
+        about = self.spark.createDataFrame(known, "name string, id int, internal_name string, kind string, since double, time_window_sec int, tick_count int, merge_sec double")
+        for r in own.values():
+            if r.ticks and (ticks := read_ticks(self.spark, r.ticks)) is not None:
+                rows = approx_rows(ticks, key_names(r.conf)).select(F.lit(r.name).alias("name"), "approx_row_count")
+                about = about.join(F.broadcast(rows), "name", "left") if "approx_row_count" not in about.columns else about.join(F.broadcast(rows.withColumnRenamed("approx_row_count", "__more")), "name", "left").withColumn("approx_row_count", F.coalesce("approx_row_count", "__more")).drop("__more")
+        rows = about.join(F.broadcast(counters_of(self.source, {n: r.conf for n, r in own.items()}, self.config.time_filter_unit)), "name")  # one row per report
+        batches = {n: F.lit(self._batches(r)) for n, r in own.items()}
+        seen = F.coalesce(*[F.when(F.col("name") == n, c) for n, c in batches.items()])
+        known_as = {"table_name": F.col("name"), "uptime": F.unix_micros(F.current_timestamp()) / 1e6 - F.col("since"), "batches_sent": seen, "batches_received": seen, "packets_lost": F.lit(0), "last_snapshot_merge_duration": F.col("merge_sec")}
+        return rows.select(*[(known_as.get(n) if n in known_as else F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in ACTIVE)])
+
+    @staticmethod
+    def _batches(r: Report) -> int:
+        last = r.query.lastProgress if r.query is not None else None
+        return int(last["batchId"]) + 1 if last else 0
 
     def stats(self, progress: dict | None = None, decode: DataFrame | None = None) -> DataFrame:
         """One row; ``progress`` is a streaming query's last progress, ``decode`` the outcome counts of its datagrams.
         What Spark has no counterpart for is null."""
-        known: dict[str, object] = {"uptime": time.time() - self.started, "coordinator_control_requests": self._control, "version_info": self.spark.version, "build_string": f"spark {self.spark.version}"}
+        known: dict[str, object] = {"coordinator_control_requests": self._control, "version_info": self.spark.version, "build_string": f"spark {self.spark.version}"}
         if progress:
             known |= {"udp_recv_packets": int(progress.get("numInputRows", 0)), "udp_batch_send_total": int(progress.get("batchId", 0)) + 1, "coordinator_batches_received": int(progress.get("batchId", 0)) + 1}
         if decode is not None:
             by = {r["result"]: r["packets"] for r in decode.collect()}  # one row per outcome
             known |= {"udp_packet_decode_err": by.get("packet_decode_err", 0), "repacker_packet_validate_err": sum(n for k, n in by.items() if k not in ("okay", "packet_decode_err")), "repacker_recv_packets": sum(by.values())}
-        return self.spark.createDataFrame([tuple(known.get(c.split()[0]) for c in STATS)], ", ".join(STATS))
+        row = self.spark.createDataFrame([tuple(known.get(c.split()[0]) for c in STATS)], ", ".join(STATS))
+        return row.withColumn("uptime", F.unix_micros(F.current_timestamp()) / 1e6 - F.lit(self.started))
 
     def status(self, prefix: str = "Ticktally_") -> DataFrame:
         """SHOW STATUS: (Variable_name, Value) of the statistics."""

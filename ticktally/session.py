@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder and cut its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is made only where
-    that setting is absent (single-process tests).  Files survive the loss of executors.
+    The folder is the session's ``spark.checkpoint.dir``, which all executors share; files in it survive
+    the loss of executors.  Only a local session may leave it unset and gets a folder of its own.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="ticktally-"))
     return df.checkpoint(eager=True)
 
@@ -25,15 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input comes in fewer pieces than there are cores, as a small file does.
-
-    At scale, inputs have more pieces than cores and nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def parallelism(spark: SparkSession) -> int:
     """Number of tasks a shuffle should have: the larger of the configured value and two per core."""
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durations import to_ns
 from ..operators.dedup import distinct_rows
 from ..operators.source import TAGS, TIMERS, Source
-from ..session import spread, table
+from ..session import table
 
 
 def tag_array(*pairs: tuple[str, Column]) -> Column:
@@ -19,7 +19,7 @@ def tag_array(*pairs: tuple[str, Column]) -> Column:
 
 def from_orders(spark: SparkSession, d: str, flat: bool = False) -> Source:
     """Orders as requests, line items as their timers; blank servers and absent or repeated tags included."""
-    o = spread(table(spark, d, "orders"))
+    o = table(spark, d, "orders")
     k = F.col("o_orderkey")
     r = o.select(
         k.alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("ts"),
@@ -37,7 +37,7 @@ def from_orders(spark: SparkSession, d: str, flat: bool = False) -> Source:
             ("prio", F.substring("o_orderpriority", 1, 1)),
         ).alias("tags"),
     )
-    t = spread(table(spark, d, "lineitem").drop("l_shipdate")).select(
+    t = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("request_id"), F.col("l_quantity").cast("bigint").alias("hit_count"),
         F.round(F.col("l_extendedprice") * 10000).cast("bigint").alias("value_ns"),
         F.round(F.col("l_discount") * 1e9).cast("bigint").alias("ru_utime_ns"), F.round(F.col("l_tax") * 1e9).cast("bigint").alias("ru_stime_ns"),
@@ -52,7 +52,7 @@ def from_orders(spark: SparkSession, d: str, flat: bool = False) -> Source:
 
 def from_events(spark: SparkSession, d: str) -> Source:
     """Events as requests without timers."""
-    e = spread(table(spark, d, "events"))
+    e = table(spark, d, "events")
     ns = F.round(F.coalesce("value", F.lit(0.0)) * 1e6).cast("bigint")
     r = e.select(
         F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"), F.lit("events").alias("server"), F.col("event_type").alias("script"),
@@ -84,6 +84,3 @@ def from_metrics(spark: SparkSession, d: str) -> Source:
     t = t.select("request_id", "hit_count", to_ns(F.col("timer_value")).alias("value_ns"), zero(_clean(F.col("timer_ru_utime"))).alias("ru_utime_ns"), zero(_clean(F.col("timer_ru_stime"))).alias("ru_stime_ns"), F.coalesce("tags", F.array().cast(TAGS)).cast(TAGS).alias("tags"))
     return Source(r, t)
 
-
-def rows(spark: SparkSession, data: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(data, schema)
