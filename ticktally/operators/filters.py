@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import and_
 
@@ -63,11 +62,11 @@ RESERVED = frozenset(
 
 def key_names(conf: ReportConf) -> list[str]:
     """Column names of keys: the key's own name, numbered where it repeats or stands for something else in a
-    report (``RESERVED``, percentiles, names with two leading underscores); letters' case does not tell names apart."""
+    report (``RESERVED``, its percentiles, names with two leading underscores); letters' case does not tell names apart."""
     out: list[str] = []
     for k in conf.keys:
-        taken = {x.lower() for x in out}
-        free = lambda x: x.lower() not in taken and x.lower() not in RESERVED and not x.startswith("__") and not re.fullmatch(r"[pP]\d+(_\d+)?", x)  # noqa: B023, E731
+        taken = {x.lower() for x in out} | {p for p, _ in conf.percentiles}
+        free = lambda x: x.lower() not in taken and x.lower() not in RESERVED and not x.startswith("__")  # noqa: B023, E731
         name, n = k.name, 2
         while not free(name):
             name, n = f"{k.name.lstrip('_')}_{n}", n + 1
