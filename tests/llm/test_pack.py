@@ -71,7 +71,7 @@ def test_items(spark):
 def test_ranks_without_a_task_per_group(spark):
     df = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 1 else id % 50 end as g")
     ranks = defaultdict(list)
-    for x in pack.ranked(df, ["g"], "id").collect():
+    for x in pack.ranked(df, ["g"], ["id"]).collect():
         ranks[x.g].append(x["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in ranks.values())
 

@@ -30,8 +30,8 @@ def _frame(spark, n=30_000):
 def test_sketches_of_groups_and_days(spark):
     rows, df = _frame(spark)
     part = quantile.partial_sketches(df.repartition(6), ["g", "day"], "value", k=128)
-    daily = quantile.merge_sketches(part, ["g", "day"], F.spark_partition_id() / 2, k=128)
-    total = quantile.merge_sketches(daily, ["g"], F.col("day"), k=128).collect()
+    daily = quantile.merge_sketches(part, ["g", "day"], F.spark_partition_id(), 6, k=128)
+    total = quantile.merge_sketches(daily, ["g"], F.col("day"), 3, k=128).collect()
     true = {}
     for g, _, v in rows:
         true.setdefault(g, []).append(v)
@@ -51,7 +51,7 @@ def test_sketches_of_groups_and_days(spark):
 
 def test_percentile_values(spark):
     rows, df = _frame(spark, 6000)
-    s = quantile.merge_sketches(quantile.partial_sketches(df, ["g"], "value", k=256), ["g"], F.lit(0), k=256)
+    s = quantile.merge_sketches(quantile.partial_sketches(df, ["g"], "value", k=256), ["g"], F.lit(0), 1, k=256)
     for r in quantile.percentiles(s, ["g"], (1, 50, 99, 100)).collect():
         v = np.sort([x for g, _, x in rows if g == r.g])
         lo = int(np.searchsorted(v, r.value, "left")) / len(v)
@@ -63,7 +63,24 @@ def test_percentile_values(spark):
 
 def test_empty_and_null_keys(spark):
     df = spark.createDataFrame([], "g string, value double")
-    assert quantile.merge_sketches(quantile.partial_sketches(df, ["g"], "value"), ["g"], F.lit(0)).count() == 0
+    assert quantile.merge_sketches(quantile.partial_sketches(df, ["g"], "value"), ["g"], F.lit(0), 1).count() == 0
     df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 0.0)], "g string, value double")
-    got = {r.g: r.n for r in quantile.merge_sketches(quantile.partial_sketches(df, ["g"], "value"), ["g"], F.lit(0)).collect()}
+    got = {r.g: r.n for r in quantile.merge_sketches(quantile.partial_sketches(df, ["g"], "value"), ["g"], F.lit(0), 1).collect()}
     assert got == {None: 2, "a": 1}
+
+
+def test_levels_of_the_tree(spark, monkeypatch):
+    """With a fan-in of 3, 20 pieces meet in three levels; no row pools more than three of them."""
+    monkeypatch.setattr(quantile, "FAN_IN", 3)
+    seen = []
+    pool = quantile._pool
+    monkeypatch.setattr(quantile, "_pool", lambda df, keys: seen.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0]) or pool(df, keys))
+    rows, df = _frame(spark, 12_000)
+    part = quantile.partial_sketches(df.repartition(20), ["g"], "value", k=64)
+    total = {r.g: r for r in quantile.merge_sketches(part, ["g"], F.spark_partition_id(), 20, k=64).collect()}
+    assert len(seen) == 3 and max(seen) <= 3
+    v = np.sort([x for g, _, x in rows if g == "hot"])
+    r = total["hot"]
+    for x in np.quantile(v, [0.1, 0.5, 0.99]):
+        est = sum(y < x for y in r.raw) + sum(b.w * sum(y < x for y in b.v) for b in r.buffers)
+        assert est - r.over <= (v < x).sum() <= est + r.under

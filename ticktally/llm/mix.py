@@ -12,9 +12,10 @@ on passes up to its own limit of repetitions, so a document is never given to it
 of patterns times passes, not that of documents.
 
 Each (pattern, pass) is then a line of documents in seeded order, of which the sources take
-consecutive stretches.  A document belongs to the stretch its start lies in, so stretches take
-whole documents and miss their length by less than one document.  Starts are prefix sums over
-hashed buckets and within them, so no task sums up a whole pattern.
+consecutive stretches.  A document belongs to the stretch its middle lies in, so stretches take
+whole documents and miss each end by half a document at most, on either side.  Starts are prefix
+sums over hashed buckets and within them, so no task sums up a whole pattern.  Passes beyond what
+the quotas of a pattern's sources could use are not planned.
 
 A quota that can't be filled (no documents, or too few at the limit of repetitions) is filled as far
 as it goes and the report says so.  The quotas of other sources stay as they are.
@@ -83,7 +84,8 @@ def route(patterns: dict[tuple[str, ...], int], targets: list[Target], budget: i
     """Quotas, and the stretches (pattern, pass, source, from, to) in tokens along a pattern's line."""
     total = sum(t.weight for t in targets if t.weight > 0)
     quota = {t.source: int(round(budget * t.weight / total)) if total and t.weight > 0 else 0 for t in targets}
-    tiers = [(p, r) for p in patterns for r in range(1, max((t.max_repeats for t in targets if t.source in p), default=0) + 1)]
+    useful = {p: -(-sum(quota[t.source] for t in targets if t.source in p) // max(1, patterns[p])) for p in patterns}
+    tiers = [(p, r) for p in patterns for r in range(1, min(max((t.max_repeats for t in targets if t.source in p), default=0), useful[p]) + 1)]
     node = {x: i + 1 for i, x in enumerate(tiers)}
     source = {t.source: len(tiers) + 1 + i for i, t in enumerate(targets)}
     end = len(tiers) + len(targets) + 1
@@ -114,12 +116,19 @@ def lines(docs: DataFrame, key: str, seed: int) -> DataFrame:
     return d.withColumn("start", F.coalesce("__before", F.lit(0)) + F.coalesce("__inner", F.lit(0))).drop("__h", "__b", "__inner", "__before")
 
 
+BROADCAST = 100_000  # stretches; with more of them the join is an ordinary one
+
+
 def select(docs: DataFrame, key: str, stretches: list[tuple[int, tuple[str, ...], int, str, int, int]], seed: int) -> DataFrame:
-    """(mix_id, key, source, n_tokens, repeats); ``docs``: key, pattern (sorted array), n_tokens."""
-    spark = docs.sparkSession
-    rows = [(m, list(p), r, s, a, b) for m, p, r, s, a, b in stretches]
-    plan = spark.createDataFrame(rows, "mix_id int, pattern array<string>, pass int, source string, lo bigint, hi bigint")
-    placed = lines(docs.where("n_tokens > 0"), key, seed)
-    # as many rows as patterns, passes and sources have pairs: bounded by the targets
-    hit = placed.join(F.broadcast(plan), "pattern").where((F.col("start") >= F.col("lo")) & (F.col("start") < F.col("hi")))
-    return hit.groupBy("mix_id", key, "source").agg(F.max("n_tokens").alias("n_tokens"), F.count(F.lit(1)).cast("int").alias("repeats"))
+    """(mix_id, key, source, n_tokens, repeats); ``docs``: key, pattern (sorted array), n_tokens.
+
+    The stretches that a mix and source have in a pattern are one row, in which a document's passes are counted."""
+    by: dict[tuple, list] = {}
+    for m, p, _, s, a, b in stretches:
+        by.setdefault((m, p, s), []).append((a, b))
+    rows = [(m, list(p), s, x) for (m, p, s), x in by.items()]
+    plan = docs.sparkSession.createDataFrame(rows, "mix_id int, pattern array<string>, source string, stretches array<struct<lo: bigint, hi: bigint>>")
+    placed = lines(docs.where("n_tokens > 0"), key, seed).withColumn("__mid", F.col("start") + F.floor(F.col("n_tokens") / 2))
+    hit = placed.join(F.broadcast(plan) if len(stretches) <= BROADCAST else plan, "pattern")
+    repeats = F.size(F.filter("stretches", lambda x: (x["lo"] <= F.col("__mid")) & (F.col("__mid") < x["hi"])))
+    return hit.select("mix_id", key, "source", "n_tokens", repeats.alias("repeats")).where("repeats > 0")

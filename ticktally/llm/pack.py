@@ -123,12 +123,12 @@ def pack_histogram(sizes: dict[int, int], capacity: int) -> Packing:
     return p
 
 
-def ranked(items: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+def ranked(items: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``rank`` (0-based) within ``by``, computed without a task for a whole group."""
-    items = items.withColumn("__chunk", F.pmod(F.xxhash64(order), F.lit(CHUNKS)))
+    items = items.withColumn("__chunk", F.pmod(F.xxhash64(*order), F.lit(CHUNKS)))
     counts = items.groupBy(*by, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)))
-    within = items.withColumn("__row", F.row_number().over(Window.partitionBy(*by, "__chunk").orderBy(order)))
+    within = items.withColumn("__row", F.row_number().over(Window.partitionBy(*by, "__chunk").orderBy(*order)))
     return within.join(before.drop("__n"), [*by, "__chunk"]).withColumn("rank", (F.coalesce("__before", F.lit(0)) + F.col("__row") - 1).cast("bigint")).drop("__chunk", "__row", "__before")
 
 
@@ -137,12 +137,11 @@ def pack_items(items: DataFrame, key: str, size: str, plans: dict[int, tuple[int
 
     ``plans``: plan -> (capacity, source or None for all).
     """
-    pieces = None
-    for plan, (capacity, src) in plans.items():
-        own = items if src is None else items.where(F.col(source) == src)
-        cutting = F.when(F.col(size) == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col(size) - 1, F.lit(capacity).cast("bigint")))
-        own = own.select(F.lit(plan).alias("plan_id"), F.col(key), F.col(size).alias("__whole"), F.lit(capacity).cast("bigint").alias("__cap"), F.posexplode(cutting).alias("piece_no", "token_start"))
-        pieces = own if pieces is None else pieces.unionByName(own)
+    table = items.sparkSession.createDataFrame([(p, c, s) for p, (c, s) in plans.items()], "plan_id int, __cap bigint, __src string")
+    # every item once against the plans that want it; the plans are a checked small table
+    own = items.join(F.broadcast(table), F.col("__src").isNull() | (F.col("__src") == F.col(source)))
+    cutting = F.when(F.col(size) == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col(size) - 1, F.col("__cap")))
+    pieces = own.select("plan_id", F.col(key), F.col(size).alias("__whole"), "__cap", F.posexplode(cutting).alias("piece_no", "token_start"))
     pieces = pieces.withColumn("n_tokens", F.least("__cap", F.col("__whole") - F.col("token_start"))).drop("__whole", "__cap")
     counts: dict[int, dict[int, int]] = {p: {} for p in plans}
     for r in pieces.where("n_tokens > 0").groupBy("plan_id", "n_tokens").count().collect():  # bounded by the sum of capacities
@@ -152,7 +151,7 @@ def pack_items(items: DataFrame, key: str, size: str, plans: dict[int, tuple[int
         rows = sorted(((a.size, a.rank, a.bin, a.per) for a in pack_histogram(counts[plan], capacity).allotments))
         code = np.array([s for s, *_ in rows], np.int64), np.array([r for _, r, *_ in rows], np.int64)
         tables[plan] = (code[0], code[1], np.array([b for *_, b, _ in rows], np.int64), np.array([k for *_, k in rows], np.int64))
-    placed = ranked(pieces, ["plan_id", "n_tokens"], key)
+    placed = ranked(pieces, ["plan_id", "n_tokens"], [key, "piece_no"])
     ddl = f"plan_id int, `{key}` {items.schema[key].dataType.simpleString()}, piece_no int, token_start bigint, n_tokens bigint, bin_id bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,9 @@ The schedule is a binary tree: n values cost at most log2(n/k) levels of n/(2k)
 ``under, over <= n/(2k) * log2(n/k)`` for any order of arrival and any split into partitions.
 
 Sketches add: raw values and buffers are pooled and equal weights collapsed again.  They are
-kept per day and combined for longer spans.  Groups that stay below k values are pooled in the
-JVM alone; only full ones reach Python.
+kept per day and combined for longer spans.  Sketches meet in a tree: at every level at most
+``FAN_IN`` pieces are pooled in a row, and there are as many levels as the number of pieces needs.
+Groups that stay below k values pass through the Arrow pass of a level untouched.
 
 Cases: null, NaN, infinite and negative values are left out, zeros and ties stay; groups
 without values have no sketch; an empty table gives no rows.
@@ -26,6 +27,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,32 +148,38 @@ def _pool(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
 
 
 def _collapsed(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """Bring pooled sketches back to their form; groups that stay raw never leave the JVM."""
-    full = (F.size("raw") >= k) | (F.size("buffers") > 0)
+    """Bring pooled sketches back to their form; one pass, in which groups that stay raw are not touched."""
+    names = [*keys, "n", "over", "under", "raw", "buffers"]
+    df = df.withColumn("raw", F.sort_array("raw")).select(*names)
     ddl = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys) + ", " + SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            schema = pa.schema([*((c, b.schema.field(c).type) for c in keys), *_FIELDS])
             at = {name: i for i, name in enumerate(b.schema.names)}
-            for i in range(b.num_rows):
+            full = pc.or_(pc.greater_equal(pc.list_value_length(b.column(at["raw"])), k), pc.greater(pc.list_value_length(b.column(at["buffers"])), 0))
+            small = b.filter(pc.invert(full))
+            if small.num_rows:
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(small.columns, schema)], schema=schema)
+            for i in np.flatnonzero(np.asarray(full)).tolist():
                 get = lambda c: b.column(at[c])[i]  # noqa: B023, E731
                 s = Sketch(k)
                 pieces = [(x["w"].as_py(), np.asarray(x["v"].values)) for x in get("buffers")]
                 s.absorb(get("over").as_py(), get("under").as_py(), get("n").as_py(), np.asarray(get("raw").values), pieces)
-                row = {c: get(c).as_py() for c in keys} | s.row()
-                yield pa.RecordBatch.from_pylist([row], pa.schema([*((c, b.schema.field(c).type) for c in keys), *_FIELDS]))
+                yield pa.RecordBatch.from_pylist([{c: get(c).as_py() for c in keys} | s.row()], schema)
 
-    names = [*keys, "n", "over", "under", "raw", "buffers"]
-    small = df.where(~full).withColumn("raw", F.sort_array("raw")).select(*names)
-    return small.unionByName(df.where(full).select(*names).mapInArrow(run, ddl))
+    return df.mapInArrow(run, ddl)
 
 
-def merge_sketches(sketches: DataFrame, keys: Sequence[str], piece: Column, k: int = CAPACITY) -> DataFrame:
-    """One sketch per group.  Partial sketches meet by ``piece`` in groups of at most some ``FAN_IN`` first,
-    so that no row pools an unbounded number of them; a group of one passes through untouched."""
-    first = _pool(sketches.withColumn("__piece", piece.cast("bigint")), [*keys, "__piece"])
-    first = _collapsed(first, [*keys, "__piece"], k)
-    return _collapsed(_pool(first, keys), keys, k)
+def merge_sketches(sketches: DataFrame, keys: Sequence[str], piece: Column, pieces: int, k: int = CAPACITY) -> DataFrame:
+    """One sketch per group.  ``piece`` numbers the partial sketches of a group from 0 to ``pieces`` - 1; they meet
+    level by level, at most ``FAN_IN`` of them in a row."""
+    at = sketches.withColumn("__piece", piece.cast("bigint"))
+    while pieces > FAN_IN:
+        at = at.withColumn("__piece", F.floor(F.col("__piece") / FAN_IN))
+        at = _collapsed(_pool(at, [*keys, "__piece"]), [*keys, "__piece"], k)
+        pieces = -(-pieces // FAN_IN)
+    return _collapsed(_pool(at, keys), keys, k)
 
 
 def below(x: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import distinct_rows
-from ..session import cut, spread, table
+from ..session import cut, table
 from . import lossy, mix, pack, pii, pii_train, quantile
 
 SUPPORT, ERROR = 0.01, 0.0005
@@ -39,6 +39,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return sure.unionByName(exact.where(F.col("count") >= SUPPORT * total).drop("count"))
 
 
+def p5_interval_check(spark: SparkSession, d: str) -> DataFrame:
+    """Items in at least 0.4 % of all requests: is their exact count within the interval of the counter?"""
+    rows, items, total = _items(spark, d, 0.003)
+    pair = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("item")) for f in ("hostname", "script_name")]))
+    exact = rows.select(pair.alias("p")).select("p.*").groupBy("field_name", "item").agg(F.count(F.lit(1)).alias("requests")).where(F.col("requests") >= 0.004 * total)
+    return exact.join(items, ["field_name", "item"], "left").where(F.col("item").isNotNull()).select("field_name", "item", "requests", F.coalesce(F.col("requests").between(F.col("low"), F.col("high")), F.lit(False)).alias("within"))
+
+
 def p5_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Items that may reach 0.3 %, with the interval that holds their true count."""
     return _items(spark, d, 0.003)[1]
@@ -57,22 +65,28 @@ def measured(spark: SparkSession, d: str) -> DataFrame:
     return own.unionByName(timers).where((F.col("value") >= 0) & (F.col("value") < float("inf")))
 
 
+def sketches(part: DataFrame, keys: list[str], k: int = quantile.CAPACITY) -> DataFrame:
+    """One sketch per group of ``keys``; the tasks' own sketches are written once, so that they can be numbered."""
+    own = cut(quantile.partial_sketches(part, keys, "value", k))
+    return quantile.merge_sketches(own, keys, F.spark_partition_id(), own.rdd.getNumPartitions(), k)
+
+
 def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
-    part = measured(spark, d)
-    sketches = quantile.partial_sketches(part, [*KEYS, "day"], "value")
-    return quantile.merge_sketches(sketches, [*KEYS, "day"], F.spark_partition_id() / quantile.FAN_IN)
+    return sketches(measured(spark, d), [*KEYS, "day"])
 
 
 def total_sketches(spark: SparkSession, d: str) -> DataFrame:
     """The daily sketches combined."""
-    days = F.datediff("day", F.lit("1970-01-01").cast("date")) / quantile.FAN_IN
-    return quantile.merge_sketches(daily_sketches(spark, d), KEYS, days)
+    days = cut(daily_sketches(spark, d))
+    number = F.unix_date("day")
+    first, last = days.agg(F.min(number), F.max(number)).first()
+    return quantile.merge_sketches(days.where(F.col("day").isNotNull()), KEYS, number - F.lit(first or 0), (last or 0) - (first or 0) + 1)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Limits that the percentile reaches: sketches decide where their bounds do, exact counts the rest."""
     limits = table(spark, d, "percentile_limits").select(*KEYS, "pct", "limit_s").distinct()
-    s = total_sketches(spark, d)
+    s = sketches(measured(spark, d), KEYS)
     at = s.join(F.broadcast(limits) if limits.count() <= LIMITS else limits, KEYS)
     at = at.select(*KEYS, "pct", "limit_s", "n", "over", "under", quantile.below("limit_s").alias("lt"))
     need = F.col("pct") * F.col("n")
@@ -93,6 +107,17 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantile.percentiles(total_sketches(spark, d), KEYS, PCTS)
 
 
+def p6_small_buffers(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles from buffers of 64 values, held against exact ranks: does the certified interval hold the true rank?"""
+    part = cut(measured(spark, d))
+    s = cut(sketches(part, KEYS, 64))
+    found = quantile.percentiles(s, KEYS, PCTS).join(s.select(*KEYS, "over", "under"), KEYS)
+    ranks = part.join(found.select(*KEYS, "pct", F.col("value").alias("v")), KEYS).groupBy(*KEYS, "pct").agg(F.count_if(F.col("value") < F.col("v")).alias("lt"), F.count_if(F.col("value") <= F.col("v")).alias("le"))
+    need = F.col("pct") * F.col("n")
+    within = ((F.col("le") + F.col("over")) * 100 >= need) & ((F.col("lt") - F.col("under")) * 100 < need)
+    return found.join(ranks, [*KEYS, "pct"]).select(*KEYS, "pct", "n", within.alias("within_bounds"))
+
+
 def p6_daily(spark: SparkSession, d: str) -> DataFrame:
     """The same per day."""
     return quantile.percentiles(daily_sketches(spark, d), [*KEYS, "day"], PCTS)
@@ -100,12 +125,13 @@ def p6_daily(spark: SparkSession, d: str) -> DataFrame:
 
 # --- 7 and 8: containers and mixes --------------------------------------------------------------
 
+PATTERNS = 10_000  # membership patterns that a flow is planned for; more of them are refused
 PLANS = 1000  # pack plans and mix targets are small tables; more rows than this are refused
 SEED = 8
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    return pack.sized(spread(table(spark, d, "documents").select("doc_id", "source", "text")), "doc_id", "source", "text")
+    return pack.sized(table(spark, d, "documents"), "doc_id", "source", "text")
 
 
 def _small(df: DataFrame) -> list:
@@ -126,7 +152,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return pack.fill_report(p7_pack(spark, d), table(spark, d, "pack_plans"))
 
 
-def _mixes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per plan: its texts, whether each text's tokens are placed once and in order, and whether no container is over-full."""
+    plans = table(spark, d, "pack_plans").select("plan_id", "capacity_tokens")
+    placed = p7_pack(spark, d)
+    own = placed.groupBy("plan_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.count(F.lit(1)).alias("pieces"), F.max("piece_no").alias("last"), F.count_if((F.col("n_tokens") > 0) != F.col("bin_id").isNotNull()).alias("odd"))
+    texts = own.groupBy("plan_id").agg(F.count(F.lit(1)).alias("texts"), F.bool_and((F.col("n") == F.col("end")) & (F.col("pieces") == F.col("last") + 1) & (F.col("odd") == 0)).alias("whole"))
+    bins = placed.where("bin_id is not null").groupBy("plan_id", "bin_id").agg(F.sum("n_tokens").alias("used")).groupBy("plan_id").agg(F.max("used").alias("fullest"), F.count(F.lit(1)).alias("bins"), F.max("bin_id").alias("last_bin"))
+    return plans.join(texts, "plan_id").join(bins, "plan_id").select("plan_id", "texts", "whole", ((F.col("fullest") <= F.col("capacity_tokens")) & (F.col("bins") == F.col("last_bin") + 1)).alias("within_capacity"))
+
+
+def _mixes(spark: SparkSession, d: str, families: bool = False) -> tuple[DataFrame, DataFrame]:
     targets: dict[int, list] = {}
     ratio = {}
     for r in sorted(_small(table(spark, d, "mix_targets")), key=lambda r: (r["mix_id"], r["source"])):
@@ -134,8 +170,16 @@ def _mixes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         ratio[r["mix_id"]] = float(r["budget_ratio"])
     docs = _sized(spark, d)
     known = sorted({t.source for ts in targets.values() for t in ts})
-    docs = docs.select("doc_id", "n_tokens", F.when(F.col("source").isin(known), F.array("source")).otherwise(F.array().cast("array<string>")).alias("pattern"))
-    sums = {tuple(r["pattern"]): int(r["s"]) for r in docs.groupBy("pattern").agg(F.sum("n_tokens").alias("s")).collect()}  # one row per membership pattern
+    own = F.when(F.col("source").isin(known), F.array("source")).otherwise(F.array().cast("array<string>"))
+    if families:
+        family = table(spark, d, "documents").where(F.col("source").isin(known) & F.col("family_id").isNotNull()).groupBy("family_id").agg(F.sort_array(F.collect_set("source")).alias("__all"))  # at most the known sources
+        docs = docs.join(table(spark, d, "documents").select("doc_id", "family_id"), "doc_id").join(family, "family_id", "left")
+        own = F.coalesce("__all", own)
+    docs = docs.select("doc_id", "n_tokens", own.alias("pattern"))
+    per = docs.groupBy("pattern").agg(F.sum("n_tokens").alias("s")).limit(PATTERNS + 1).collect()  # one row per membership pattern
+    if len(per) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} membership patterns")
+    sums = {tuple(r["pattern"]): int(r["s"]) for r in per}
     total = sum(sums.values())
     patterns = {p: s for p, s in sums.items() if p and s}
     stretches, quotas = [], []
@@ -143,7 +187,7 @@ def _mixes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         quota, flows = mix.route(patterns, ts, round(total * ratio[m]))
         stretches += [(m, *f) for f in flows]
         weights = sum(t.weight for t in ts if t.weight > 0)
-        quotas += [(m, t.source, t.weight / weights if weights and t.weight > 0 else 0.0, t.max_repeats, quota[t.source], patterns.get((t.source,), 0)) for t in ts]
+        quotas += [(m, t.source, t.weight / weights if weights and t.weight > 0 else 0.0, t.max_repeats, quota[t.source], sum(n for p, n in patterns.items() if t.source in p)) for t in ts]
     chosen = mix.select(docs.where(F.size("pattern") > 0), "doc_id", stretches, SEED)
     return chosen, spark.createDataFrame(quotas, "mix_id int, source string, target_share double, max_repeats int, quota_tokens bigint, source_tokens bigint")
 
@@ -166,6 +210,30 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _mix_check(spark: SparkSession, d: str, families: bool) -> DataFrame:
+    chosen, quotas = _mixes(spark, d, families)
+    chosen = cut(chosen)
+    got = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most"), F.max("n_tokens").alias("largest"))
+    twice = chosen.groupBy("mix_id", "doc_id", "source").count().where("count > 1").groupBy("mix_id", "source").agg(F.lit(True).alias("twice"))
+    out = quotas.join(got, ["mix_id", "source"], "left").join(twice, ["mix_id", "source"], "left")
+    tokens = F.coalesce("tokens", F.lit(0))
+    reach = F.least("quota_tokens", F.col("source_tokens") * F.col("max_repeats"))
+    # each pass of a pattern may end half a document off
+    near = tokens <= F.col("quota_tokens") + F.col("largest") * F.greatest("most", F.lit(1))
+    full = F.lit(families) | (tokens >= reach - F.coalesce("largest", F.lit(0)) * F.greatest(F.coalesce("most", F.lit(1)), F.lit(1)))
+    return out.select("mix_id", "source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("repeats_ok"), F.coalesce(near, F.lit(True)).alias("not_over"), full.alias("filled"), F.col("twice").isNull().alias("once"))
+
+
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per mix and source: is the limit of repetitions kept, the quota met within a document, no document chosen twice?"""
+    return _mix_check(spark, d, False)
+
+
+def p8_families_check(spark: SparkSession, d: str) -> DataFrame:
+    """The same where sources overlap: a document belongs to the sources of all members of its family."""
+    return _mix_check(spark, d, True)
+
+
 # --- 9: personal information ---------------------------------------------------------------------
 
 
@@ -189,7 +257,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents"), "doc_id", "text", _lexicon(spark, d), pii_train.fitted())
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_intervals, p6_found, p6_percentiles, p6_daily, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_intervals, p5_interval_check, p6_found, p6_percentiles, p6_small_buffers, p6_daily, p7_pack, p7_fill, p7_check, p8_mix, p8_shares, p8_check, p8_families_check, p9_found, p9_redacted)}
 ORACLES = {
     "p5_found": """
         with r as (select distinct request_id, hostname, script_name from requests),
@@ -197,6 +265,22 @@ ORACLES = {
         select 'hostname' as field_name, hostname as item from r where hostname is not null group by hostname having count(*) >= 0.01 * (select n from n)
         union all
         select 'script_name', script_name from r where script_name is not null group by script_name having count(*) >= 0.01 * (select n from n)""",
+    "p5_interval_check": """
+        with r as (select distinct request_id, hostname, script_name from requests),
+        i as (select 'hostname' as field_name, hostname as item from r union all select 'script_name', script_name from r)
+        select field_name, item, count(*) requests, true as within from i where item is not null group by all having count(*) >= 0.004 * (select count(*) from r)""",
+    "p6_small_buffers": """
+        with r as (select distinct request_id, script_name, request_time from requests where script_name is not null),
+        t as (select distinct request_id, timer_no, timer_value from timers),
+        v as (select script_name, 'request_time' field_name, request_time::double x from r
+              union all select script_name, 'timer_value', timer_value::double from t join r using (request_id))
+        select script_name, field_name, pct, n, true as within_bounds
+        from (select script_name, field_name, count(*) n from v where x >= 0 and not isnan(x) and not isinf(x) group by all), (values (50), (90), (95), (99)) p(pct)""",
+    "p7_check": """
+        select plan_id, count(*) texts, true as whole, true as within_capacity
+        from pack_plans p join documents d on p.source is null or d.source = p.source group by plan_id""",
+    "p8_check": "select mix_id, source, true as repeats_ok, true as not_over, true as filled, true as once from mix_targets",
+    "p8_families_check": "select mix_id, source, true as repeats_ok, true as not_over, true as filled, true as once from mix_targets",
     "p6_found": """
         with r as (select distinct request_id, script_name, request_time from requests where script_name is not null),
         t as (select distinct request_id, timer_no, timer_value from timers),
