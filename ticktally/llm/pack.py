@@ -137,9 +137,9 @@ def pack_items(items: DataFrame, key: str, size: str, plans: dict[int, tuple[int
 
     ``plans``: plan -> (capacity, source or None for all).
     """
-    table = items.sparkSession.createDataFrame([(p, c, s) for p, (c, s) in plans.items()], "plan_id int, __cap bigint, __src string")
-    # every item once against the plans that want it; the plans are a checked small table
-    own = items.join(F.broadcast(table), F.col("__src").isNull() | (F.col("__src") == F.col(source)))
+    # every item is read once and goes to the plans that want it
+    known = F.array(*[F.struct(F.lit(p).alias("plan_id"), F.lit(c).cast("bigint").alias("cap"), F.lit(s).cast("string").alias("src")) for p, (c, s) in plans.items()])
+    own = items.withColumn("__plan", F.explode(F.filter(known, lambda x: x["src"].isNull() | (x["src"] == F.col(source))))).withColumns({"plan_id": F.col("__plan.plan_id"), "__cap": F.col("__plan.cap")})
     cutting = F.when(F.col(size) == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col(size) - 1, F.col("__cap")))
     pieces = own.select("plan_id", F.col(key), F.col(size).alias("__whole"), "__cap", F.posexplode(cutting).alias("piece_no", "token_start"))
     pieces = pieces.withColumn("n_tokens", F.least("__cap", F.col("__whole") - F.col("token_start"))).drop("__whole", "__cap")
