@@ -1,9 +1,11 @@
 """Nested records, wide tables, spikes and hot keys: brute force and awkward input."""
 
 import json
+import math
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +207,34 @@ def test_spikes(spark):
     assert spikes.implausible(_stream(spark, rows).limit(0)).count() == 0
 
 
+def _bins(values):
+    out = {}
+    for v in values:
+        b = out.setdefault(int(math.floor(math.log2(v) * 16)), {"field": "x", "hour": 0, "n": 0, "least": v, "most": v})
+        b["n"], b["least"], b["most"] = b["n"] + 1, min(b["least"], v), max(b["most"], v)
+    return list(out.values())
+
+
+def test_the_fit_decides(monkeypatch):
+    """A top reading a bit more than twice the next is normal in a heavy tail and a spike beyond a light one."""
+    rules, n = spikes.SpikeRules(), 400
+    octaves = [-5 * math.log(1 - (i + 1) / (n + 8)) for i in range(n - 1)]  # quantiles of an exponential law
+    heavy = [2**x for x in octaves] + [2 ** (octaves[-1] + 1.05)]
+    light = [2 ** (0.3 * i / n) for i in range(n - 1)] + [2 ** (0.3 + 1.05)]
+    assert spikes._limits_of(_bins(heavy), "x", rules)[1] is None
+    assert spikes._limits_of(_bins(light), "x", rules)[1] == light[-1]
+    monkeypatch.setattr(spikes, "cutoff", lambda *a: -math.inf)  # without the fit the factor alone would decide
+    assert spikes._limits_of(_bins(heavy), "x", rules)[1] == heavy[-1]
+
+
+def test_lower_risk_needs_more():
+    rules, strict = spikes.SpikeRules(), spikes.SpikeRules(risk=0.01)
+    x = np.array([-math.log(1 - (i + 0.5) / 300) for i in range(300)])
+    one = np.ones(300)
+    assert x[-1] * 0.7 < spikes.cutoff(x, one, rules) < spikes.cutoff(x, one, strict)
+    assert spikes.cutoff(x[:8], one[:8], rules) >= x[7] * 0.5 and np.isfinite(spikes.cutoff(x[:2], one[:2], rules)) and np.isfinite(spikes.cutoff(x[:1], one[:1], rules))
+
+
 def test_spikes_at_every_share(spark):
     r = random.Random(4)
     spike = {"n20": (20, [3.0, 5.5, 40.0]), "n40": (40, [4.0, 9.0, 30.0, 250.0]), "n60": (60, [5.0, 6.0, 7.0]), "n100": (100, [3.5, 9.0, 11.0, 45.0, 160.0, 900.0]),
@@ -223,7 +253,9 @@ def test_spikes_at_every_share(spark):
     assert {tuple(x) for x in spikes.implausible(_stream(spark, rows)).collect()} == want
 
 
-def test_stuck_runs_over_partitions(spark):
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_stuck_runs_over_partitions(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(spikes, "BROADCAST_ROWS", broadcast)
     r = random.Random(7)
     rows = []
     for h in ("x", "y"):

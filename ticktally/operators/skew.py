@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 
 from ..session import parallelism
 
-_BIN, _TASK, _HEAVY, _SHARD = "__fr_bin", "__fr_task", "__fr_heavy", "__fr_shard"
+_BIN, _TASK, _HEAVY = "__fr_bin", "__fr_task", "__fr_heavy"
+TASK_ROWS = 4_000_000  # of a planned task; more rows make more tasks
 
 
 @dataclass(frozen=True)
@@ -63,8 +64,8 @@ def plan_fragments(df: DataFrame, keys: Sequence[str], tasks: int | None = None,
     One job with map-side combine reads the key columns; what reaches the driver is one row
     per bin, with the heavy keys in it.
     """
-    tasks = tasks or parallelism(df.sparkSession)
     total = df.count()
+    tasks = tasks or max(parallelism(df.sparkSession), -(-total // TASK_ROWS))
     nbins = bins_per_task * tasks
     fair = max(1.0, total / tasks)
     least = max(1, int(fair * heavy_share))
@@ -141,7 +142,8 @@ def fragment_aggregate(df: DataFrame, keys: Sequence[str], salt: Sequence[str],
 def fragment_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt: Sequence[str], how: str = "inner", plan: FragmentPlan | None = None) -> DataFrame:
     """Equi-join on ``keys``: ``big`` is fragmented, ``small`` replicated to the shards of heavy keys only.
 
-    ``how`` is inner or left.  Both sides meet by (keys, task); non-key columns of ``small`` whose
+    ``how`` is inner or left.  Both sides are moved to the tasks of the plan and meet there without another
+    shuffle; non-key columns of ``small`` whose
     names clash with those of ``big`` get the suffix ``_right``.
     """
     if how not in ("inner", "left"):
@@ -150,10 +152,8 @@ def fragment_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt: S
     clash = [c for c in small.columns if c in big.columns and c not in keys]
     for c in clash:
         small = small.withColumnRenamed(c, f"{c}_right")
-    left = _marked(big, plan)
-    shard = F.pmod(F.xxhash64(*[F.col(c) for c in salt]), F.size(_HEAVY))
-    left = left.withColumn(_SHARD, F.when(F.col(_HEAVY).isNull(), F.lit(0)).otherwise(shard).cast("int")).drop(_BIN, "__fr_bt", _HEAVY)
+    left = place(big, plan, salt)
     right = _marked(small, plan)
-    copies = F.when(F.col(_HEAVY).isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(_HEAVY) - 1))
-    right = right.withColumn(_SHARD, F.explode(copies)).drop(_BIN, "__fr_bt", _HEAVY)
-    return left.join(right, [*keys, _SHARD], how).drop(_SHARD)
+    tasks = F.when(F.col(_HEAVY).isNull(), F.array("__fr_bt")).otherwise(F.array_distinct(_HEAVY))
+    right = right.withColumn(_TASK, F.explode(tasks)).drop(_BIN, "__fr_bt", _HEAVY).repartitionById(plan.tasks, F.col(_TASK))
+    return left.join(right, [*keys, _TASK], how).drop(_TASK)

@@ -11,24 +11,31 @@ c. it belongs to ``stuck`` or more readings that follow each other and are exact
 Zero means "not sent".  How spikes are told from a source's normal tail:  readings are counted
 per source, field, hour of day and 1/16 octave, with each bin's exact least and greatest value
 (a summary of bounded size, combined on the map side).  Hourly means of the logarithm, shrunk
-towards the source's own mean, give the season; the residuals above a threshold (of the 90th,
-95th and 98th percentile of the inner readings the one with the least cutoff, and lower ones in
-small sources) are the peaks.  For every place where neighbouring readings lie more than ``factor``
-apart and less than the share ``minority`` of the readings is outside, a generalised Pareto law is
-fitted by probability-weighted moments to the peaks inside of it, and its cutoff at the fixed risk
-of ``risk`` expected readings per source is taken; the innermost place whose outer readings are all
-beyond the cutoff divides normal from spike.  Neither the number nor the share of the spikes counts,
-but what lies between two such places may be another regime of the source, and spikes lie beyond
+towards the source's own mean, give the season.
+
+*Peaks over threshold.*  Take a place in the upper half of the readings.  To the residuals on its
+inner side that exceed a threshold a generalised Pareto law is fitted by probability-weighted
+moments (an exponential one, of shape 0, where there are fewer than ``few_peaks`` peaks).  The
+threshold is the 90th percentile, or the highest lower one of ``PEAKS`` with ``few_peaks`` peaks
+above it; where the law doesn't fit (Kolmogorov's distance at 5 %), higher ones are tried, and
+the last is kept.  The cutoff at the fixed risk of ``risk`` expected readings per source selects
+the candidates: a place is possible only if all readings on its outer side lie beyond it.
+
+*Factor.*  Of possible places those count at which neighbouring readings lie more than ``factor``
+apart, measured on values, so that rule (b) holds by construction; fewer than the share
+``minority`` of the readings may be outside.  The innermost such place divides normal from spike.
+
+*Regimes.*  A law fitted to the inner readings says nothing on a second component, so a group of
+readings between two such places may be another regime of the source, and spikes lie beyond
 all regimes.  A regime is dense (``regime_density`` readings an octave, within ``regime_octaves``,
 not all equal) and either near (less than ``regime_gap`` octaves from the normal readings before it,
 with ``regime_size`` readings, ``regime_share`` of the source and ``regime_part`` of all that is
 outside) or large (``far_size`` readings and ``far_share`` of the source).  Where a source has few
-readings, a few slow ones of a regime can't be told from spikes.  The exact factor holds by
-construction, as the dividing gap is measured on values.
+readings, a few slow ones of a regime can't be told from spikes.
 
 Stuck runs need the global order of each source.  Rows are range-partitioned by source, time
 and record, which splits a hot source over many tasks; runs are found within partitions, and
-the two edge runs of each partition, one row per partition, are joined up on the driver.
+the two edge runs of each partition, one row per partition and field, are joined up as a table.
 
 Cases: null sources only take part in (a); null readings are skipped and don't break a run, a
 zero breaks one; copies of a record count once; ties in time are ordered by record; an empty
@@ -42,8 +49,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, parallelism
@@ -52,9 +58,9 @@ from .skew import fragment_join, plan_fragments
 
 BINS = 16  # a 16th of an octave
 PIECE_ROWS = 400_000  # of a range partition, which one Python worker holds as vectors
-PEAKS = (0.9, 0.95, 0.98)  # thresholds tried; a source of several regimes only fits from a high one on
-FEW_PEAKS = (0.75, 0.5)  # tried in this order where the others leave too few peaks
-BROADCAST_ROWS = 50_000  # of cutoffs; beyond that the join is fragmented
+PEAKS = (0.5, 0.75, 0.9, 0.95, 0.98)  # thresholds, as shares of the inner readings
+START = 2  # the threshold that is tried first
+BROADCAST_ROWS = 50_000  # of cutoffs or partitions; beyond that the joins shuffle
 
 
 @dataclass(frozen=True)
@@ -69,6 +75,7 @@ class SpikeRules:
     factor: float = 2.0
     stuck: int = 8
     risk: float = 1.0
+    few_peaks: int = 5
     minority: float = 0.5
     regime_octaves: float = 4.0
     regime_density: float = 2.5
@@ -107,48 +114,19 @@ def _columns(t: pa.Table, fields: tuple[str, ...]) -> tuple[np.ndarray, pa.Array
     return source, named.dictionary, out
 
 
-def _stitch(edges: list, fields: tuple[str, ...]) -> dict[tuple[int, str], tuple[int, int]]:
-    """(partition, field) -> full lengths of its first and last run.
+_EDGES = "pid int, field string, s0 string, v0 double, n0 bigint, s1 string, v1 double, n1 bigint, single boolean"
 
-    ``edges``: per partition and field, in order, the first and last run as (source, value, length)
-    and whether they are the same run.
-    """
-    out: dict[tuple[int, str], tuple[int, int]] = {}
-    for f in fields:
-        chain: list = []  # runs as [source, value, total, [(partition, which)]]
-        for e in sorted((e for e in edges if e["field"] == f), key=lambda e: e["pid"]):
-            parts = [("first", e["s0"], e["v0"], e["n0"])] + ([] if e["single"] else [("last", e["s1"], e["v1"], e["n1"])])
-            for which, s, v, n in parts:
-                if chain and which == "first" and chain[-1][0] == s and chain[-1][1] == v:
-                    chain[-1][2] += n
-                    chain[-1][3].append((e["pid"], which))
-                else:
-                    chain.append([s, v, n, [(e["pid"], which)]])
-                if e["single"]:
-                    chain[-1][3].append((e["pid"], "last"))
-        ends: dict = {}
-        for _, _, total, members in chain:
-            for m in members:
-                ends[m] = total
-        for pid in {e["pid"] for e in edges if e["field"] == f}:
-            out[pid, f] = (ends[pid, "first"], ends[pid, "last"])
-    return out
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got) if got else None
 
-
-def stuck_flags(ordered: DataFrame, rules: SpikeRules) -> DataFrame:
-    """Add ``stuck_<field>`` to rows already range-partitioned and sorted by source, time, record (and cut)."""
-    fields = rules.fields
+def _edge_runs(ordered: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """First and last run of every partition and field: source, value, length, and whether they are the same run."""
+    schema = pa.schema([("pid", pa.int32()), ("field", pa.string()), ("s0", pa.string()), ("v0", pa.float64()), ("n0", pa.int64()), ("s1", pa.string()), ("v1", pa.float64()), ("n1", pa.int64()), ("single", pa.bool_())])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, state = TaskContext.get().partitionId(), {}
+        pid, state = 0, {}
         for b in batches:  # batch by batch: only the edge runs are kept
             if not b.num_rows:
                 continue
+            pid = b.column(0)[0].as_py()
             source, names, cols = _columns(pa.Table.from_batches([b]), fields)
             for f, (v, ok) in zip(fields, cols):
                 rows, number, n = _runs(source, v, ok)
@@ -163,54 +141,112 @@ def stuck_flags(ordered: DataFrame, rules: SpikeRules) -> DataFrame:
                     else:
                         st.append(run)
                 state[f] = [state[f][0], state[f][-1]] if len(state[f]) > 1 else state[f]
-        out = [{"pid": pid, "field": f, "s0": st[0][0], "v0": st[0][1], "n0": st[0][2], "s1": st[-1][0], "v1": st[-1][1], "n1": st[-1][2], "single": len(st) == 1} for f, st in state.items()]
+        out = [dict(zip(schema.names, (pid, f, *st[0], *st[-1], len(st) == 1))) for f, st in state.items()]
         if out:
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("pid", pa.int32()), ("field", pa.string()), ("s0", pa.string()), ("v0", pa.float64()), ("n0", pa.int64()), ("s1", pa.string()), ("v1", pa.float64()), ("n1", pa.int64()), ("single", pa.bool_())]))
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    found = ordered.select("source", *fields).mapInArrow(edges, "pid int, field string, s0 string, v0 double, n0 bigint, s1 string, v1 double, n1 bigint, single boolean").collect()
-    full = _stitch([r.asDict() for r in found], fields)
-    schema = ordered.schema
-    ddl = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in schema) + "".join(f", stuck_{f} boolean" for f in fields)
+    return ordered.select("pid", "source", *fields).mapInArrow(edges, _EDGES)
 
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
-        t = _whole(batches)
-        if t is None:
-            return
+
+def _full_lengths(edges: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(pid, first_<field>, last_<field>): whole lengths of the runs at the edges of each partition.
+
+    The edge runs of a field in order; equal neighbours are one run.  A partition that is one run counts once.
+    """
+    run = lambda which: F.struct(F.lit(which == "last").alias("last"), F.col("s1" if which == "last" else "s0").alias("s"), F.col("v1" if which == "last" else "v0").alias("v"), F.when(F.col("single") & F.lit(which == "last"), 0).otherwise(F.col("n1" if which == "last" else "n0")).alias("n"))
+    runs = edges.select("pid", "field", "single", F.explode(F.array(run("first"), run("last"))).alias("r")).select("pid", "field", "single", "r.*")
+    order = Window.partitionBy("field").orderBy("pid", "last")
+    # between a partition's first and last run there are others, unless they are the same
+    new = F.when(F.col("last"), ~F.col("single")).otherwise((F.lag("s").over(order) != F.col("s")) | (F.lag("v").over(order) != F.col("v")))
+    new = F.coalesce(new, F.lit(True))
+    runs = runs.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(order))
+    runs = runs.withColumn("total", F.sum("n").over(Window.partitionBy("field", "island")))
+    return runs.groupBy("pid").agg(*[F.max(F.when((F.col("field") == f) & (F.col("last") == last), F.col("total"))).alias(f"__{name}_{f}") for f in fields for name, last in (("first", False), ("last", True))])
+
+
+def stuck_flags(ordered: DataFrame, rules: SpikeRules) -> DataFrame:
+    """Add ``stuck_<field>`` to rows range-partitioned and sorted by source, time, record, with their partition in ``pid`` (and cut)."""
+    fields = rules.fields
+    full = cut(_full_lengths(_edge_runs(ordered, fields), fields))
+    kept = [c for c in ordered.columns if c != "pid"]
+    if full.count() <= BROADCAST_ROWS:
+        rows = ordered.join(F.broadcast(full), "pid", "left")  # keeps the order
+    else:
+        rows = ordered.join(full, "pid", "left").repartition("pid").sortWithinPartitions("pid", "source", "time", "record")
+    ends = [f"__{name}_{f}" for f in fields for name in ("first", "last")]
+    ddl = ", ".join(f"{c} {ordered.schema[c].dataType.simpleString()}" for c in kept) + "".join(f", stuck_{f} boolean" for f in fields)
+
+    def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
         source, _, cols = _columns(t, fields)
+        out = t.select(kept)
         for f, (v, ok) in zip(fields, cols):
             rows, number, n = _runs(source, v, ok)
             flags = np.zeros(t.num_rows, bool)
             if len(rows):
                 n = n.copy()
-                first, last = full[pid, f]
+                first, last = (t.column(f"__{name}_{f}")[0].as_py() or 0 for name in ("first", "last"))
                 n[0], n[-1] = max(n[0], first), max(n[-1], last)
                 flags[rows] = (n[number] >= rules.stuck) & (v[rows] != 0)
-            t = t.append_column(f"stuck_{f}", pa.array(flags))
-        yield from t.to_batches(max_chunksize=20_000)
+            out = out.append_column(f"stuck_{f}", pa.array(flags))
+        yield from out.to_batches(max_chunksize=20_000)
 
-    return ordered.mapInArrow(flag, ddl)
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of one range partition
+        for b in batches:
+            pids = np.asarray(b.column(0))
+            for at in np.split(np.arange(len(pids)), np.flatnonzero(np.diff(pids)) + 1):
+                if len(at):
+                    if held and held[-1].column(0)[0].as_py() != pids[at[0]]:
+                        yield from one(pa.Table.from_batches(held))
+                        held = []
+                    held.append(b.slice(int(at[0]), len(at)))
+        if held:
+            yield from one(pa.Table.from_batches(held))
+
+    return rows.select("pid", *kept, *ends).mapInArrow(flag, ddl)
 
 
 # --- tails ------------------------------------------------------------------------------------
 
 
-def _pareto_cutoff(y: np.ndarray, w: np.ndarray, expected: float) -> float:
-    """Excess beyond which a generalised Pareto law, fitted by probability-weighted moments to excesses
-    ``y`` with weights ``w``, expects ``expected`` readings."""
-    order = np.argsort(y)
-    y, w = y[order], w[order]
+def _pareto(y: np.ndarray, w: np.ndarray, few: int) -> tuple[float, float, float]:
+    """(shape, scale, Kolmogorov's distance) of a generalised Pareto law fitted by probability-weighted
+    moments to excesses ``y`` (in order) with weights ``w``; shape 0 if there are fewer than ``few``."""
     n = w.sum()
-    if n < 3 or y[-1] <= 0:
-        return float(y[-1]) if len(y) else 0.0
-    below = (np.cumsum(w) - w / 2) / n
+    share = np.cumsum(w) / n
+    below = share - w / (2 * n)
     b0, b1 = float((y * w).sum() / n), float((y * w * (1 - below)).sum() / n)
-    if b0 - 2 * b1 <= 1e-12:
-        return float(y[-1])
-    shape = float(np.clip(2 - b0 / (b0 - 2 * b1), -0.5, 0.5))  # Hosking and Wallis, with shape = xi
-    scale = b0 * (1 - shape)
-    p = min(1.0, expected / n)
-    return scale * -np.log(p) if abs(shape) < 1e-6 else scale / shape * (p**-shape - 1)
+    shape = 0.0
+    if n >= few and b0 - 2 * b1 > 1e-12:
+        shape = float(np.clip(2 - b0 / (b0 - 2 * b1), -0.5, 0.5))  # Hosking and Wallis, with shape = xi
+    scale = max(b0 * (1 - shape), 1e-9)
+    z = np.maximum(1 + shape * y / scale, 1e-12)
+    law = 1 - (np.exp(-y / scale) if abs(shape) < 1e-6 else z ** (-1 / shape))
+    return shape, scale, float(np.abs(law - below).max())
+
+
+def cutoff(residual: np.ndarray, count: np.ndarray, rules: SpikeRules) -> float:
+    """The residual beyond which ``risk`` of the given readings is expected, by peaks over a threshold."""
+    order = np.argsort(residual, kind="stable")
+    x, w = residual[order], count[order].astype(float)
+    rank = np.cumsum(w) / w.sum()
+    thresholds = [x[min(len(x) - 1, int(np.searchsorted(rank, q)))] for q in PEAKS]
+    peaks = [float(w[x > u].sum()) for u in thresholds]
+    first = START
+    while first and peaks[first] < rules.few_peaks:
+        first -= 1
+    shape = scale = 0.0
+    u, m = x[-1], 1.0
+    for i in range(first, len(PEAKS)):
+        if peaks[i] <= 0 or i > first and peaks[i] < rules.few_peaks:
+            break
+        u, m = thresholds[i], peaks[i]
+        over = x > u
+        shape, scale, distance = _pareto(x[over] - u, w[over], rules.few_peaks)
+        if distance <= 1.36 / np.sqrt(m) + 0.5 / m:
+            break
+    p = min(1.0, rules.risk / m)
+    return float(u + (scale * -np.log(p) if abs(shape) < 1e-6 else scale / shape * (p**-shape - 1)))
 
 
 def tail_limit(low: np.ndarray, high: np.ndarray, residual: np.ndarray, count: np.ndarray, rules: SpikeRules) -> float | None:
@@ -235,18 +271,7 @@ def tail_limit(low: np.ndarray, high: np.ndarray, residual: np.ndarray, count: n
         if 0 < spread < min(rules.regime_octaves, (size - 1) / rules.regime_density) and (near or size >= max(rules.far_size, rules.far_share * total)):
             first = i + 1
     for k in places[first:]:  # innermost first
-        inner, n_in = residual[: k + 1], count[: k + 1]
-        by_res = np.argsort(inner, kind="stable")
-        rank = np.cumsum(n_in[by_res]) / n_in.sum()
-        limits: list[float] = []
-        for q in PEAKS + FEW_PEAKS:
-            if q in FEW_PEAKS and limits:
-                break
-            threshold = inner[by_res][min(len(rank) - 1, int(np.searchsorted(rank, q)))]
-            peaks = inner > threshold
-            if n_in[peaks].sum() >= 5:
-                limits.append(threshold + _pareto_cutoff(inner[peaks] - threshold, n_in[peaks].astype(float), rules.risk))
-        if residual[k + 1 :].min() > min(limits, default=inner.max()):
+        if residual[k + 1 :].min() > cutoff(residual[: k + 1], count[: k + 1], rules):
             return float(low[k + 1])
     return None
 
@@ -311,14 +336,24 @@ def source_limits(flagged: DataFrame, rules: SpikeRules) -> DataFrame:
 # --- all --------------------------------------------------------------------------------------
 
 
-def implausible(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
-    """(record, field_name) of every implausible reading."""
+def impossible(v: Column) -> Column:
+    """Negative, NaN or infinite."""
+    return (v < 0) | F.isnan(v) | (v == float("inf"))
+
+
+def stuck_rows(df: DataFrame, rules: SpikeRules = SpikeRules()) -> tuple[DataFrame, SpikeRules]:
+    """Distinct records (record, source, time, fields) with their ``stuck_<field>``."""
     r = rules
     rows = distinct_rows(df, [r.record, r.time, r.source, *r.fields])
     rows = rows.select(F.col(r.record).alias("record"), F.col(r.source).alias("source"), F.col(r.time).alias("time"), *[F.col(f).cast("double").alias(f) for f in r.fields])
     pieces = max(parallelism(df.sparkSession), -(-df.count() // PIECE_ROWS))
-    ordered = cut(rows.repartitionByRange(pieces, "source", "time", "record").sortWithinPartitions("source", "time", "record"))
-    flagged = stuck_flags(ordered, r)
+    ordered = cut(rows.repartitionByRange(pieces, "source", "time", "record").sortWithinPartitions("source", "time", "record").withColumn("pid", F.spark_partition_id()))
+    return stuck_flags(ordered, r), r
+
+
+def implausible(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
+    """(record, field_name) of every implausible reading."""
+    flagged, r = stuck_rows(df, rules)
     flagged = cut(flagged)
     limits = cut(source_limits(flagged, r).withColumn("has_limits", F.lit(True)))
     if limits.count() <= BROADCAST_ROWS:
@@ -330,9 +365,8 @@ def implausible(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     case = {}
     for f in [x for x in r.fields if x not in dict(r.bounded_by)] + [x for x, _ in r.bounded_by]:
         v = F.col(f)
-        broken = (v < 0) | F.isnan(v) | (v == float("inf"))
         spike = (v != 0) & (F.coalesce(v >= F.col(f"high_{f}"), F.lit(False)) | F.coalesce(v <= F.col(f"low_{f}"), F.lit(False)))
-        case[f] = broken | (qualified & (spike | F.col(f"stuck_{f}")))
+        case[f] = impossible(v) | (qualified & (spike | F.col(f"stuck_{f}")))
         if f in dict(r.bounded_by):
             by = dict(r.bounded_by)[f]
             case[f] = case[f] | F.coalesce((v > F.col(by)) & ~F.coalesce(case[by], F.lit(False)), F.lit(False))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+CATALOG = 10_000  # attributes; the width of the table, one column each
 KINDS = {"string": "string", "int": "bigint", "bool": "boolean", "float": "bigint", "time": "timestamp"}  # float: in thousandths
 _ARROW = {"string": pa.string(), "int": pa.int64(), "bool": pa.bool_(), "float": pa.int64(), "time": pa.timestamp("us", tz="UTC")}
 _SLOT = {"string": "v_text", "int": "v_num", "bool": "v_num", "float": "v_num", "time": "v_num"}
@@ -91,8 +92,8 @@ def resolved_tags(tags: DataFrame, dictionaries: DataFrame, catalog: DataFrame)
     Rows are deduplicated before they meet their dictionary; the catalogue is small and fixed
     (its size is checked before it is broadcast).
     """
-    if catalog.count() > 10_000:
-        raise ValueError("the catalogue is not a small table")
+    if catalog.count() > CATALOG:
+        raise ValueError(f"the catalogue has more than {CATALOG} attributes")
     t = tags.select("request_id", "tag_no", "tag_name", "tag_value").where(F.col("request_id").isNotNull())
     t = t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("copies")).drop("copies")
     d = dictionaries.select("request_id", "dictionary").where(F.col("request_id").isNotNull()).groupBy("request_id").agg(F.max("dictionary").alias("dictionary"))
@@ -109,8 +110,18 @@ def resolved_tags(tags: DataFrame, dictionaries: DataFrame, catalog: DataFrame)
 def stitch(cells: DataFrame, entity: str, attributes: Sequence[tuple[str, str]], block: int = 65536) -> DataFrame:
     """Wide table (ordinal, entity, one typed column per attribute) of cells (entity, attr, v_text, v_num)."""
     placed = cut(cells.select(F.col(entity).cast("bigint").alias(entity), "attr", "v_text", "v_num").where(F.col(entity).isNotNull()).repartitionByRange(entity).sortWithinPartitions(entity, "attr"))
-    pid = F.spark_partition_id()
-    counts = dict(placed.select(pid.alias("p"), entity).groupBy("p").agg(F.count_distinct(entity).alias("n")).collect())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, last = 0, None  # entities of a sorted partition: the changes
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            if len(ids):
+                n += int((ids[1:] != ids[:-1]).sum()) + (last is None or ids[0] != last)
+                last = ids[-1]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["p", "n"])
+
+    counts = dict(placed.select(entity).mapInArrow(count, "p int, n bigint").collect())  # one number per partition
     starts, at = {}, 0
     for p in sorted(counts):
         starts[p], at = at, at + counts[p]
@@ -129,7 +140,9 @@ def stitch(cells: DataFrame, entity: str, attributes: Sequence[tuple[str, str]],
             new[0], new[1:] = True, ids[1:] != ids[:-1]
             position = np.cumsum(new) - 1  # ordinal - base
             n = int(position[-1]) + 1
-            attr = np.array([index.get(a, -1) for a in t.column(1).to_pylist()])
+            named = t.column(1).combine_chunks().dictionary_encode()
+            code = np.array([index.get(a, -1) for a in named.dictionary.to_pylist()] + [-1])
+            attr = code[np.asarray(named.indices.fill_null(len(code) - 1))]
             texts, numbers = t.column(2), t.column(3)
             cols = [pa.array(np.arange(base, base + n)), pa.array(ids[new])]
             for i, (_, kind) in enumerate(attributes):

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import distinct_rows
 from ..operators.skew import fragment_aggregate, fragment_join, plan_fragments
-from ..operators.spikes import implausible
-from ..operators.wide import filled_cells, resolved_tags, stitch
+from ..operators.spikes import SpikeRules, implausible, impossible, stuck_rows
+from ..operators.wide import CATALOG, filled_cells, resolved_tags, stitch
 from ..session import table
 from ..sources.wire_json import request_shredder
 
-CATALOG_LIMIT = 10_000
-
 
 def _shredded(spark: SparkSession, d: str) -> DataFrame:
     return request_shredder().shred(table(spark, d, "packets"), "packet_id", "payload", "received_at")
@@ -49,7 +47,7 @@ def p1_request_tags(spark: SparkSession, d: str) -> DataFrame:
 
 def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str]]]:
     catalog = table(spark, d, "tag_catalog")
-    attributes = [(r["tag"], r["value_type"]) for r in catalog.orderBy("tag").limit(CATALOG_LIMIT + 1).collect()]
+    attributes = [(r["tag"], r["value_type"]) for r in catalog.orderBy("tag").limit(CATALOG + 1).collect()]
     cells = resolved_tags(table(spark, d, "request_tags"), table(spark, d, "dictionaries"), catalog)
     return stitch(cells, "request_id", attributes), attributes
 
@@ -70,6 +68,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return implausible(table(spark, d, "requests"))
 
 
+def p3_stuck(spark: SparkSession, d: str) -> DataFrame:
+    """Rule (c) alone: runs of equal readings, of hosts with enough requests."""
+    flagged, rules = stuck_rows(table(spark, d, "requests"))
+    enough = flagged.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rules.least).select("source")
+    names = F.array_compact(F.array(*[F.when(F.col(f"stuck_{f}"), F.lit(f)) for f in rules.fields]))
+    return flagged.where(F.col("source") != "").join(enough, "source", "left_semi").select(F.col("record").alias("request_id"), F.explode(names).alias("field_name"))
+
+
+def p3_impossible(spark: SparkSession, d: str) -> DataFrame:
+    """The part of rule (a) that looks at a reading alone."""
+    rules = SpikeRules()
+    rows = distinct_rows(table(spark, d, "requests"), [rules.record, *rules.fields])
+    broken = F.array_compact(F.array(*[F.when(impossible(F.col(f).cast("double")), F.lit(f)) for f in rules.fields]))
+    return rows.select(rules.record, F.explode(broken).alias("field_name"))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "requests").where(F.col("server_name").isNotNull() & F.col("script_name").isNotNull())
     return distinct_rows(r, ["request_id", "server_name", "script_name", "document_size"])
@@ -98,6 +112,17 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES = {
+    "p3_stuck": """
+        with r as (select distinct request_id, ts, hostname, request_time, ru_utime, memory_footprint from requests where hostname <> ''),
+        big as (select hostname from r group by hostname having count(*) >= 20),
+        v as (select request_id, ts, hostname, unnest(['request_time', 'ru_utime', 'memory_footprint']) field_name, unnest([request_time::double, ru_utime::double, memory_footprint::double]) x from r where hostname in (from big)),
+        w as (select *, coalesce(x <> lag(x) over o, true)::int new from v where x is not null window o as (partition by hostname, field_name order by ts, request_id)),
+        i as (select *, sum(new) over (partition by hostname, field_name order by ts, request_id) island from w),
+        n as (select *, count(*) over (partition by hostname, field_name, island) size from i)
+        select request_id, field_name from n where size >= 8 and x <> 0 and not isnan(x)""",
+    "p3_impossible": """
+        select request_id, field_name from (select request_id, unnest(['request_time', 'ru_utime', 'memory_footprint']) field_name, unnest([request_time::double, ru_utime::double, memory_footprint::double]) x
+          from (select distinct request_id, request_time, ru_utime, memory_footprint from requests)) where x < 0 or isnan(x) or x = 'inf'::double""",
     "p4_found": """
         select server_name, script_name, count(*) req_count, coalesce(sum(document_size), 0)::bigint traffic
         from (select distinct request_id, server_name, script_name, document_size from requests)
