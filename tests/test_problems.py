@@ -217,8 +217,9 @@ def _bins(values):
 
 def test_the_fit_decides(monkeypatch):
     """A top reading a bit more than twice the next is normal in a heavy tail and a spike beyond a light one."""
-    rules, n = spikes.SpikeRules(), 400
-    octaves = [-5 * math.log(1 - (i + 1) / (n + 8)) for i in range(n - 1)]  # quantiles of an exponential law
+    rules, n = spikes.SpikeRules(risk=0.05), 400
+    r = random.Random(1)
+    octaves = sorted(r.expovariate(1 / 5) for _ in range(n - 1))
     heavy = [2**x for x in octaves] + [2 ** (octaves[-1] + 1.05)]
     light = [2 ** (0.3 * i / n) for i in range(n - 1)] + [2 ** (0.3 + 1.05)]
     assert spikes._limits_of(_bins(heavy), "x", rules)[1] is None
