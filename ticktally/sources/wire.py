@@ -293,3 +293,34 @@ def ingest(wire: DataFrame, request_id: str, ts: str) -> Source:
 def rejections(wire: DataFrame) -> DataFrame:
     """(result, packets): how many datagrams had each outcome."""
     return wire.select(F.coalesce(validation_error(wire), F.lit("okay")).alias("result")).groupBy("result").agg(F.count(F.lit(1)).alias("packets"))
+
+
+# --- making datagrams ----------------------------------------------------------------------------
+
+
+def frame(message: bytes, form: int) -> bytes:
+    """A datagram: 0 the plain message, 1 with a header, 2 with a header and an LZ4 block of literals."""
+    if form == 0:
+        return message
+    if form == 1:
+        return b"\x10\0\0\0" + message
+    rest = len(message) - 15
+    length = bytes([min(len(message), 15) << 4]) + (b"\xff" * (rest // 255) + bytes([rest % 255]) if rest >= 0 else b"")
+    return b"\x11\0\0\0" + length + message
+
+
+def message_of(request: dict) -> dict:
+    """The wire fields of a request with its timers inside: one dictionary, timer tags laid end to end."""
+    words: dict[str, int] = {}
+    at = lambda word: words.setdefault(word, len(words))
+    tags = [(at(t["name"]), at(t["value"])) for t in request["tags"]]
+    timers = request["timers"]
+    of_timers = [(at(t["name"]), at(t["value"])) for timer in timers for t in timer["tags"]]
+    return {
+        "hostname": request["host"], "server_name": request["server"], "script_name": request["script"], "schema": request["schema"], "status": int(request["status"]),
+        "request_count": 1, "memory_peak": 0, "document_size": request["traffic"], "memory_footprint": request["mem_used"],
+        "request_time": request["request_time_ns"] / 1e9, "ru_utime": request["ru_utime_ns"] / 1e9, "ru_stime": request["ru_stime_ns"] / 1e9,
+        "timer_hit_count": [t["hit_count"] for t in timers], "timer_value": [t["value_ns"] / 1e9 for t in timers], "timer_tag_count": [len(t["tags"]) for t in timers],
+        "timer_ru_utime": [t["ru_utime_ns"] / 1e9 for t in timers], "timer_ru_stime": [t["ru_stime_ns"] / 1e9 for t in timers],
+        "timer_tag_name": [n for n, _ in of_timers], "timer_tag_value": [v for _, v in of_timers], "tag_name": [n for n, _ in tags], "tag_value": [v for _, v in tags], "dictionary": list(words),
+    }
