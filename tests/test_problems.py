@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticktally.operators import skew, spikes, wide
+from ticktally.operators.asof import asof_join
 from ticktally.operators.nested import Child, Element, plan_relations, read_json, write_json
 from ticktally.plans import problems
 from ticktally.sources.wire_json import GRAPH, request_shredder
@@ -119,10 +120,10 @@ def test_wide(spark):
     d = spark.createDataFrame(dicts, "request_id bigint, dictionary array<string>").withColumn("kind", F.lit("clash"))
     c = spark.createDataFrame([("build_no", "int"), ("tenant", "string")], "tag string, value_type string")
     attributes = [("build_no", "int"), ("tenant", "string")]
-    w = wide.stitch(wide.resolved_tags(t, d, c), "request_id", attributes)
+    w = wide.stitch(wide.resolved_tags(t, d, c), "request_id", attributes, ["tag_no", "text"])
     assert sorted(tuple(r) for r in w.drop("ordinal").collect()) == [(1, 7, None), (2, None, None), (3, None, None), (4, 9, None)]
     assert sorted(r.ordinal for r in w.collect()) == [0, 1, 2, 3]
-    assert wide.stitch(wide.resolved_tags(t.limit(0), d, c), "request_id", attributes).count() == 0
+    assert wide.stitch(wide.resolved_tags(t.limit(0), d, c), "request_id", attributes, ["tag_no", "text"]).count() == 0
 
 
 def test_stitch_in_small_blocks(spark):
@@ -131,7 +132,10 @@ def test_stitch_in_small_blocks(spark):
     df = spark.createDataFrame([(e, a, None, v) for (e, a), v in cells.items()], "e bigint, attr string, v_text string, v_num bigint")
     rows = wide.stitch(df, "e", [("a", "int"), ("b", "int"), ("c", "int")], block=17).collect()
     assert {(x.e, a): x[a] for x in rows for a in "abc" if x[a] is not None} == cells
-    assert [x.e for x in sorted(rows, key=lambda x: x.ordinal)] == sorted({e for e, _ in cells})
+    assert sorted(x.ordinal for x in rows) == list(range(len({e for e, _ in cells}))) and len({x.e for x in rows}) == len(rows)
+    twice = df.withColumn("n", F.lit(1)).unionByName(df.withColumn("n", F.lit(0)).withColumn("v_num", F.lit(None).cast("bigint")))
+    rows = wide.stitch(twice, "e", [("a", "int"), ("b", "int"), ("c", "int")], ["n"], block=17).collect()
+    assert len(rows) == len({e for e, _ in cells}) and all(x[a] is None for x in rows for a in "abc")  # the first decides, also when empty
 
 
 @pytest.fixture(scope="module")
@@ -285,3 +289,20 @@ def test_stuck_runs_over_partitions(spark, monkeypatch, broadcast):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == want
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join(spark, strict):
+    """Against brute force; hot key, ties, nulls, clashing names, keys without a match."""
+    r = random.Random(2)
+    left = [(i, r.choice(["hot", "hot", "a", "b", "none", None]), r.choice([None, *range(300)]), "x") for i in range(400)]
+    right = [(r.choice(["hot", "a", "b", None]), r.choice([None, *range(300)]), i) for i in range(80)]
+    a = spark.createDataFrame(left, "id int, k string, t bigint, v string")
+    b = spark.createDataFrame(right, "k string, at bigint, v int")
+    got = {x.id: (x.at, x.v_right) for x in asof_join(a, b, ["k"], "t", "at", 50, strict).collect()}
+    want = {}
+    for i, k, t, _ in left:
+        fit = [(at, v) for rk, at, v in right if k is not None and rk == k and t is not None and at is not None and (at < t or at == t and not strict)]
+        want[i] = max(fit) if fit else (None, None)
+    assert got == want
+    assert asof_join(a.limit(0), b, ["k"], "t", "at", 50).count() == 0 and asof_join(a, b.limit(0), ["k"], "t", "at", 50).where("at is null").count() == 400

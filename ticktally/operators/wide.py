@@ -1,8 +1,8 @@
 """Attribute-value rows into a wide table, by positional stitching.
 
-1. Entities get *global ordinals*: cells are range-partitioned and sorted by entity, so each
-   partition holds one contiguous ordinal range; the partitions' entity counts (one number per
-   partition) give the ranges' starts.
+1. Entities get *global ordinals*: cells are partitioned by entity and sorted within partitions,
+   and each partition takes one contiguous range of ordinals; the partitions' entity counts (one
+   number per partition) give the ranges' starts.
 2. Within its range every attribute is written as one typed column vector aligned to the
    ordinals: a cell's value goes to position ``ordinal - start``.
 3. The wide rows are assembled from the vectors by position, in blocks of bounded height, so
@@ -11,8 +11,8 @@
 There is no pivot: no group-by per entity, no expression per attribute and entity, and adding
 an attribute adds one vector.
 
-Cases: an entity whose cells are all empty still has its row; a repeated cell is the caller's
-to settle (the last in attribute order wins here); null entities are left out; the attribute
+Cases: an entity whose cells are all empty still has its row; of repeated cells the first in the
+given order counts, even if it is empty; null entities are left out; the attribute
 list is a parameter and bounds the width; empty input gives an empty table.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .dedup import distinct_rows
 
 CATALOG = 10_000  # attributes; the width of the table, one column each
 KINDS = {"string": "string", "int": "bigint", "bool": "boolean", "float": "bigint", "time": "timestamp"}  # float: in thousandths
@@ -86,30 +87,29 @@ def typed(kind: Column, text: Column) -> tuple[Column, Column]:
 
 
 def resolved_tags(tags: DataFrame, dictionaries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(request_id, attr, v_text, v_num) for the deciding row of each tag and request, and one row
-    with attr null per request that has any row, so that no request is lost.
+    """(request_id, attr, tag_no, text, v_text, v_num) of the tags, and rows with attr null, so that no request is lost.
 
-    Rows are deduplicated before they meet their dictionary; the catalogue is small and fixed
+    Rows are combined before they meet their dictionary; the catalogue is small and fixed
     (its size is checked before it is broadcast).
     """
     if catalog.count() > CATALOG:
         raise ValueError(f"the catalogue has more than {CATALOG} attributes")
-    t = tags.select("request_id", "tag_no", "tag_name", "tag_value").where(F.col("request_id").isNotNull())
-    t = t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("copies")).drop("copies")
-    d = dictionaries.select("request_id", "dictionary").where(F.col("request_id").isNotNull()).groupBy("request_id").agg(F.max("dictionary").alias("dictionary"))
+    t = tags.where(F.col("request_id").isNotNull()).groupBy("request_id", "tag_name", "tag_value").agg(F.min("tag_no").alias("tag_no"))
+    d = distinct_rows(dictionaries.where(F.col("request_id").isNotNull()), ["request_id", "dictionary"])
     word = lambda off: F.when(F.col(off) >= 0, F.get("dictionary", F.col(off).cast("int")))
     at = t.join(d, "request_id", "left").select("request_id", "tag_no", word("tag_name").alias("name"), word("tag_value").alias("text"))
     c = catalog.select(F.col("tag").alias("attr"), F.col("value_type").alias("kind"), tag_key(F.col("tag")).alias("tag_id"))
     at = at.withColumn("tag_id", F.when(F.col("text").isNotNull(), tag_key(F.col("name"))))
     at = at.join(F.broadcast(c), "tag_id", "left")
-    first = at.groupBy("request_id", "attr").agg(F.min_by(F.struct("kind", "text"), F.struct("tag_no", "text")).alias("v"))
-    text, number = typed(F.col("v.kind"), F.col("v.text"))
-    return first.select("request_id", "attr", F.when(F.col("attr").isNotNull(), text).alias("v_text"), F.when(F.col("attr").isNotNull(), number).alias("v_num"))
+    text, number = typed(F.col("kind"), F.col("text"))
+    return at.select("request_id", "attr", "tag_no", "text", F.when(F.col("attr").isNotNull(), text).alias("v_text"), F.when(F.col("attr").isNotNull(), number).alias("v_num"))
 
 
-def stitch(cells: DataFrame, entity: str, attributes: Sequence[tuple[str, str]], block: int = 65536) -> DataFrame:
-    """Wide table (ordinal, entity, one typed column per attribute) of cells (entity, attr, v_text, v_num)."""
-    placed = cut(cells.select(F.col(entity).cast("bigint").alias(entity), "attr", "v_text", "v_num").where(F.col(entity).isNotNull()).repartitionByRange(entity).sortWithinPartitions(entity, "attr"))
+def stitch(cells: DataFrame, entity: str, attributes: Sequence[tuple[str, str]], order: Sequence[str] = (), block: int = 65536) -> DataFrame:
+    """Wide table (ordinal, entity, one typed column per attribute) of cells (entity, attr, v_text, v_num)
+    and the columns of ``order``, by which the first of repeated cells is found."""
+    cells = cells.where(F.col(entity).isNotNull()).select(F.col(entity).cast("bigint").alias(entity), "attr", "v_text", "v_num", *order)
+    placed = cut(cells.repartition(entity).sortWithinPartitions(entity, "attr", *order).drop(*order))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, last = 0, None  # entities of a sorted partition: the changes
@@ -143,10 +143,12 @@ def stitch(cells: DataFrame, entity: str, attributes: Sequence[tuple[str, str]],
             named = t.column(1).combine_chunks().dictionary_encode()
             code = np.array([index.get(a, -1) for a in named.dictionary.to_pylist()] + [-1])
             attr = code[np.asarray(named.indices.fill_null(len(code) - 1))]
+            once = new.copy()
+            once[1:] |= attr[1:] != attr[:-1]  # the first row of each cell
             texts, numbers = t.column(2), t.column(3)
             cols = [pa.array(np.arange(base, base + n)), pa.array(ids[new])]
             for i, (_, kind) in enumerate(attributes):
-                rows = np.flatnonzero(attr == i)
+                rows = np.flatnonzero((attr == i) & once)
                 source = (texts if _SLOT[kind] == "v_text" else numbers).take(pa.array(rows)).combine_chunks()
                 vector = np.full(n, -1, np.int64)
                 vector[position[rows]] = np.arange(len(rows))

@@ -49,7 +49,7 @@ def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str]]
     catalog = table(spark, d, "tag_catalog")
     attributes = [(r["tag"], r["value_type"]) for r in catalog.orderBy("tag").limit(CATALOG + 1).collect()]
     cells = resolved_tags(table(spark, d, "request_tags"), table(spark, d, "dictionaries"), catalog)
-    return stitch(cells, "request_id", attributes), attributes
+    return stitch(cells, "request_id", attributes, ["tag_no", "text"]), attributes
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
