@@ -105,7 +105,7 @@ VALUES = [
 
 def test_typed_values(spark):
     df = spark.createDataFrame([(i, k, t) for i, (k, t, _) in enumerate(VALUES)], "i int, k string, t string")
-    got = {r.i: r.n for r in df.select("i", wide.typed(F.col("k"), F.col("t"))[1].alias("n")).collect()}
+    got = {r.i: r.v_num for r in wide.with_values(df, "k", "t").collect()}
     for i, (k, t, want) in enumerate(VALUES):
         if isinstance(want, str):
             assert got[i] is not None and datetime.fromtimestamp(got[i] // 1_000_000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S") == want, (k, t)

@@ -40,50 +40,58 @@ def tag_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(name, r"^[\s ]+|[\s ]+$", "")), r"[\s _.\-/:]+", "_")
 
 
-def read_int(text: Column) -> Column:
-    t = F.trim(F.regexp_replace(text, r"[\s ]+", " "))
-    t = F.when(t.rlike(r"^[+-]?[0-9]{1,3}(,[0-9]{3})+(\.0*)?$"), F.regexp_replace(t, ",", "")).when(t.rlike(r"^[+-]?[0-9]+(_[0-9]+)+$"), F.regexp_replace(t, "_", "")).otherwise(t)
-    plain = F.when(t.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$"), t)
-    d = plain.try_cast("decimal(38,10)")
+def _trimmed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
+
+
+def _normal(kind: Column, t: Column) -> Column:
+    """A trimmed value in the one spelling that its kind's reader takes."""
+    whole = F.when(t.rlike(r"^[+-]?[0-9]{1,3}(,[0-9]{3})+(\.0*)?$"), F.replace(t, F.lit(","), F.lit(""))).when(t.rlike(r"^[+-]?[0-9]+(_[0-9]+)+$"), F.replace(t, F.lit("_"), F.lit(""))).otherwise(t)
+    real = F.replace(F.regexp_replace(t, r" ?%$", ""), F.lit(","), F.lit("."))
+    time = F.replace(F.replace(F.upper(t), F.lit("/"), F.lit("-")), F.lit(","), F.lit("."))
+    time = F.regexp_replace(F.regexp_replace(time, r" ?(Z|UTC|GMT)$", "Z"), r" ?([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
+    return F.when(kind == "int", whole).when(kind == "float", real).when(kind == "time", time).when(kind == "bool", F.lower(t))
+
+
+_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$"
+
+
+def _whole(s: Column) -> Column:
+    d = F.when(s.rlike(_NUMBER), s).try_cast("decimal(38,10)")
     return F.when((d == F.floor(d)) & F.abs(d).__lt__(F.lit(9.2e18)), d.try_cast("bigint"))
 
 
-def read_float(text: Column) -> Column:
+def _real(t: Column, s: Column) -> Column:
     """In thousandths, halves away from zero; a comma is the decimal mark, a percentage a hundredth."""
-    t = F.trim(F.regexp_replace(text, r"[\s ]+", " "))
-    pct = t.rlike(r"%$")
-    t = F.regexp_replace(F.regexp_replace(t, r" ?%$", ""), ",", ".")
-    plain = F.when(t.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$"), t)
-    d = plain.try_cast("decimal(38,12)")
-    return F.round(F.when(pct, d * 10).otherwise(d * 1000), 0).try_cast("bigint")
+    d = F.when(s.rlike(_NUMBER), s).try_cast("decimal(38,12)")
+    return F.round(d * F.when(t.endswith("%"), 10).otherwise(1000), 0).try_cast("bigint")
 
 
-def read_bool(text: Column) -> Column:
-    t = F.lower(F.trim(F.regexp_replace(text, r"[\s ]+", " ")))
-    return F.when(t.isin("true", "t", "yes", "y", "on", "1"), F.lit(1)).when(t.isin("false", "f", "no", "n", "off", "0"), F.lit(0)).cast("bigint")
+def _truth(s: Column) -> Column:
+    return F.when(s.isin("true", "t", "yes", "y", "on", "1"), F.lit(1)).when(s.isin("false", "f", "no", "n", "off", "0"), F.lit(0)).cast("bigint")
 
 
-def read_time(text: Column) -> Column:
+def _instant(t: Column, s: Column) -> Column:
     """Microseconds since 1970 in UTC; seconds or milliseconds since 1970, or date and time with or without zone."""
-    t = F.trim(F.regexp_replace(text, r"[\s ]+", " "))
     number = t.rlike(r"^[+-]?[0-9]{9,13}(\.[0-9]+)?$")
     digits = F.length(F.regexp_extract(t, r"^[+-]?([0-9]+)", 1))
-    n = F.when(number, t).try_cast("decimal(30,6)")
-    epoch = F.when(digits >= 12, n * 1000).otherwise(n * 1000000)
-    dated = t.rlike(r"(?i)^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)? ?(z|utc|gmt|[+-][0-9]{2}:?[0-9]{2})?$")
-    s = F.regexp_replace(F.regexp_replace(F.upper(t), "/", "-"), ",", ".")
-    s = F.regexp_replace(s, r" ?(Z|UTC|GMT)$", "Z")
-    s = F.regexp_replace(s, r" ?([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
-    zoned = s.rlike(r"(Z|[+-][0-9]{2}:[0-9]{2})$") & s.rlike(":")
-    s = F.when(zoned & s.rlike(r"[0-9]:[0-9]{2}(:|\.|Z|[+-])"), s).otherwise(F.concat(s, F.lit("Z")))
-    at = F.unix_micros(F.when(dated, s).try_cast("timestamp"))
-    return F.when(number, F.floor(epoch).try_cast("bigint")).otherwise(at)
+    epoch = t.try_cast("decimal(30,6)") * F.when(digits >= 12, 1000).otherwise(1000000)
+    dated = s.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?$")
+    zoned = s.rlike(r":[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$")
+    at = F.unix_micros(F.when(zoned, s).otherwise(F.concat(s, F.lit("Z"))).try_cast("timestamp"))
+    return F.when(number, F.floor(epoch).try_cast("bigint")).when(dated, at)
 
 
-def typed(kind: Column, text: Column) -> tuple[Column, Column]:
-    """(text slot, number slot) of a value read as its kind; both null if it can't be read."""
-    number = F.when(kind == "int", read_int(text)).when(kind == "float", read_float(text)).when(kind == "bool", read_bool(text)).when(kind == "time", read_time(text))
-    return F.when(kind == "string", text), number
+def with_values(df: DataFrame, kind: str, text: str) -> DataFrame:
+    """Add ``v_text`` and ``v_num``: the value read as its kind; both null if it can't be read.
+
+    In three projections, as each step is used more than once by the next and should be worked out once.
+    """
+    k, t, s = F.col(kind), F.col("__t"), F.col("__s")
+    df = df.withColumn("__t", F.when(k != "string", _trimmed(F.col(text))))
+    df = df.withColumn("__s", _normal(k, t))
+    number = F.when(k == "int", _whole(s)).when(k == "float", _real(t, s)).when(k == "bool", _truth(s)).when(k == "time", _instant(t, s))
+    return df.withColumns({"v_text": F.when(k == "string", F.col(text)), "v_num": number}).drop("__t", "__s")
 
 
 def resolved_tags(tags: DataFrame, dictionaries: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -101,8 +109,8 @@ def resolved_tags(tags: DataFrame, dictionaries: DataFrame, catalog: DataFrame)
     c = catalog.select(F.col("tag").alias("attr"), F.col("value_type").alias("kind"), tag_key(F.col("tag")).alias("tag_id"))
     at = at.withColumn("tag_id", F.when(F.col("text").isNotNull(), tag_key(F.col("name"))))
     at = at.join(F.broadcast(c), "tag_id", "left")
-    text, number = typed(F.col("kind"), F.col("text"))
-    return at.select("request_id", "attr", "tag_no", "text", F.when(F.col("attr").isNotNull(), text).alias("v_text"), F.when(F.col("attr").isNotNull(), number).alias("v_num"))
+    at = with_values(at.select("request_id", "attr", "tag_no", "text", "kind"), "kind", "text")  # without an attribute there is no kind
+    return at.drop("kind")
 
 
 def stitch(cells: DataFrame, entity: str, attributes: Sequence[tuple[str, str]], order: Sequence[str] = (), block: int = 65536) -> DataFrame:
