@@ -47,6 +47,9 @@ def test_registry(spark):
         with pytest.raises(ConfError):
             refused("by_group")
     assert e.debug_packets(1.0).count() == 6
+    assert e.table_info("by_group")["columns"][0] == "group" and e.table_info("by_group")["records"] == 2
+    assert all('"group"' in r.line for r in e.dump("by_group").collect()) and e.active().first().approx_mem_used > 0
+    assert e.listen().columns == ["packet_no", "received_us", "datagram"]
 
 
 def test_config():
@@ -121,7 +124,8 @@ def test_fan_out(spark, tmp_path):
         assert got == sorted(map(tuple, report(Source(batch), conf, as_of="2030-01-01 00:02:00").collect())) != []
 
 
-def test_udp_stream_end_to_end(spark, tmp_path):
+@pytest.mark.parametrize("readers", [1, 3])
+def test_udp_stream_end_to_end(spark, tmp_path, readers):
     """Datagrams through the stream source, decoding, validation and a report."""
     import socket
     import time
@@ -136,7 +140,7 @@ def test_udp_stream_end_to_end(spark, tmp_path):
         port = s.getsockname()[1]
     udp.register(spark)
     got = []
-    live = spark.readStream.format("udp_metrics").option("address", "127.0.0.1").option("port", port).option("batch_timeout_ms", 300).load()
+    live = spark.readStream.format("udp_metrics").option("address", "127.0.0.1").option("port", port).option("readers", readers).option("batch_timeout_ms", 300).load()
     q = live.writeStream.foreachBatch(lambda df, n: got.extend(bytes(r.datagram) for r in df.collect())).option("checkpointLocation", str(tmp_path / "udp")).start()
     try:
         message = {"hostname": "h", "server_name": "s", "script_name": "x", "request_count": 1, "document_size": 7, "memory_peak": 1, "request_time": 0.5, "ru_utime": 0.0, "ru_stime": 0.0}

@@ -16,6 +16,7 @@ from ..operators.counters import NAMES, counters, counters_of
 from ..operators.report import report
 from ..operators.source import Source
 from ..operators.ticks import approx_rows
+from ..sources import udp
 from ..streaming.ticks import read_ticks, report_of, stream_ticks, write_ticks
 from ..operators.filters import key_names
 from .conf import ConfError, ReportConf, parse_report_conf
@@ -132,6 +133,13 @@ class Engine:
         r.ticks, r.query = f"{folder}/ticks", write_ticks(ticks, f"{folder}/ticks", f"{folder}/checkpoint", trigger)
         return r
 
+    def listen(self) -> DataFrame:
+        """Datagrams of the UDP source with this engine's settings, as a stream."""
+        udp.register(self.spark)
+        c = self.config
+        options = {"address": c.address, "port": c.port, "readers": c.udp_reader_threads, "batch_size": c.repacker_batch_messages, "batch_timeout_ms": c.repacker_batch_timeout_ms}
+        return self.spark.readStream.format("udp_metrics").options(**{k: str(v) for k, v in options.items()}).load()
+
     def refresh(self, name: str) -> None:
         """Show what a stream has written so far."""
         self._show(name)
@@ -190,6 +198,19 @@ class Engine:
         r.merge_sec = time.time() - began
         return df
 
+    def table_info(self, name: str) -> dict[str, object]:
+        """What a planner is told of a report before it is read: few records, its columns, the plan's estimate of bytes."""
+        df = self.dataframe(name)
+        return {"records": 1 if self._get(name).conf.kind == "stats" else 2, "columns": df.columns, "bytes": self._bytes(df)}
+
+    @staticmethod
+    def _bytes(df: DataFrame) -> int:
+        return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 2**63 - 1)
+
+    def dump(self, name: str, as_of: str | None = None) -> DataFrame:
+        """The report as JSON text, a row a line."""
+        return self.dataframe(name, as_of).select(F.to_json(F.struct("*")).alias("line"))
+
     def state(self, name: str) -> DataFrame:
         """The report's counters."""
         return counters(self.source, self._get(name).conf, self.config.time_filter_unit)
@@ -199,8 +220,8 @@ class Engine:
         own = {r.name: r for r in self.reports() if r.conf.kind not in ("active", "stats")}
         if not own:
             return self.spark.createDataFrame([], ", ".join(ACTIVE))
-        known = [(r.name, r.id, r.internal, r.conf.kind, r.active_since, r.conf.window_sec, r.conf.tick_count, r.merge_sec) for r in own.values()]
-        about = self.spark.createDataFrame(known, "name string, id int, internal_name string, kind string, since double, time_window_sec int, tick_count int, merge_sec double")
+        known = [(r.name, r.id, r.internal, r.conf.kind, r.active_since, r.conf.window_sec, r.conf.tick_count, r.merge_sec, self._bytes(self.dataframe(r.name))) for r in own.values()]
+        about = self.spark.createDataFrame(known, "name string, id int, internal_name string, kind string, since double, time_window_sec int, tick_count int, merge_sec double, approx_mem_used bigint")
         for r in own.values():
             if r.ticks and (ticks := read_ticks(self.spark, r.ticks)) is not None:
                 rows = approx_rows(ticks, key_names(r.conf)).select(F.lit(r.name).alias("name"), "approx_row_count")
