@@ -101,3 +101,26 @@ def test_udp_reader():
     rows, end = r.read(r.initialOffset())
     assert [x[2] for x in rows] == [struct.pack("<I", i) for i in range(3)] and end == {"packets": 3}
     r.sock.close()
+
+
+def test_library_reads_as_the_decoder_does():
+    """Whole, cut off and damaged messages: the same message or an error from both."""
+
+    def outcome(read, b):
+        try:
+            return repr(sorted(read(b).items()))  # NaN equals itself here
+        except wire.DecodeError as e:
+            return str(e)
+
+    r = random.Random(3)
+    whole = [wire.encode_message(m) for m in (BASE, TIMED, TIMED | {"requests": [BASE]}, BASE | {"requests": [{"hostname": "x"}]}, TIMED | {"request_time": float("nan"), "hostname": b"\xff"})]
+    unpacked = wire.encode_message(BASE) + b"".join(bytes([10 << 3, h]) for h in (1, 2)) + b"\xf8\x07\x05"
+    mixed = wire.encode_message(BASE) + bytes([1 << 3, 7]) + bytes([6 << 3]) + b"\xff\xff\xff\xff\x1f"
+    for b in (*whole, unpacked, mixed, b"", b"\x00"):
+        assert outcome(wire.parse_message, b) == outcome(wire.decode_message, b)
+        for _ in range(150):
+            x = bytearray(b[: r.randint(0, len(b))] if r.random() < 0.5 else b)
+            for _ in range(r.randint(0, 2)):
+                if x:
+                    x[r.randrange(len(x))] = r.randrange(256)
+            assert outcome(wire.parse_message, bytes(x)) == outcome(wire.decode_message, bytes(x)), bytes(x)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -168,6 +169,51 @@ def decode_message(b: bytes, start: int = 0, end: int | None = None, depth: int
     return out
 
 
+@cache
+def _message_class():
+    """The message's class of the protobuf library, made from ``FIELDS``; None without the library."""
+    try:
+        from google.protobuf import descriptor_pb2, descriptor_pool, message_factory, unknown_fields
+    except ImportError:
+        return None
+    kinds = {"bytes": 12, "uint": 13, "float": 2, "message": 11}
+    file = descriptor_pb2.FileDescriptorProto(name="ticktally/request.proto", package="ticktally", syntax="proto2")
+    message = file.message_type.add(name="Request")
+    for name, (number, kind, many, need) in FIELDS.items():
+        field = message.field.add(name=name, number=number, label=3 if many else 2 if need else 1, type=kinds[kind])
+        if kind == "message":
+            field.type_name = ".ticktally.Request"
+    pool = descriptor_pool.DescriptorPool()
+    pool.Add(file)
+    return message_factory.GetMessageClass(pool.FindMessageTypeByName("ticktally.Request")), unknown_fields.UnknownFieldSet
+
+
+def parse_message(b: bytes) -> dict:
+    """``decode_message`` by the protobuf library where it can; what it refuses, or what it keeps aside under a
+    known number, is read again by ``decode_message``, which alone decides on errors."""
+    made = _message_class()
+    if made is None:
+        return decode_message(b)
+    m = made[0]()
+    try:
+        m.ParseFromString(b)
+        if not m.IsInitialized() or any(f.field_number in _BY_NUMBER for f in made[1](m)):
+            return decode_message(b)
+    except Exception:  # noqa: BLE001 - any refusal is decided below
+        return decode_message(b)
+    out: dict = {}
+    for name, (_, kind, many, _) in FIELDS.items():
+        if kind == "message":
+            out[name] = []
+        elif many:
+            v = list(getattr(m, name))
+            out[name] = [x.decode("utf-8", "replace") for x in v] if kind == "bytes" else v
+        elif m.HasField(name):
+            v = getattr(m, name)
+            out[name] = v.decode("utf-8", "replace") if kind == "bytes" else v
+    return out
+
+
 def encode_message(m: dict) -> bytes:
     """The bytes of a message, repeated numbers packed (for tests and generators)."""
     out = bytearray()
@@ -211,7 +257,7 @@ def decode(df: DataFrame, datagram: str, keep: list[str]) -> DataFrame:
                     raw = x.as_py()
                     if raw is None:
                         raise DecodeError("null")
-                    rows.append(decode_message(unframe(bytes(raw))))
+                    rows.append(parse_message(unframe(bytes(raw))))
                     errors.append(None)
                 except DecodeError as e:
                     rows.append({})
