@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ticktally.operators import skew, spikes, wide
 from ticktally.operators.asof import asof_join
-from ticktally.operators.nested import Child, Element, plan_relations, read_json, write_json
+from ticktally.operators.nested import Child, Element, graph_of, observed_edges, plan_relations, read_json, write_json
 from ticktally.plans import problems
 from ticktally.sources.wire_json import GRAPH, request_shredder
 
@@ -27,6 +27,17 @@ def test_shared_inlining():
     assert sorted(plan["d"].under) == [("a", ("b", "d")), ("c", ("d",))]
 
 
+def test_observed_graph(spark):
+    """Singletons are inlined, repeated, shared and recursive elements get tables; types are joined over documents."""
+    docs = [{"a": 1, "sub": {"b": "x", "deep": {"c": True}}, "items": [{"n": 1}, {"n": 2.5}], "tags": ["u"], "kids": {"0": {"a": 2, "kids": []}}}, {"a": "t", "other": {"deep": {"c": False}}, "kids": [{"kids": [{"a": 3}]}]}]
+    df = spark.createDataFrame([(json.dumps(x),) for x in docs] + [(None,), ("",), ("{cut",), ("7",)], "payload string")
+    graph = graph_of([tuple(e)[:4] for e in observed_edges(df, "payload").collect()])
+    plan = plan_relations(graph, "document")
+    assert set(plan) == {"document", "deep", "items", "kids", "tags[]"} and plan["kids"].reasons == ("repeated", "shared", "recursive") and plan["deep"].reasons == ("shared",)
+    assert ("record", "sub") in plan["document"].inlined and ("record_sub_b", "string") in plan["document"].columns and ("record_a", "string") in plan["document"].columns
+    assert plan["items"].columns == [("n", "string")] and observed_edges(df.limit(0), "payload").count() == 0
+
+
 LEAF = {"hostname": "h", "timer_hit_count": [2], "timer_value": [0.5], "timer_tag_count": [1], "timer_tag_name": [0], "timer_tag_value": [1]}
 PAYLOADS = [
     (1, 0, json.dumps(LEAF | {"dictionary": ["a", "b"]})),

@@ -93,6 +93,67 @@ def plan_relations(elements: dict[str, Element], root: str) -> dict[str, Relatio
     return out
 
 
+# --- the graph of elements, observed in documents --------------------------------------------------
+
+EDGES = 100_000  # pairs of parent and child element; a schema, not the data, bounds them
+
+
+def _walk(value, fold: Callable[[str], str]) -> set[tuple[str, str, str, bool]]:
+    """(parent, child, kind, repeated) of every place in a document; elements are named by their keys."""
+    out: set[tuple[str, str, str, bool]] = set()
+    work: list = [("document", "record", value, False)]
+    while work:
+        parent, name, v, many = work.pop()
+        if isinstance(v, dict) and v and all(k.isdecimal() for k in v):
+            v = list(v.values())  # a list keyed by position
+        if isinstance(v, list):
+            work += [(parent, name, x, True) for x in v]
+        elif isinstance(v, dict):
+            out.add((parent, name, "object", many))
+            work += [(name, fold(k), x, False) for k, x in v.items()]
+        elif v is not None:
+            out.add((parent, name, {bool: "boolean", int: "bigint", float: "double"}.get(type(v), "string"), many))
+    return out
+
+
+def observed_edges(df: DataFrame, payload: str, fold: Callable[[str], str] = str.lower) -> DataFrame:
+    """(parent, child, kind, repeated, documents): the schema graph of all documents, one Arrow pass and an aggregate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[tuple, int] = {}
+            for d in b.column(0):
+                v = read_json(d.as_py())
+                for edge in _walk(v, fold) if v is not None else ():
+                    seen[edge] = seen.get(edge, 0) + 1
+            if seen:
+                cols = list(zip(*((*e, n) for e, n in seen.items())))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["parent", "child", "kind", "repeated", "documents"])
+
+    edges = df.where(F.col(payload) != "").select(payload).mapInArrow(run, "parent string, child string, kind string, repeated boolean, documents bigint")
+    return edges.groupBy("parent", "child", "kind").agg(F.max("repeated").alias("repeated"), F.sum("documents").alias("documents"))
+
+
+def graph_of(edges: list[tuple[str, str, str, bool]]) -> dict[str, Element]:
+    """Elements of observed edges (parent, child, kind, repeated).  Scalars of several types are text, repeated
+    scalars are elements of their own with one column."""
+    objects = {c for _, c, kind, _ in edges if kind == "object"} | {"document"}
+    scalars: dict[str, dict[str, str]] = {e: {} for e in objects}
+    children: dict[str, dict[str, bool]] = {e: {} for e in objects}
+    lists: dict[str, str] = {}
+    for parent, child, kind, many in sorted(edges):
+        if kind == "object":
+            children[parent][child] = children[parent].get(child, False) or many
+        elif many:
+            name = f"{child}[]"
+            children[parent][name] = True
+            lists[name] = kind if lists.get(name, kind) == kind else "string"
+        else:
+            scalars[parent][child] = kind if scalars[parent].get(child, kind) == kind else "string"
+    out = {e: Element(e, tuple(scalars[e].items()), tuple(Child(n, n, many) for n, many in children[e].items())) for e in sorted(objects)}
+    return out | {n: Element(n, (("value", kind),)) for n, kind in lists.items()}
+
+
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import distinct_rows
+from ..operators.nested import EDGES, graph_of, observed_edges, plan_relations
 from ..operators.skew import fragment_aggregate, fragment_join, plan_fragments
 from ..operators.spikes import SpikeRules, implausible, impossible, stuck_rows
 from ..operators.wide import CATALOG, filled_cells, resolved_tags, stitch
 from ..session import table
-from ..sources.wire_json import request_shredder
+from ..sources.wire_json import bare_key, request_shredder
 
 
 def _shredded(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +46,18 @@ def p1_request_tags(spark: SparkSession, d: str) -> DataFrame:
     return request_shredder().flat(_shredded(spark, d), "packet_id")["request_tags"]
 
 
+def p1_schema(spark: SparkSession, d: str) -> DataFrame:
+    """What shared inlining makes of the schema graph observed in all payloads: which elements become relations, and
+    why, and which are inlined into which relation."""
+    edges = observed_edges(table(spark, d, "packets"), "payload", bare_key).limit(EDGES + 1).collect()
+    if len(edges) > EDGES:
+        raise ValueError(f"more than {EDGES} edges in the schema graph")
+    plan = plan_relations(graph_of([tuple(e)[:4] for e in edges]), "document")
+    rows = [(r.element, "relation", ",".join(r.reasons), ",".join(sorted({p for p, _ in r.under})), len(r.columns)) for r in plan.values()]
+    rows += [(".".join(path), "inlined", "singleton", r.element, 0) for r in plan.values() for path in r.inlined]
+    return spark.createDataFrame(rows, "element string, decision string, reasons string, under string, columns int")
+
+
 def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str]]]:
     catalog = table(spark, d, "tag_catalog")
     attributes = [(r["tag"], r["value_type"]) for r in catalog.orderBy("tag").limit(CATALOG + 1).collect()]

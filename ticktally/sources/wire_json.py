@@ -32,7 +32,7 @@ _BARE = {n.replace("_", ""): n for n in (*_LISTS, *(c for c, _ in _SCALARS if c
 _ENVELOPES = ("msg", "message", "payload", "request", "data", "body")
 
 
-def _bare(key: str) -> str:
+def bare_key(key: str) -> str:
     return "".join(ch for ch in key.lower() if ch.isalnum())
 
 
@@ -81,7 +81,7 @@ def _text(v) -> str | None:
 def _fields(o: dict) -> dict:
     out: dict = {}
     for k, v in o.items():
-        if (name := _BARE.get(_bare(k))) and out.get(name) is None:
+        if (name := _BARE.get(bare_key(k))) and out.get(name) is None:
             out[name] = v
     return out
 
@@ -119,7 +119,7 @@ def _message(text: str) -> dict | list | None:
             v = read_json(v)
         if not isinstance(v, dict) or len(_fields(v)) > 1:
             break
-        inner = [x for k, x in v.items() if _bare(k) in _ENVELOPES]
+        inner = [x for k, x in v.items() if bare_key(k) in _ENVELOPES]
         if not inner:
             break
         v = inner[0]
