@@ -2,12 +2,13 @@
 
 Every partition keeps entries (item, count, delta).  Rows are taken in buckets of ``1/error``
 rows; an item that enters in bucket b may have been seen up to b - 1 times before (its delta);
-at each bucket's end the entries with count + delta <= b are dropped.  A partition of n rows
-so holds at most ``log(error n)/error`` entries and undercounts nothing by more than
+the entries with count + delta <= b are dropped at bucket boundaries, every ``STRIDE``-th of them,
+and an item's delta is the number of the bucket of the last such boundary.  A partition of n rows
+so holds at most ``log(error n)/error + STRIDE/error`` entries and undercounts nothing by more than
 ``error n``.
 
 Summaries of partitions are merged by sums: counts and deltas of an item's entries, plus, for
-partitions without an entry, the number of their full buckets.  An item's true count lies in
+partitions without an entry, the number of their buckets up to the last pruning.  An item's true count lies in
 [count, count + delta].  An item is reported if the interval reaches the support; where it
 straddles the support, an exact count of those few items (at most ``2/support``) decides.
 
@@ -26,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+STRIDE = 16  # buckets between two prunings
+
+
 class LossyCounter:
     """Lossy counting of one stream; see the module's text."""
 
     def __init__(self, error: float):
         self.width = max(1, int(1 / error))
         self.entries: dict[str, list[int]] = {}
-        self.rows = 0
+        self.rows = self.pruned = 0
 
     @property
     def buckets(self) -> int:
@@ -40,20 +44,21 @@ class LossyCounter:
 
     def add(self, values: pa.Array) -> None:
         values = values.drop_null()
-        at = 0
+        at, stretch = 0, self.width * STRIDE
         while at < len(values):
-            step = min(len(values) - at, self.width - self.rows % self.width)
-            before, entries = self.buckets, self.entries
-            for x in pc.value_counts(values.slice(at, step)).to_pylist():
-                e = entries.get(x["values"])
+            step = min(len(values) - at, stretch - self.rows % stretch)
+            entries, before = self.entries, self.pruned
+            counted = pc.value_counts(values.slice(at, step))
+            for item, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist()):
+                e = entries.get(item)
                 if e is None:
-                    entries[x["values"]] = [x["counts"], before]
+                    entries[item] = [n, before]
                 else:
-                    e[0] += x["counts"]
+                    e[0] += n
             self.rows += step
             at += step
-            if self.rows % self.width == 0:
-                b = self.buckets
+            if self.rows % stretch == 0:
+                b = self.pruned = self.buckets
                 self.entries = {k: e for k, e in entries.items() if e[0] + e[1] > b}
 
 
@@ -67,7 +72,7 @@ def lossy_summaries(df: DataFrame, fields: Sequence[str], error: float) -> DataF
             for i, c in enumerate(counters):
                 c.add(b.column(i))
         for f, c in zip(fields, counters):
-            rows = [(f, part, None, 0, 0, c.buckets, c.rows), *((f, part, k, n, d, c.buckets, 0) for k, (n, d) in c.entries.items())]
+            rows = [(f, part, None, 0, 0, c.pruned, c.rows), *((f, part, k, n, d, c.pruned, 0) for k, (n, d) in c.entries.items())]
             yield pa.RecordBatch.from_arrays([pa.array(col, t.type) for col, t in zip(zip(*rows), schema)], schema=schema)
 
     return df.select(*fields).mapInArrow(run, "field_name string, part int, item string, count bigint, delta bigint, buckets bigint, rows bigint")

@@ -66,28 +66,29 @@ def pack_histogram(sizes: dict[int, int], capacity: int) -> Packing:
             p.gaps.setdefault(gap, []).append((first, n))
 
     large = sorted(s for s in left if 3 * s > capacity)
-    i = len(large) - 1
-    while i >= 0:
-        s = large[i]
-        while left[s]:
-            k = bisect.bisect_right(large, capacity - s) - 1
-            while k >= 0 and not (left[large[k]] - (large[k] == s) > 0):
-                k -= 1
-            if k < 0:
-                n = left[s]
-                take(s, n, p.bins, 1)
-                leave(capacity - s, p.bins, n)
-            elif large[k] == s:
-                n = left[s] // 2
-                take(s, 2 * n, p.bins, 2)
-                leave(capacity - 2 * s, p.bins, n)
-            else:
-                n = min(left[s], left[large[k]])
-                take(s, n, p.bins, 1)
-                take(large[k], n, p.bins, 1)
-                leave(capacity - s - large[k], p.bins, n)
-            p.bins += n
-        i -= 1
+    while large:
+        s = large[-1]
+        k = bisect.bisect_right(large, capacity - s) - 1
+        if k >= 0 and large[k] == s and left[s] < 2:
+            k -= 1
+        other = large[k] if k >= 0 else None
+        if other is None:
+            n = left[s]
+            take(s, n, p.bins, 1)
+            leave(capacity - s, p.bins, n)
+        elif other == s:
+            n = left[s] // 2
+            take(s, 2 * n, p.bins, 2)
+            leave(capacity - 2 * s, p.bins, n)
+        else:
+            n = min(left[s], left[other])
+            take(s, n, p.bins, 1)
+            take(other, n, p.bins, 1)
+            leave(capacity - s - other, p.bins, n)
+        p.bins += n
+        for x in {s, other} - {None}:  # sizes that are used up are not looked at again
+            if not left[x]:
+                del large[bisect.bisect_left(large, x)]
     widths = sorted(p.gaps)
     for s in sorted((s for s in left if 3 * s <= capacity), reverse=True):
         while left[s]:
