@@ -122,6 +122,12 @@ QUERIES["view_window_percentiles"] = lambda spark, d: _view(spark, d, "tt_percen
 _rows = f"select host, t v, 1 w from req where {_WINDOWED}"
 ORACLES["view_window_percentiles"] = f"with {REQ}, {hist_sql(_rows, ['host'], 0, 100000, 5000, [('p50', 50.0), ('p99', 99.0)], 'hv=0:500:5000')}"
 
+_OFFSET = parse_report_conf(f"v2/request/{WINDOW}/~host,~status/hv=100:500:400,p0,p50,p95,p100/no_filters")
+_PCT = [("p0", 0.0), ("p50", 50.0), ("p95", 95.0), ("p100", 100.0)]
+QUERIES["request_percentiles_offset"] = lambda spark, d: report(from_orders(spark, d, flat=True), _OFFSET, columns=["host", "status", *[p for p, _ in _PCT], "histogram_data"])
+_rows = "select host, status, t - 100000000 v, 1 w from req"
+ORACLES["request_percentiles_offset"] = f"with {REQ}, {hist_sql(_rows, ['host', 'status'], 100000000, 1000000, 400, _PCT, 'hv=100:500:400')}"
+
 _REQUEST_TEXT, _TIMER_TEXT = f"v2/request/{WINDOW}/~host,+app/no_percentiles/min_time=0.1,+prio=1", f"v2/timer/{WINDOW}/~server,+app,@state/no_percentiles/@flag=R,~status=200"
 
 
