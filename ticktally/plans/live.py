@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,3 +182,61 @@ def _asof(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["report_asof_join"] = _asof
 ORACLES["report_asof_join"] = f"""with {REQ}, r as (select request_id, script, status, epoch(ts)::bigint // 86400 as day from req), f as (select distinct script, day as failed_day from r where status = '500')
  select request_id, r.script, day, failed_day from r asof left join f on r.script = f.script and r.day > f.failed_day"""
+
+# --- the rest of SQL over a report's view ----------------------------------------------------------
+
+_COLUMNS = ["host", "script", "req_count", "traffic_total"]
+_HOSTS = parse_report_conf(f"v2/request/{WINDOW}/~host,~script/no_percentiles/no_filters")
+_VIEW = "v as (select host, script, count(*) req_count, sum(traffic)::bigint traffic_total from req group by host, script)"
+
+
+def _rows_of(spark: SparkSession, d: str) -> DataFrame:
+    return report(from_orders(spark, d, flat=True), _HOSTS, columns=_COLUMNS)
+
+
+@F.pandas_udf("string")
+def _label(script: pd.Series, count: pd.Series) -> pd.Series:
+    """A user's function, a batch of rows at a time."""
+    return script.str.replace("script-", "s", regex=False) + ":" + count.astype(str)
+
+
+@F.pandas_udf("double")
+def _middle(count: pd.Series) -> float:
+    """A user's aggregate."""
+    return float(count.median())
+
+
+QUERIES["report_udf"] = lambda spark, d: _rows_of(spark, d).select("host", _label("script", "req_count").alias("label"))
+ORACLES["report_udf"] = f"with {REQ}, {_VIEW} select host, replace(script, 'script-', 's') || ':' || req_count as label from v"
+QUERIES["report_udaf"] = lambda spark, d: _rows_of(spark, d).groupBy("host").agg(_middle("req_count").alias("middle"))
+ORACLES["report_udaf"] = f"with {REQ}, {_VIEW} select host, median(req_count)::double as middle from v group by host"
+QUERIES["report_scalar_functions"] = lambda spark, d: _rows_of(spark, d).select(
+    "host",
+    F.regexp_extract("script", r"(\d+)$", 1).cast("int").alias("number"),
+    F.concat_ws("/", "host", "script").alias("path"),
+    F.round(F.sqrt("traffic_total"), 3).alias("root"),
+    F.greatest("req_count", F.lit(75)).alias("least_75"),
+    F.pmod("traffic_total", F.lit(97)).alias("rest"),
+    F.date_format(F.date_add(F.lit("2030-01-31").cast("date"), F.col("req_count").cast("int")), "yyyy-MM-dd").alias("later"),
+    F.size(F.split(F.concat_ws("-", "host", "script"), "-")).alias("parts"),
+    F.get_json_object(F.to_json(F.struct("req_count")), "$.req_count").alias("json"),
+)
+ORACLES["report_scalar_functions"] = f"""with {REQ}, {_VIEW} select host, regexp_extract(script, '(\\d+)$', 1)::int number, host || '/' || script path, round(sqrt(traffic_total), 3) root, greatest(req_count, 75) least_75,
+ traffic_total % 97 rest, strftime(date '2030-01-31' + req_count::int, '%Y-%m-%d') later, len(string_split(host || '-' || script, '-')) parts, req_count::varchar json from v"""
+QUERIES["report_row_count"] = lambda spark, d: _rows_of(spark, d).agg(F.count(F.lit(1)).alias("report_rows"))
+ORACLES["report_row_count"] = f"with {REQ} select count(distinct (host, script)) report_rows from req"
+
+
+def _renamed_view(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark, from_orders(spark, d, flat=True))
+    engine.create_report("tt_old", f"v2/request/{86400 * _DAYS},86400/~status/no_percentiles/no_filters")
+    engine.rename_report("tt_old", "tt_new")
+    out = spark.sql("select status, req_count from tt_new where req_count > 0")
+    engine.drop_report("tt_new")
+    return out
+
+
+QUERIES["view_renamed"] = _renamed_view
+ORACLES["view_renamed"] = f"with {REQ} select status, count(*) req_count from req where {_WINDOWED} group by status"
+QUERIES["packet_debug"] = lambda spark, d: Engine(spark, from_orders(spark, d)).debug_packets(1.0).select(F.get_json_object("packet", "$.request_id").alias("request_id"), F.get_json_object("packet", "$.host").alias("host"))
+ORACLES["packet_debug"] = f"with {REQ} select request_id::varchar request_id, host from req"
