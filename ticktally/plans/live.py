@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.asof import asof_join
 from ..operators.report import report
@@ -194,13 +195,13 @@ def _rows_of(spark: SparkSession, d: str) -> DataFrame:
     return report(from_orders(spark, d, flat=True), _HOSTS, columns=_COLUMNS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _label(script: pd.Series, count: pd.Series) -> pd.Series:
     """A user's function, a batch of rows at a time."""
     return script.str.replace("script-", "s", regex=False) + ":" + count.astype(str)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _middle(count: pd.Series) -> float:
     """A user's aggregate."""
     return float(count.median())
