@@ -130,6 +130,17 @@ def test_free_sentences_without_a_lexicon(text, want):
     assert sorted((s.kind, text[s.start : s.end]) for s in segs) == want
 
 
+def test_stretches_of_long_texts(monkeypatch):
+    """A text read in overlapping stretches gives what it gives as a whole."""
+    text = " ".join(t for t, _ in pii_train.sample(300, 8, pii_train.World(8)))
+    (whole,) = pii.decode([text], LEX, W)
+    monkeypatch.setattr(pii, "LONG", 4_000)
+    monkeypatch.setattr(pii, "MARGIN", 900)
+    (parts,) = pii.decode([text], LEX, W)
+    as_tuples = lambda segs: [(s.start, s.end, s.kind) for s in segs]
+    assert len(text) > 30_000 and as_tuples(parts) == as_tuples(whole)
+
+
 def test_long_texts_are_read_in_linear_time():
     text = "; ".join(["Orlen Kelmander"] * 20_000) + " " + "12 345 678 " * 20_000
     (segs,) = pii.decode([text], LEX, W)

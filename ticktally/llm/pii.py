@@ -32,6 +32,7 @@ from .pii_spans import KINDS, OUTSIDE, Lexicon, Span, Tokens, candidates, tokens
 
 __all__ = ["KINDS", "Lexicon", "Span", "decode", "find", "redact"]
 
+LONG, MARGIN = 1_000_000, 5_000  # characters of a stretch of a very long text, and of its overlap to either side
 REACH = 6  # characters between two segments that a transition may span
 _SPACES = re.compile(r"[^\S\n]*\n\s*|\s+")
 
@@ -99,7 +100,9 @@ def decode(texts: list[str | None], lex: Lexicon, weights: dict[str, float]) ->
             out[batch[k]].append(s)
 
     for i, text in enumerate(texts):
-        if text:
+        if text and len(text) > LONG:
+            out[i] = _in_stretches(text, lex, weights)
+        elif text:
             if batch and size + len(text) > OUTSIDE:
                 flush()
                 batch, size = [], 0
@@ -110,6 +113,24 @@ def decode(texts: list[str | None], lex: Lexicon, weights: dict[str, float]) ->
     return out
 
 
+def _in_stretches(text: str, lex: Lexicon, weights: dict[str, float]) -> list[Span]:
+    """Segments of a very long text, read in stretches that overlap by twice ``MARGIN`` characters, so that memory
+    is bounded.  A segment is taken from the stretch in which it starts at least ``MARGIN`` before the end."""
+    out: list[Span] = []
+    at, begin = 0, 0  # of the stretch, and from where on its segments count
+    while True:
+        end = min(len(text), at + LONG)
+        limit = len(text) if end == len(text) else end - MARGIN
+        t, _ = tokens([text[at:end]], lex)
+        for s in segments(t, weights):
+            s.start, s.end = s.start + at, s.end + at
+            if begin <= s.start < limit and (not out or s.start >= out[-1].end):
+                out.append(s)
+        if end == len(text):
+            return out
+        begin, at = limit, limit - MARGIN
+
+
 # --- tables ------------------------------------------------------------------------------------
 
 
