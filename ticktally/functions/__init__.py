@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Column expressions of reports: tags, durations, histogram buckets."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Report aggregates, ticks, counters, and the general data-processing operators."""

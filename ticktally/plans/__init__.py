@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Definitions of reports, the engine that shows them as views, and the registered queries."""

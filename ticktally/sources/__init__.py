@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Datagrams, JSON spellings, UDP, and tables as request sources."""

@@ -285,7 +285,7 @@ def _negative(x: Column) -> Column:
 
 
 def validation_error(df: DataFrame) -> Column:
-    """Why a decoded request is refused, or null.  The first check that fails names it."""
+    """Why a decoded request is refused, or null.  The first check that fails names it; the names are fixed values."""
     n = lambda c: F.size(F.coalesce(F.col(c), F.array()))
     total = F.aggregate("timer_tag_count", F.lit(0).cast("bigint"), lambda a, c: a + c)
     offset = lambda c: F.exists(c, lambda i: (i < 0) | (i >= n("dictionary")))

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Slices of reports kept by streams."""
