@@ -57,10 +57,12 @@ def request_rows(source: Source, conf: ReportConf, time_unit: str = "s", extra:
     return r.select(*extra, *keys, F.lit(1).alias("req"), F.lit(1).alias("hits"), F.col("request_time_ns").alias("time"), F.col("ru_utime_ns").alias("utime"), F.col("ru_stime_ns").alias("stime"), F.col("traffic"), F.col("mem_used").alias("mem"))
 
 
-def timer_rows(source: Source, conf: ReportConf, time_unit: str = "s", extra: tuple[str, ...] = ()) -> DataFrame:
+def timer_rows(source: Source, conf: ReportConf, time_unit: str = "s", extra: tuple[str, ...] = (), gather: bool = False) -> DataFrame:
     """One row per counted timer: keys, measures, and ``req``, 1 for the first of a request's timers with these keys.
 
-    With a flat timer table ``req`` is null: requests are then counted by ``request_id``.
+    With a flat timer table ``req`` is null: requests are then counted by ``request_id``.  ``gather`` brings the timers of
+    a request together before the join, for an aggregate per request after it: the one shuffle serves both, whichever
+    join is chosen, and nothing is hashed on the map side, where a request's timers seldom meet.
     """
     s = _prepared(source, conf, time_unit)
     names = key_names(conf)
@@ -74,6 +76,7 @@ def timer_rows(source: Source, conf: ReportConf, time_unit: str = "s", extra: tu
     if s.timers is not None:
         # the keys' values are taken out of the tags here, so that no array is shuffled
         t = s.timers.where(counted(F.col("tags"))).select("request_id", "hit_count", "value_ns", F.col("ru_utime_ns").alias("__u"), F.col("ru_stime_ns").alias("__s"), *[first_tag(F.col("tags"), k.name).alias(n) for k, n in of_timer])
+        t = t.repartition("request_id") if gather else t
         j = s.requests.select("request_id", *extra, *of_request).join(t, "request_id")
         return j.select("request_id", *extra, *names, F.lit(None).cast("int").alias("req"), F.col("hit_count").alias("hit"), F.col("value_ns").alias("time"), F.col("__u").alias("utime"), F.col("__s").alias("stime"))
     kept = F.transform(
@@ -174,9 +177,10 @@ def report(source: Source, conf: ReportConf, as_of: str | None = None, time_unit
     if conf.kind == "packet":
         out = packet_report(source, conf, time_unit, quantize, compat, wanted)
     else:
-        rows = request_rows(source, conf, time_unit) if conf.kind == "request" else timer_rows(source, conf, time_unit)
+        measured = columns is None or any(c not in (*names, *hist_cols) for c in columns) or not wanted
+        rows = request_rows(source, conf, time_unit) if conf.kind == "request" else timer_rows(source, conf, time_unit, gather=measured)
         out = None
-        if columns is None or any(c not in (*names, *hist_cols) for c in columns) or not wanted:
+        if measured:
             out = derived(aggregate_rows(rows, source, conf, names), conf, names)
         if wanted:
             h = percentile_columns(histogram_rows(rows, conf, names, quantize, compat), conf, names, compat=compat)

@@ -16,14 +16,16 @@ def _ticked(source: Source, conf: ReportConf) -> Source:
     return Source(source.requests.withColumn("tick", tick), source.timers)
 
 
-def _rows(source: Source, conf: ReportConf) -> DataFrame:
-    return (request_rows if conf.kind == "request" else timer_rows)(source, conf, extra=("tick",))
+def _rows(source: Source, conf: ReportConf, gather: bool = False) -> DataFrame:
+    if conf.kind == "request":
+        return request_rows(source, conf, extra=("tick",))
+    return timer_rows(source, conf, extra=("tick",), gather=gather)
 
 
 def tick_table(source: Source, conf: ReportConf) -> DataFrame:
     """(tick, keys, measures): what a report keeps of each slice."""
     s = _ticked(source, conf)
-    return aggregate_rows(_rows(s, conf), s, conf, ["tick", *key_names(conf)])
+    return aggregate_rows(_rows(s, conf, gather=True), s, conf, ["tick", *key_names(conf)])
 
 
 def tick_histograms(source: Source, conf: ReportConf) -> DataFrame:
